@@ -43,6 +43,14 @@ class WeeklySeries:
     legacy_price_yoy: bool = False
 
 
+def _calendar_and_latest(tables: PanelTables, calendar: DataFrame | None) -> tuple[DataFrame, dt.date | None]:
+    """Settled calendar of the fact and its last date: one value, known before the main
+    pass is planned, so that date limits are literals the scan can prune by."""
+    if calendar is None:
+        calendar = settle(timeframe.calendar_of(tables.items))
+    return calendar, calendar.agg(F.max("orderdate")).first()[0]
+
+
 def brand_days(
     tables: PanelTables,
     series: Sequence[WeeklySeries],
@@ -80,11 +88,7 @@ def weekly_growth(
     horizon_days: int | None = HORIZON_DAYS,
 ) -> DataFrame:
     """Weekly sales, orders, basket and price of each brand with year-over-year growth."""
-    if calendar is None:
-        calendar = timeframe.calendar_of(tables.items)
-        if any(s.daily for s in series):
-            calendar = settle(calendar)
-    latest = timeframe.latest_day(calendar)
+    calendar, latest = _calendar_and_latest(tables, calendar)
     daily = settle(brand_days(tables, series, sectors, since, calendar, latest))
     lines = []
     for s in series:
@@ -134,7 +138,7 @@ def contribution_by_county(
     calendar: DataFrame | None = None,
 ) -> DataFrame:
     """What each region adds to a brand's growth over last year's same window, per county."""
-    latest = timeframe.latest_day(timeframe.calendar_of(tables.items) if calendar is None else calendar)
+    _, latest = _calendar_and_latest(tables, calendar)
 
     def periods(day: str) -> dict[str, Column]:
         return {
@@ -175,7 +179,7 @@ def gap_by_county(
     calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Difference of two brands' panel-normalised sales over the trailing window, per county."""
-    latest = timeframe.latest_day(timeframe.calendar_of(tables.items) if calendar is None else calendar)
+    _, latest = _calendar_and_latest(tables, calendar)
 
     def wanted(day: str) -> Column:
         cohort_day = today - dt.timedelta(days=CURRENT_COHORT_LAG)
