@@ -112,10 +112,14 @@ def adds_with_cancels(t: Inputs) -> DataFrame:
     return churn.cancel_add_ratio(volume.filter("event_kind = 'adds'"), volume.filter("event_kind = 'cancels'"))
 
 
+def prior_total(t: Inputs) -> DataFrame:
+    rate = rollup.window_rate(window_zip_totals(t, YEAR_SHIFT), ["brand"])
+    return rate.select(F.col("rate").alias("total"))
+
+
 @check("j14_scalar_attach", with_views("SELECT msa, current, rate AS total FROM merged, ttl", *MAP_CTES))
 def scalar_attach(t: Inputs) -> DataFrame:
-    total = rollup.window_rate(window_zip_totals(t, YEAR_SHIFT), ["brand"]).select(F.col("rate").alias("total"))
-    return geo.attach_scalar(merged_periods(t).select("msa", "current"), total)
+    return geo.attach_scalar(merged_periods(t).select("msa", "current"), prior_total(t))
 
 
 @check(

@@ -31,7 +31,7 @@ from .geography import (
     adds_with_cancels,
     merged_brands,
     merged_periods,
-    scalar_attach,
+    prior_total,
 )
 from .windows import SMOOTHED_SQL, WINDOW_SQL, brand_daily
 
@@ -48,8 +48,8 @@ from .windows import SMOOTHED_SQL, WINDOW_SQL, brand_daily
   AND f.merchant NOT IN {EXCLUDED_SQL}"""),
 )
 def panel_scope(t: Inputs) -> DataFrame:
-    items = scope.drop_merchants(sector_items(t), EXCLUDED)
-    items = scope.in_quality_merchants(items, t.sales.quality_merchants)
+    merchants = scope.eligible_merchants(t.sales.merchant_sector, SECTORS, t.sales.quality_merchants)
+    items = scope.in_merchants(scope.drop_merchants(t.sales.items, EXCLUDED), merchants)
     cohort = scope.cohort_in_fact_years(
         t.sales.cohort.filter("cohort = 'all'"), timeframe.calendar_of(t.sales.items), SINCE
     )
@@ -169,8 +169,7 @@ def region_change(t: Inputs) -> DataFrame:
 )
 def contribution_to_growth(t: Inputs) -> DataFrame:
     changes = geo.region_change(merged_periods(t))
-    total = scalar_attach(t).select("total").distinct()
-    return geo.attach_scalar(changes, total).select("msa", (F.col("change") / F.col("total")).alias("contrib"))
+    return geo.attach_scalar(changes, prior_total(t)).select("msa", (F.col("change") / F.col("total")).alias("contrib"))
 
 
 GROWTH_SQL = "round((current / (coalesce(prior, 0) + 0.00001::DOUBLE) - 1) * 100, 2)"

@@ -94,8 +94,12 @@ def panel_by_date(panel: DataFrame) -> DataFrame:
 
 
 def with_panel(rows: DataFrame, panel: DataFrame) -> DataFrame:
-    """Rows on dates with a known panel size, with that size."""
-    return rows.join(panel_by_date(panel).withColumnRenamed("date", "orderdate"), "orderdate")
+    """Rows on dates with a known panel size, with that size.
+
+    The panel side has one row per calendar date, which bounds what is broadcast.
+    """
+    sizes = panel_by_date(panel).withColumnRenamed("date", "orderdate")
+    return rows.join(F.broadcast(sizes), "orderdate")
 
 
 def daily_rollup(orders: DataFrame, panel: DataFrame, by: Sequence[str] = ("brand",)) -> DataFrame:

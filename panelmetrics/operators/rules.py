@@ -71,9 +71,9 @@ def tag_each(rows: DataFrame, conditions: Mapping[str, Column], tag: str) -> Dat
         ((label, holds),) = conditions.items()
         return rows.filter(holds).withColumn(tag, F.lit(label))
     labels = [F.when(holds, F.lit(label)) for label, holds in conditions.items()]
-    return rows.filter(reduce(or_, conditions.values())).withColumn(
-        tag, F.explode(F.array_compact(F.array(*labels)))
-    )
+    wanted = rows.filter(reduce(or_, conditions.values()))
+    # Nulls go after the explode: dropping them inside the array would leave generated code.
+    return wanted.withColumn(tag, F.explode(F.array(*labels))).filter(F.col(tag).isNotNull())
 
 
 def tag_brands(items: DataFrame, rules: Sequence[BrandRule]) -> DataFrame:

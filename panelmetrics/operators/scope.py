@@ -33,6 +33,24 @@ def in_sectors(items: DataFrame, merchant_sector: DataFrame, sectors: Sequence[s
     return items.join(merchant_sector.filter(F.col("sector").isin(*sectors)), "merchant", "left_semi")
 
 
+def eligible_merchants(
+    merchant_sector: DataFrame, sectors: Sequence[str], quality_merchants: DataFrame | None = None
+) -> DataFrame:
+    """Merchants that pass every merchant test, so that the fact is tested against one list.
+
+    Two tests in a row on the same key would share one shuffle when the lists are too
+    large to broadcast, and a shuffle shared by two joins cannot be split for skew.
+    """
+    merchants = merchant_sector.filter(F.col("sector").isin(*sectors)).select("merchant")
+    if quality_merchants is not None:
+        merchants = merchants.join(quality_merchants, "merchant", "left_semi")
+    return merchants
+
+
+def in_merchants(items: DataFrame, merchants: DataFrame) -> DataFrame:
+    return items.join(merchants, "merchant", "left_semi")
+
+
 def in_distribution_types(items: DataFrame, merchant_sector: DataFrame, types: Sequence[str]) -> DataFrame:
     return items.join(merchant_sector.filter(F.col("distribtype").isin(*types)), "merchant", "left_semi")
 
@@ -62,7 +80,8 @@ def cohort_in_fact_years(cohort: DataFrame, calendar: DataFrame, since: dt.date)
         .select(year_start(F.col("orderdate")).alias("year"))
         .distinct()
     )
-    return cohort.join(years, year_start(F.col("udate")) == F.col("year"), "left_semi")
+    # One row per calendar year.
+    return cohort.join(F.broadcast(years), year_start(F.col("udate")) == F.col("year"), "left_semi")
 
 
 def cohort_days(cohort: DataFrame) -> DataFrame:

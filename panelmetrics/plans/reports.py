@@ -66,8 +66,12 @@ def brand_days(
         complete = timeframe.settled_by(latest, day=day)
         return complete if any(s.daily for s in series) else complete & falls_on(F.col(day), smooth.ANCHOR)
 
-    items = scope.in_quality_merchants(tables.items.filter(wanted("orderdate")), tables.quality_merchants)
-    items = tag_brands(scope.in_sectors(items, tables.merchant_sector, sectors), [s.rule for s in series])
+    merchants = scope.eligible_merchants(tables.merchant_sector, sectors, tables.quality_merchants)
+    items = scope.in_merchants(tables.items.filter(wanted("orderdate")), merchants)
+    items = tag_brands(items, [s.rule for s in series])
+    daily_brands = [s.rule.brand for s in series if s.daily]
+    if daily_brands and len(daily_brands) < len(series):
+        items = items.filter(F.col("brand").isin(*daily_brands) | falls_on(F.col("orderdate"), smooth.ANCHOR))
     cohort = tables.cohort.filter(F.col("cohort") == "all").filter(wanted("udate"))
     if (since.month, since.day) == (1, 1):
         # Members join on order dates, so "in a year with orders since New Year" is "since New Year".
@@ -91,19 +95,20 @@ def weekly_growth(
     calendar, latest = _calendar_and_latest(tables, calendar)
     daily = settle(brand_days(tables, series, sectors, since, calendar, latest))
     lines = []
-    for s in series:
-        own = daily.filter(F.col("brand") == s.rule.brand)
-        if s.daily:
-            spine = calendar.filter((F.col("orderdate") >= F.lit(since)) & timeframe.settled_by(latest)).withColumn(
-                "brand", F.lit(s.rule.brand)
-            )
+    # Brands of one kind share a branch, so the plan does not grow with the number of brands.
+    for kind in sorted({(s.daily, s.legacy_price_yoy) for s in series}):
+        brands = [s.rule.brand for s in series if (s.daily, s.legacy_price_yoy) == kind]
+        own = daily.filter(F.col("brand").isin(*brands))
+        if kind[0]:
+            days = calendar.filter((F.col("orderdate") >= F.lit(since)) & timeframe.settled_by(latest))
+            spine = days.withColumn("brand", F.explode(F.array(*[F.lit(brand) for brand in brands])))
             current = smooth.trailing_observed_days(own, measures=smooth.PANEL_MEASURES)
             prior = smooth.trailing_calendar_days(own, spine, measures=smooth.PANEL_MEASURES)
         else:
             current = prior = smooth.trailing_anchor_rows(own, measures=smooth.PANEL_MEASURES)
         if horizon_days is not None:
             current = current.filter(F.col("orderdate") >= F.date_sub(F.lit(today), horizon_days))
-        lines.append(yoy.weekly_metrics(yoy.with_prior_year(current, prior), s.legacy_price_yoy))
+        lines.append(yoy.weekly_metrics(yoy.with_prior_year(current, prior), legacy_price_yoy=kind[1]))
     return reduce(DataFrame.unionByName, lines).orderBy(F.desc("weekstart"), "brand")
 
 
