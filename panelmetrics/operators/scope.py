@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import year_start
+from ..session import settle
+
+# Rows of a merchant list that still fit every executor: names of some tens of bytes.
+BROADCAST_ROWS = 1_000_000
 
 
 def drop_merchants(items: DataFrame, excluded: Sequence[str]) -> DataFrame:
@@ -36,18 +40,24 @@ def in_sectors(items: DataFrame, merchant_sector: DataFrame, sectors: Sequence[s
 def eligible_merchants(
     merchant_sector: DataFrame, sectors: Sequence[str], quality_merchants: DataFrame | None = None
 ) -> DataFrame:
-    """Merchants that pass every merchant test, so that the fact is tested against one list.
-
-    Two tests in a row on the same key would share one shuffle when the lists are too
-    large to broadcast, and a shuffle shared by two joins cannot be split for skew.
-    """
+    """Distinct merchants that pass every merchant test."""
     merchants = merchant_sector.filter(F.col("sector").isin(*sectors)).select("merchant")
     if quality_merchants is not None:
         merchants = merchants.join(quality_merchants, "merchant", "left_semi")
-    return merchants
+    return merchants.distinct()
 
 
-def in_merchants(items: DataFrame, merchants: DataFrame) -> DataFrame:
+def in_merchants(items: DataFrame, merchants: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of the listed merchants, by one join against one counted list.
+
+    The list is settled and counted. A short one is broadcast. A longer one is shuffled
+    with the items, and because it is read back as it stands, nothing but this join depends
+    on that shuffle and adaptive execution can split a merchant with very many rows. (Two
+    lists joined in a row, or a list still to be built, would tie the shuffle down.)
+    """
+    merchants = settle(merchants)
+    if merchants.count() <= broadcast_rows:
+        merchants = F.broadcast(merchants)
     return items.join(merchants, "merchant", "left_semi")
 
 
