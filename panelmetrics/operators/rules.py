@@ -40,16 +40,16 @@ class BrandRule:
 
 def clause_holds(clause: Clause) -> Column:
     text, merchant = F.col("itemdescription"), F.col("merchant")
-    tests = []
+    # Few items match any text, so the text decides first.
+    tests = [any_like(text, clause.any_of)]
+    if clause.and_any_of:
+        tests.append(any_like(text, clause.and_any_of))
     if clause.merchant is not None:
         tests.append(merchant == clause.merchant)
     if clause.excluded_merchants:
         tests.append(~merchant.isin(*clause.excluded_merchants))
     if clause.since is not None:
         tests.append(F.col("orderdate") >= F.lit(clause.since))
-    tests.append(any_like(text, clause.any_of))
-    if clause.and_any_of:
-        tests.append(any_like(text, clause.and_any_of))
     tests += [~text.ilike(pattern) for pattern in clause.none_of]
     return reduce(and_, tests)
 
@@ -57,7 +57,7 @@ def clause_holds(clause: Clause) -> Column:
 def rule_holds(rule: BrandRule) -> Column:
     holds = reduce(or_, [clause_holds(clause) for clause in rule.clauses])
     if rule.excluded_merchants:
-        holds = ~F.col("merchant").isin(*rule.excluded_merchants) & holds
+        holds = holds & ~F.col("merchant").isin(*rule.excluded_merchants)
     return holds
 
 

@@ -1,10 +1,14 @@
 import datetime as dt
+import random
+from functools import reduce
+from operator import or_
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from panelmetrics.functions import any_like
 from panelmetrics.operators.rules import BrandRule, Clause, rule_holds, stack_brands, tag_brands
 from panelmetrics.plans import published
 from panelmetrics.plans.published import ADDS, CANCELS, OTHER_GROWTH, SHARE_RULES, TRULY_FOCUS
@@ -73,6 +77,31 @@ def test_case_insensitive_like_is_like_on_lower_case(spark, text, pattern):
     assert row.a == row.b
 
 
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    text=st.text("abAB %x!_\\éİ", min_size=0, max_size=12),
+    patterns=st.lists(st.text("abAB%!_é", min_size=1, max_size=7), min_size=1, max_size=6),
+)
+def test_grouping_patterns_by_piece_changes_nothing(spark, text, patterns):
+    column = F.lit(text)
+    row = spark.range(1).select(
+        any_like(column, patterns).alias("a"), reduce(or_, [column.ilike(p) for p in patterns]).alias("b")
+    ).first()
+    assert row.a == row.b
+
+
+def test_published_patterns_agree_with_plain_like(spark, make_tables, item):
+    words = ["Hard", "Seltzer", "Bud", "Light", "BL", "Bon", "&", "VIV", "V!V", "Corona", "spike", "eltze", "High Noon "]
+    random.seed(3)
+    texts = [" ".join(random.choices(words, k=random.randrange(1, 5))) for _ in range(400)]
+    items = make_tables(items=[item(NEW, text, order=n) for n, text in enumerate(texts)]).items
+    text = F.col("itemdescription")
+    for patterns in (published.BUD_LIGHT, published.BON_VIV_SHARE, published.CORONA, published.ANY_SELTZER):
+        plain = reduce(or_, [text.ilike(p) for p in patterns])
+        assert items.filter(any_like(text, patterns) != plain).count() == 0
+        assert 0 < items.filter(plain).count() < len(texts)
+
+
 @pytest.mark.parametrize(
     ("text", "merchant", "day", "expected"),
     [
