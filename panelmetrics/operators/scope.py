@@ -50,15 +50,13 @@ def eligible_merchants(
 def in_merchants(items: DataFrame, merchants: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of the listed merchants, by one join against one counted list.
 
-    The list is settled and counted. A short one is broadcast. A longer one is shuffled
-    with the items, and because it is read back as it stands, nothing but this join depends
-    on that shuffle and adaptive execution can split a merchant with very many rows. (Two
-    lists joined in a row, or a list still to be built, would tie the shuffle down.)
+    A short list is broadcast. A longer one is settled and shuffled with the items: as it
+    is then read back as it stands, nothing but this join depends on that shuffle, and
+    adaptive execution can split a merchant with very many rows. (Two lists joined in a
+    row, or a list still to be built, would tie the shuffle down.)
     """
-    merchants = settle(merchants)
-    if merchants.count() <= broadcast_rows:
-        merchants = F.broadcast(merchants)
-    return items.join(merchants, "merchant", "left_semi")
+    short = merchants.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return items.join(F.broadcast(merchants) if short else settle(merchants), "merchant", "left_semi")
 
 
 def in_distribution_types(items: DataFrame, merchant_sector: DataFrame, types: Sequence[str]) -> DataFrame:

@@ -43,12 +43,15 @@ class WeeklySeries:
     legacy_price_yoy: bool = False
 
 
-def _calendar_and_latest(tables: PanelTables, calendar: DataFrame | None) -> tuple[DataFrame, dt.date | None]:
-    """Settled calendar of the fact and its last date: one value, known before the main
-    pass is planned, so that date limits are literals the scan can prune by."""
-    if calendar is None:
-        calendar = settle(timeframe.calendar_of(tables.items))
-    return calendar, calendar.agg(F.max("orderdate")).first()[0]
+def _latest(tables: PanelTables, calendar: DataFrame | None) -> dt.date | None:
+    """Last date of the fact: one value, known before the main pass is planned, so that
+    date limits are literals the scan can prune by."""
+    days = tables.items if calendar is None else calendar
+    return days.agg(F.max("orderdate")).first()[0]
+
+
+def _starts_a_year(day: dt.date) -> bool:
+    return (day.month, day.day) == (1, 1)
 
 
 def brand_days(
@@ -56,10 +59,13 @@ def brand_days(
     series: Sequence[WeeklySeries],
     sectors: Sequence[str],
     since: dt.date,
-    calendar: DataFrame,
+    calendar: DataFrame | None,
     latest: timeframe.Day,
 ) -> DataFrame:
-    """Daily brand metrics of the clean panel, in one pass over the items."""
+    """Daily brand metrics of the clean panel, in one pass over the items.
+
+    The calendar is only read when `since` is not the first day of a year.
+    """
 
     def wanted(day: str) -> Column:
         # Days no series of this report can use are dropped before the joins.
@@ -73,7 +79,7 @@ def brand_days(
     if daily_brands and len(daily_brands) < len(series):
         items = items.filter(F.col("brand").isin(*daily_brands) | falls_on(F.col("orderdate"), smooth.ANCHOR))
     cohort = tables.cohort.filter(F.col("cohort") == "all").filter(wanted("udate"))
-    if (since.month, since.day) == (1, 1):
+    if _starts_a_year(since):
         # Members join on order dates, so "in a year with orders since New Year" is "since New Year".
         cohort = cohort.filter(F.col("udate") >= F.lit(since))
     else:
@@ -92,7 +98,9 @@ def weekly_growth(
     horizon_days: int | None = HORIZON_DAYS,
 ) -> DataFrame:
     """Weekly sales, orders, basket and price of each brand with year-over-year growth."""
-    calendar, latest = _calendar_and_latest(tables, calendar)
+    if calendar is None and (any(s.daily for s in series) or not _starts_a_year(since)):
+        calendar = settle(timeframe.calendar_of(tables.items))
+    latest = _latest(tables, calendar)
     daily = settle(brand_days(tables, series, sectors, since, calendar, latest))
     lines = []
     # Brands of one kind share a branch, so the plan does not grow with the number of brands.
@@ -143,7 +151,7 @@ def contribution_by_county(
     calendar: DataFrame | None = None,
 ) -> DataFrame:
     """What each region adds to a brand's growth over last year's same window, per county."""
-    _, latest = _calendar_and_latest(tables, calendar)
+    latest = _latest(tables, calendar)
 
     def periods(day: str) -> dict[str, Column]:
         return {
@@ -184,7 +192,7 @@ def gap_by_county(
     calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Difference of two brands' panel-normalised sales over the trailing window, per county."""
-    _, latest = _calendar_and_latest(tables, calendar)
+    latest = _latest(tables, calendar)
 
     def wanted(day: str) -> Column:
         cohort_day = today - dt.timedelta(days=CURRENT_COHORT_LAG)
