@@ -14,6 +14,7 @@ from panelmetrics.sources import PanelTables, star_schema_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+BUILDERS: dict[str, Callable[[Inputs], DataFrame]] = {}
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,7 @@ def check(name: str, sql: str | None = None):
     """Register a query over `Inputs` and its SQL twin."""
 
     def add(build: Callable[[Inputs], DataFrame]):
+        BUILDERS[name] = build
         QUERIES[name] = lambda spark, folder: build(inputs(spark, folder))
         if sql is not None:
             ORACLES[name] = sql

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 
@@ -194,9 +195,14 @@ def focus_brand_growth(tables: PanelTables, today: dt.date) -> DataFrame:
     return report.withColumnRenamed("weekstart", "orderdate")
 
 
-def brand_growth(tables: PanelTables, today: dt.date) -> DataFrame:
-    """Weekly metrics of the focus brand, its main rival and all others."""
-    return reports.weekly_growth(tables, GROWTH_SERIES, SECTORS, COHORT_SINCE, today)
+def brand_growth(tables: PanelTables, today: dt.date, legacy_price_yoy: bool = False) -> DataFrame:
+    """Weekly metrics of the focus brand, its main rival and all others.
+
+    `legacy_price_yoy` gives the price growth of the others as once published, see
+    `operators.yoy.weekly_metrics`.
+    """
+    series = [replace(s, legacy_price_yoy=legacy_price_yoy and s.daily) for s in GROWTH_SERIES]
+    return reports.weekly_growth(tables, series, SECTORS, COHORT_SINCE, today)
 
 
 def market_share(tables: PanelTables, today: dt.date) -> DataFrame:

@@ -1,6 +1,7 @@
 """Shape of the physical plans: scans, pushed filters, broadcasts, skew handling."""
 
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from panelmetrics.operators import rollup, scope, share, smooth, timeframe
 from panelmetrics.operators.rules import BrandRule, Clause, stack_brands, tag_brands
 from panelmetrics.plans import WeeklySeries, reports, weekly_market_share
 from panelmetrics.sources import panel_tables
+from panelmetrics.sources.tables import typed_items
 
 LAST = dt.date(2020, 12, 31)
 RULES = [
@@ -125,6 +127,18 @@ def test_market_share_prunes_by_date_and_reads_once(tables):
     assert "mailboxid" not in plan
 
 
+def test_a_fact_partitioned_by_date_is_pruned(tables, spark, tmp_path):
+    tables.items.repartition("orderdate").write.partitionBy("orderdate").parquet(str(tmp_path / "items"))
+    dated = replace(tables, items=typed_items(spark.read.parquet(str(tmp_path / "items"))))
+    plan = plan_of(weekly_market_share(dated, RULES, ["Food"], LAST, dt.date(2020, 7, 1)))
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "/items" in line)
+    assert "PartitionFilters: [isnotnull(orderdate" in scan
+    assert ">= 2020-07-05)" in scan and "<= 2020-12-19)" in scan
+    weekly = plan_of(reports.brand_days(dated, [WeeklySeries(RULES[0])], ["Food"], dt.date(2019, 1, 1), None, LAST))
+    scan = next(line for line in weekly.splitlines() if "FileScan" in line and "/items" in line)
+    assert "dayofweek(orderdate" in scan[scan.index("PartitionFilters") : scan.index("PushedFilters")]
+
+
 def test_item_texts_are_classified_in_generated_code(tables):
     for line in plan_of(tag_brands(tables.items, RULES)).splitlines():
         if "Generate explode" in line:

@@ -152,6 +152,17 @@ def test_published_reports(published_tables):
     assert all(r.cncl_share == pytest.approx(100 * r.cancels / r.adds) for r in ratio.values())
 
 
+def test_legacy_price_growth_touches_the_others_only(published_tables):
+    today = SATURDAY + dt.timedelta(days=3)
+    plain, legacy = (
+        {(r.brand, r.weekstart): r.yy_avgprice for r in published.brand_growth(published_tables, today, flag).collect()}
+        for flag in (False, True)
+    )
+    assert plain.keys() == legacy.keys()
+    changed = {brand for brand, week in plain if plain[brand, week] != legacy[brand, week]}
+    assert changed == {"Other Seltzers"}
+
+
 def test_published_dashboard(published_tables):
     reports = published.dashboard(published_tables, SATURDAY + dt.timedelta(days=3))
     assert sorted(reports) == ["contribution_map", "gap_map", "growth", "share"]
