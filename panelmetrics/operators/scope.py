@@ -55,7 +55,7 @@ def in_merchants(items: DataFrame, merchants: DataFrame, broadcast_rows: int = B
     adaptive execution can split a merchant with very many rows. (Two lists joined in a
     row, or a list still to be built, would tie the shuffle down.)
     """
-    short = merchants.limit(broadcast_rows + 1).count() <= broadcast_rows
+    short = merchants.count() <= broadcast_rows
     return items.join(F.broadcast(merchants) if short else settle(merchants), "merchant", "left_semi")
 
 
