@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +27,16 @@ class Inputs:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-@lru_cache(maxsize=8)
-def _inputs(application: str, folder: str) -> Inputs:
-    spark = SparkSession.getActiveSession()
-    derived = star_schema_tables(spark, folder)
-    return Inputs(spark, folder, derived.panel_tables, derived.event_tables)
+_INPUTS: dict[tuple[str, str], Inputs] = {}
 
 
 def inputs(spark: SparkSession, folder: str) -> Inputs:
     """The lazily built input tables; only their definitions are kept."""
-    return _inputs(spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INPUTS:
+        derived = star_schema_tables(spark, folder)
+        _INPUTS[key] = Inputs(spark, folder, derived.panel_tables, derived.event_tables)
+    return _INPUTS[key]
 
 
 def check(name: str, sql: str | None = None):
