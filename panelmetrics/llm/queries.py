@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmetrics.llm import chat_format, exact_dedup
+from panelmetrics.llm import chat_format, exact_dedup, license_scan, quality_rules
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.score_rules(table(spark, folder, "documents"), trusted)
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, folder, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
@@ -27,6 +32,10 @@ from plain window same as (partition by plain)
 """
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.license_labels(license_scan.scan_licenses(table(spark, folder, "documents")))
+
+
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql(
@@ -56,5 +65,14 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id
 """
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_chat_format": op4_chat_format}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_chat_format": OP4_SQL}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_license_scan": op3_license_scan,
+    "op4_chat_format": op4_chat_format,
+}
+ORACLES = {
+    "op2_exact_dedup": OP2_SQL,
+    "op3_license_scan": license_scan.oracle_sql(),
+    "op4_chat_format": OP4_SQL,
+}
