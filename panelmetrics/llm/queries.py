@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmetrics.llm import chat_format, exact_dedup, license_scan, quality_rules
+from panelmetrics.llm import chat_format, exact_dedup, license_scan, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,14 +65,20 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id
 """
 
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secret_digest(secret_scan.find_secrets(table(spark, folder, "documents")))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_chat_format": op4_chat_format,
+    "op5_secret_scan": op5_secret_scan,
 }
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op3_license_scan": license_scan.oracle_sql(),
     "op4_chat_format": OP4_SQL,
+    "op5_secret_scan": secret_scan.oracle_sql(),
 }
