@@ -270,8 +270,10 @@ def exact_groups(
             .alias("size"),
         )
     )
+    # from a written table the join deals both sides out anew, so that a hot group can be split
+    joined = suspects.join(written(groups, "groups"), "sha", "left")
     alone = F.col("size").isNull()
-    return checked.join(groups, "sha", "left").select(
+    decided = joined.select(
         "part",
         "row",
         "doc_id",
@@ -280,6 +282,16 @@ def exact_groups(
         (alone | ((F.col("first.part") == F.col("part")) & (F.col("first.row") == F.col("row")))).alias("kept"),
         "sha",
     )
+    others = checked.where("not suspect").select(
+        "part",
+        "row",
+        "doc_id",
+        F.col("doc_id").alias("keep_id"),
+        F.lit(1).cast("long").alias("group_size"),
+        F.lit(True).alias("kept"),
+        "sha",
+    )
+    return others.unionByName(decided)
 
 
 def drop_copies(
