@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmetrics.llm import chat_format, exact_dedup, license_scan, quality_rules, secret_scan
+from panelmetrics.llm import (
+    bpe_chunks,
+    chat_format,
+    exact_dedup,
+    license_scan,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,12 +77,35 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.secret_digest(secret_scan.find_secrets(table(spark, folder, "documents")))
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = quality_classifier.held_out()
+    labels = table(spark, folder, "labels").where(~held_out)
+    scored = quality_classifier.score_quality(table(spark, folder, "documents"), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op9_bpe_chunks(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = str(public_tokenizers.path("byte_bpe_50k.json"))
+    coded = bpe_chunks.encode_documents(table(spark, folder, "documents"), tokenizer)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_chat_format": op4_chat_format,
     "op5_secret_scan": op5_secret_scan,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op9_bpe_chunks": op9_bpe_chunks,
 }
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
