@@ -10,6 +10,7 @@ from panelmetrics.llm import (
     chat_format,
     exact_dedup,
     license_scan,
+    packing,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -84,6 +85,10 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
 def op9_bpe_chunks(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
@@ -105,6 +110,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_packing": op7_packing,
     "op9_bpe_chunks": op9_bpe_chunks,
 }
 ORACLES = {
