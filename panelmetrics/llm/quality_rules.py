@@ -1,7 +1,7 @@
 """Quality rules: a hashed n-gram likelihood ratio between trusted and raw text, behind base rules.
 
-Every text is the sequence of its 4-byte n-grams, hashed into 2**16 buckets. One pass counts the
-buckets over all documents (raw) and over the trusted ones (target); the counts of a bucket
+Every text is the sequence of its 4-byte n-grams, hashed into 2**16 buckets. The buckets are
+counted over all documents (raw) and over the trusted ones (target); the counts of a bucket
 meet by a sum, so what a task sends is bounded by the number of buckets. The log ratio of
 the two smoothed multinomials is 512 KB, whatever the corpus, and is broadcast. A second pass
 scores every document by its mean log ratio (in nats per n-gram) and keeps it when the score
@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from panelmetrics.llm.common import text_of
+from panelmetrics.llm.exact_dedup import filter_bits
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
+ID_BITS = 24
 THRESHOLD = -0.2
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -97,38 +99,25 @@ def base_statistics(text: bytes, codes: np.ndarray, kinds: ByteKinds) -> tuple[i
     )
 
 
-def bucket_counts(frame: DataFrame) -> pd.DataFrame:
-    """Raw and target counts of each bucket over all rows of (trusted, text); at most BUCKETS rows."""
+def bucket_counts(frame: DataFrame, name: str) -> DataFrame:
+    """(bucket, count) of the texts of a frame, one row per task and filled bucket."""
 
     def run(batches):
-        counts = np.zeros((2, BUCKETS), dtype=np.int64)
-        held: tuple[list, list] = ([], [])
-        size = [0, 0]
-
-        def flush(kind: int) -> None:
-            if held[kind]:
-                counts[kind] += np.bincount(np.concatenate(held[kind]), minlength=BUCKETS)
-                held[kind].clear()
-                size[kind] = 0
-
+        counts, held, size = np.zeros(BUCKETS, dtype=np.int64), [], 0
         for batch in batches:
-            for trusted, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                kind = int(trusted)
+            for text in batch.column(0):
                 found = ngram_buckets(np.frombuffer(text.as_buffer(), np.uint8))
-                held[kind].append(found)
-                size[kind] += len(found)
-                if size[kind] > 1 << 20:
-                    flush(kind)
-        flush(0)
-        flush(1)
-        filled = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(filled), pa.array(counts[:, filled].sum(axis=0)), pa.array(counts[1, filled])],
-            names=["bucket", "raw", "target"],
-        )
-
-    counted = frame.mapInArrow(run, "bucket long, raw long, target long")
-    return counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+                held.append(found)
+                size += len(found)
+                if size > 1 << 20:
+                    counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    held, size = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+        filled = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(counts[filled])], names=["bucket", "count"])
+
+    return frame.mapInArrow(run, "bucket long, count long").withColumnRenamed("count", name)
 
 
 def log_ratio(counts: pd.DataFrame, smoothing: float = 0.5) -> np.ndarray:
@@ -142,14 +131,33 @@ def log_ratio(counts: pd.DataFrame, smoothing: float = 0.5) -> np.ndarray:
     return both[1] - both[0]
 
 
-def with_trust(documents: DataFrame, trusted: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(trusted, text) of every document; `trusted` holds ids in its first column."""
-    ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("_trusted")).distinct()
+def trusted_texts(documents: DataFrame, trusted: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Texts of the documents whose id is in the first column of `trusted`.
+
+    A bitmap of 2 MB over hashed ids keeps most other texts out of the join, which is exact. The
+    join is a merge at any size: the trusted ids grow with the corpus, and texts are never held
+    whole in a task.
+    """
+    key = F.xxhash64("_trusted")
+    ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("_trusted")).dropna().distinct()
+    held = documents.sparkSession.sparkContext.broadcast(filter_bits(ids.select(key.alias("fingerprint")), ID_BITS))
     frame = documents.select(
-        documents[id_column].cast("long").alias("_doc"), text_of(documents, text_column).alias("_text")
+        documents[id_column].cast("long").alias("_doc"),
+        F.shiftrightunsigned(F.xxhash64(documents[id_column].cast("long")), 64 - ID_BITS).alias("_place"),
+        text_of(documents, text_column).alias("text"),
     )
-    joined = frame.join(ids, frame["_doc"] == ids["_trusted"], "left")
-    return joined.select(F.col("_trusted").isNotNull().alias("trusted"), F.col("_text").alias("text"))
+
+    def run(batches):
+        bitmap = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            place = batch.column(1).to_numpy()
+            hit = pa.array((bitmap[place >> 3] >> (place & 7) & 1).astype(bool))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(hit), batch.column(2).filter(hit)], names=["_doc", "text"]
+            )
+
+    likely = frame.where("_doc is not null").mapInArrow(run, "_doc long, text string")
+    return likely.join(ids.hint("merge"), likely["_doc"] == ids["_trusted"]).select("text")
 
 
 def scored_rows(documents: DataFrame, text_column: str, ratio: np.ndarray, threshold: float) -> DataFrame:
@@ -178,7 +186,11 @@ def scored_rows(documents: DataFrame, text_column: str, ratio: np.ndarray, thres
 
 
 def trained_ratio(documents: DataFrame, trusted: DataFrame, id_column: str, text_column: str) -> np.ndarray:
-    return log_ratio(bucket_counts(with_trust(documents, trusted, id_column, text_column)))
+    """The log ratio; at most BUCKETS rows of counts reach the driver."""
+    raw = bucket_counts(documents.select(text_of(documents, text_column).alias("text")), "raw")
+    target = bucket_counts(trusted_texts(documents, trusted, id_column, text_column), "target")
+    both = raw.unionByName(target, allowMissingColumns=True).groupBy("bucket")
+    return log_ratio(both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("raw", "target")]).toPandas())
 
 
 def score_rules(
