@@ -9,6 +9,7 @@ from panelmetrics.llm import (
     bpe_chunks,
     chat_format,
     exact_dedup,
+    jaccard_join,
     license_scan,
     packing,
     quality_classifier,
@@ -89,6 +90,10 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, folder, "documents")).drop("key")
+
+
 def op9_bpe_chunks(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
@@ -111,6 +116,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_bpe_chunks": op9_bpe_chunks,
 }
 ORACLES = {
