@@ -31,6 +31,7 @@ from panelmetrics.llm.common import text_of
 
 REMEMBERED = 150_000
 ROWS = 1_000
+LINE = 1 << 15
 
 
 class Cuts:
@@ -67,6 +68,9 @@ class ChunkCoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab()  # byte-level: a character of a token stands for a byte
+        self.widths = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        self.widths[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self.remembered = remembered
         self.young: dict[bytes, tuple[bytes, bytes]] = {}
         self.old: dict[bytes, tuple[bytes, bytes]] = {}
@@ -78,29 +82,53 @@ class ChunkCoder:
         edges = [0, *at[exact].tolist(), len(text)]
         return [text[a:b] for a, b in zip(edges, edges[1:])]
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Encode and decode the chunks that are not remembered."""
+    def learn(self, chunks: set[bytes], whole: set[bytes]) -> None:
+        """Encode and decode the chunks that are not remembered.
+
+        Chunks that begin and end at exact joins are encoded together, LINE bytes at a time, and
+        told apart by the lengths of their tokens; where a token crosses a join, the chunks of that
+        line are encoded one by one, as those of `whole` (first and last of a text) are.
+        """
         if len(self.young) + len(chunks) > self.remembered:
             self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
+        young, old, new, single = self.young, self.old, [], []
         for chunk in chunks:
             if chunk not in young:
                 known = old.get(chunk)
-                if known is None:
-                    new.append(chunk)
-                else:
+                if known is not None:
                     young[chunk] = known
-        texts = [chunk.decode() for chunk in new]
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        decoded = self.tokenizer.decode_batch(encoded, skip_special_tokens=False)
-        for chunk, ids, back in zip(new, encoded, decoded, strict=True):
-            said = back.encode()
-            young[chunk] = (np.array(ids, dtype="<u4").tobytes(), chunk if said == chunk else said)
+                elif chunk in whole:
+                    single.append(chunk)
+                else:
+                    new.append(chunk)
+        ends = np.cumsum([len(c) for c in new])
+        stops = np.searchsorted(ends, np.arange(LINE, (int(ends[-1]) if new else 0) + LINE, LINE), side="right")
+        lines = [new[a:b] for a, b in zip([0, *stops.tolist()], [*stops.tolist(), len(new)]) if a < b]
+        joined = [b"".join(line) for line in lines]
+        for line, ids, back in zip(lines, *self.coded(joined), strict=True):
+            token_ends = np.cumsum(self.widths[ids])
+            chunk_ends = np.cumsum([len(c) for c in line])
+            last = np.searchsorted(token_ends, chunk_ends)
+            if len(back) != chunk_ends[-1] or last[-1] >= len(ids) or (token_ends[last] != chunk_ends).any():
+                single.extend(line)
+                continue
+            packed, starts, said = ids.tobytes(), [0, *(4 * (last + 1)).tolist()], [0, *chunk_ends.tolist()]
+            for chunk, a, b, c, d in zip(line, starts, starts[1:], said, said[1:]):
+                young[chunk] = (packed[a:b], chunk if back[c:d] == chunk else back[c:d])
+        for chunk, ids, back in zip(single, *self.coded(single), strict=True):
+            young[chunk] = (ids.tobytes(), chunk if back == chunk else back)
+
+    def coded(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
+        """Ids and decoded text of each text, by the tokenizer."""
+        encoded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        ids = [e.ids for e in encoded]
+        decoded = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return [np.array(i, dtype="<u4") for i in ids], [d.encode() for d in decoded]
 
     def code(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """(ids, decoded text) of each text."""
         split = [self.chunks(t) if t else [] for t in texts]
-        self.learn({c for chunks in split for c in chunks})
+        self.learn({c for chunks in split for c in chunks}, {c for chunks in split for c in chunks[:1] + chunks[-1:]})
         young = self.young
         result = []
         for chunks in split:
