@@ -15,6 +15,7 @@ from panelmetrics.llm import (
     quality_classifier,
     quality_rules,
     secret_scan,
+    substring_dedup,
 )
 
 
@@ -108,6 +109,35 @@ def op9_bpe_chunks(spark: SparkSession, folder: str, tokenizer: str | None = Non
     )
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+with split as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+),
+starts as (
+    select doc_id, unnest(range(1, len(words) - 18)) as start, words from split where len(words) >= 20
+),
+wins as (select doc_id, start, array_to_string(words[start:start + 19], ' ') as win from starts),
+named as (
+    select doc_id, start from wins
+    qualify row_number() over (partition by win order by doc_id, start) > 1
+),
+gone as (select distinct doc_id, unnest(range(start, start + 20)) as place from named),
+lists as (select doc_id, list(place) as places, count(*) as n_removed from gone group by doc_id),
+each as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as place from split),
+kept as (
+    select doc_id, string_agg(word, ' ' order by place) as kept
+    from each anti join gone using (doc_id, place) group by doc_id
+)
+select doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from split left join lists using (doc_id) left join kept using (doc_id)
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
@@ -118,10 +148,12 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_bpe_chunks": op9_bpe_chunks,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op3_license_scan": license_scan.oracle_sql(),
     "op4_chat_format": OP4_SQL,
     "op5_secret_scan": secret_scan.oracle_sql(),
+    "op10_substring_dedup": OP10_SQL,
 }
