@@ -100,7 +100,7 @@ def base_statistics(text: bytes, codes: np.ndarray, kinds: ByteKinds) -> tuple[i
 
 
 def bucket_counts(frame: DataFrame, name: str) -> DataFrame:
-    """(bucket, count) of the texts of a frame, one row per task and filled bucket."""
+    """(bucket, its count as `name`) of the texts of a frame, one row per task and filled bucket."""
 
     def run(batches):
         counts, held, size = np.zeros(BUCKETS, dtype=np.int64), [], 0
@@ -115,9 +115,9 @@ def bucket_counts(frame: DataFrame, name: str) -> DataFrame:
         if held:
             counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
         filled = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(counts[filled])], names=["bucket", "count"])
+        yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(counts[filled])], names=["bucket", name])
 
-    return frame.mapInArrow(run, "bucket long, count long").withColumnRenamed("count", name)
+    return frame.mapInArrow(run, f"bucket long, {name} long")
 
 
 def log_ratio(counts: pd.DataFrame, smoothing: float = 0.5) -> np.ndarray:
