@@ -1,0 +1,71 @@
+"""The pipeline: stages in order, each against plain Python or the operator's own rows."""
+
+import os
+
+import pytest
+
+import __spark_entry__
+import corpus_pipeline
+from panelmetrics.llm import exact_dedup, jaccard_join, quality_rules
+from panelmetrics.llm.common import written
+
+FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """What each stage returns, the documents first."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    frames = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        frames.append(written(stage(spark, frames[-1], FOLDER), "test"))
+    return frames
+
+
+def ids(frame):
+    return {r.doc_id for r in frame.select("doc_id").collect()}
+
+
+def test_stages_keep_the_columns_of_documents(stages):
+    for frame in stages[1:-1]:
+        assert frame.dtypes == stages[0].dtypes
+
+
+def test_rejected_documents_go(spark, stages):
+    trusted = spark.read.parquet(f"{FOLDER}/labels.parquet").where("quality = 1").select("doc_id")
+    assert ids(quality_rules.score_rules(stages[0], trusted).where("kept")) == ids(stages[1])
+
+
+def test_copies_go(stages):
+    assert ids(exact_dedup.exact_groups(stages[1]).where("kept")) == ids(stages[2])
+
+
+def test_one_document_of_a_class_stays(stages):
+    classes = jaccard_join.similar_documents(stages[2])
+    assert ids(classes.where("doc_id = class_id")) == ids(stages[3])
+
+
+def test_secrets_are_replaced_and_no_document_goes(stages):
+    assert ids(stages[4]) == ids(stages[3])
+    for row in stages[4].collect():
+        assert row.n_chars == len(row.text)
+
+
+def test_all_words_are_packed_once(stages):
+    words = sum(len(r.text.encode().split()) for r in stages[4].collect())
+    packed = stages[5].collect()
+    assert sum(r.n_words for r in packed) == words == sum(len(r.text.encode().split()) for r in packed)
+    assert {r.doc_id for r in packed} == ids(stages[4])
+
+
+def test_run_gives_the_rows_of_the_last_stage(spark, stages):
+    rows = corpus_pipeline.run(spark, FOLDER).drop("text").collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, stages[5].drop("text").collect()))
+
+
+def test_queries_are_registered():
+    names = __spark_entry__.queries()
+    assert "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
