@@ -150,7 +150,7 @@ def base_spans(text):
     spans = []
     for number, (kind, pattern) in enumerate(PATTERNS):
         for m in pattern.finditer(text or ""):
-            if (len(m[2]) >= 8, len(m[0]) >= 16, len(m[0]) >= 32)[number]:
+            if len(m[pattern.groups]) >= (8, 16, 32)[number]:
                 spans.append((m.start(), number, f"{kind}:{m.start()}:{m.end()}"))
     return [s for _, _, s in sorted(spans)]
 
