@@ -24,6 +24,7 @@ from .base import (
     RED_SQL,
     RULES,
     SECTORS,
+    TOTAL_ROWS,
     WIDGETS_SQL,
     Inputs,
     check,
@@ -109,10 +110,10 @@ def per_ten_thousand_with_floor(t: Inputs) -> DataFrame:
 
 
 def event_orders(t: Inputs) -> DataFrame:
-    kinds = {
-        rule.brand: rule_holds(rule) & F.col("orderdate").between(F.lit(first), F.lit(last))
+    kinds = [
+        (rule.brand, rule_holds(rule) & F.col("orderdate").between(F.lit(first), F.lit(last)))
         for rule, (first, last) in ((ADDS, ADD_DAYS), (CANCELS, CANCEL_DAYS))
-    }
+    ]
     orders = tag_each(t.events.items.filter("merchant = 'Streamer'"), kinds, "event_kind")
     members = scope.active_members(
         t.events.cohort, t.events.mailbox_zip, geo.mailbox_zip_padded(F.col("shiptozip"))
@@ -177,7 +178,7 @@ def order_total_estimate(t: Inputs) -> DataFrame:
     with_views("SELECT mailboxid, count(*) AS n FROM userzips GROUP BY 1 HAVING count(*) = 1"),
 )
 def singleton_keys(t: Inputs) -> DataFrame:
-    return t.sales.mailbox_zip.groupBy("mailboxid").agg(F.count(F.lit(1)).alias("n")).filter("n = 1")
+    return scope.single_address_mailboxes(t.sales.mailbox_zip).select("mailboxid", F.lit(1).cast("long").alias("n"))
 
 
 WEEK_SQL = "CAST(date_trunc('week', orderdate + 1) - INTERVAL 1 DAY AS DATE)"
@@ -201,8 +202,8 @@ def item_orders_sql(extra: str = "merchant, itemdescription") -> str:
 
 @check("a11_singleton_rule", with_views(item_orders_sql()))
 def singleton_rule(t: Inputs) -> DataFrame:
-    counts = share.weekly_item_orders(tag_brands(sector_items(t), RULES))
-    return share.drop_unconfirmed_singletons(counts, RULES)
+    counts = share.weekly_item_orders(tag_brands(t.sales.items, RULES))
+    return share.drop_unconfirmed_singletons(scope.in_sectors(counts, t.sales.merchant_sector, SECTORS), RULES)
 
 
 @check("a11_singleton_rule_by_item", with_views(item_orders_sql("itemdescription")))
@@ -261,11 +262,12 @@ def region_window_total(t: Inputs) -> DataFrame:
     "a17_global_window_total",
     with_views(
         "SELECT 'All' AS brand, rate AS total FROM prior_rate",
-        MAP_ROWS,
+        TOTAL_ROWS,
         region_rate(
             "prior_rate",
             f"merchant NOT IN ('Supplier#000000001', 'Supplier#000000002') AND {PRIOR_WINDOW}",
             "'All'",
+            "total_rows",
         ),
     ),
 )
@@ -276,7 +278,7 @@ def global_window_total(t: Inputs) -> DataFrame:
 @check(
     "a18_state_total_of_daily_rates",
     with_views(
-        """SELECT event_kind, state_abbrev, CAST(sum(CAST(ordercount AS DECIMAL(38,8))) AS DOUBLE) AS volume
+        """SELECT event_kind, state_abbrev, list_reduce(list_sort(list(ordercount) FILTER (WHERE ordercount IS NOT NULL)), lambda a, b: a + b) AS volume
   FROM event_rates GROUP BY 1, 2""",
         EVENT_ROWS,
         EVENT_RATES,

@@ -187,17 +187,25 @@ MAP_ROWS = """map_rows AS (
   JOIN cohort_list c ON f.mailboxid = c.mailboxid AND f.orderdate = c.udate
   JOIN single_zip z ON f.mailboxid = z.mailboxid LEFT JOIN zip_msa g ON z.zip = g.zip
   WHERE f.merchant IN (SELECT merchant FROM sector_merchants))"""
+# The rows of the total of all regions: no geography, as published.
+TOTAL_ROWS = """total_rows AS (
+  SELECT f.*, z.zip, p.panel
+  FROM fact_items f JOIN panel_by_date p ON f.orderdate = p.date
+  JOIN cohort_list c ON f.mailboxid = c.mailboxid AND f.orderdate = c.udate
+  JOIN single_zip z ON f.mailboxid = z.mailboxid
+  WHERE f.merchant IN (SELECT merchant FROM sector_merchants))"""
 CURRENT_WINDOW = """orderdate <= (SELECT day FROM latest) - 3 AND orderdate >= (SELECT day FROM latest) - 33
   AND year(orderdate) = year(DATE '2001-08-01' - 14)"""
 PRIOR_WINDOW = """orderdate <= (SELECT day FROM latest) - 3 - 364 AND orderdate >= (SELECT day FROM latest) - 33 - 364
   AND year(orderdate) = year(DATE '2001-08-01' - 379)"""
 
 
-def region_rate(name: str, condition: str, by: str = "msa") -> str:
+def region_rate(name: str, condition: str, by: str = "msa", rows: str = "map_rows") -> str:
     """Revenue per ten thousand panel members per region, by the published definition."""
+    regions = "msa, state_abbrev, " if rows == "map_rows" else ""
     return f"""{name} AS (
   SELECT {by}, coalesce(CAST(sum(pq) AS DOUBLE) * 10000.0::DOUBLE / CAST(max(panel) AS DOUBLE), 0.0001::DOUBLE) AS rate
-  FROM (SELECT mailboxid, orderdate, zip, msa, state_abbrev, orderid, max(panel) AS panel,
+  FROM (SELECT mailboxid, orderdate, zip, {regions}orderid, max(panel) AS panel,
                sum(itemprice * itemquantity) AS pq
-        FROM map_rows WHERE {condition} GROUP BY ALL)
+        FROM {rows} WHERE {condition} GROUP BY ALL)
   GROUP BY {by})"""

@@ -21,6 +21,7 @@ from .base import (
     PRIOR_WINDOW,
     RED_ALL,
     RED_ALL_SQL,
+    TOTAL_ROWS,
     Inputs,
     check,
     region_rate,
@@ -33,8 +34,8 @@ RED_RATE_SQL = region_rate("red", f"{RED_ALL_SQL} AND {CURRENT_WINDOW}")
 BLUE_RATE_SQL = region_rate("blue", f"{BLUE_ALL_SQL} AND {CURRENT_WINDOW}")
 MERGED_SQL = """merged AS (SELECT coalesce(cur.msa, lst.msa) AS msa, cur.rate AS current, lst.rate AS prior
   FROM cur FULL OUTER JOIN lst ON cur.msa = lst.msa)"""
-TOTAL_SQL = region_rate("ttl", f"{ALL_SQL} AND {PRIOR_WINDOW}", "'xx'")
-MAP_CTES = (MAP_ROWS, CURRENT_SQL, PRIOR_SQL, MERGED_SQL, TOTAL_SQL)
+TOTAL_SQL = region_rate("ttl", f"{ALL_SQL} AND {PRIOR_WINDOW}", "'xx'", "total_rows")
+MAP_CTES = (MAP_ROWS, TOTAL_ROWS, CURRENT_SQL, PRIOR_SQL, MERGED_SQL, TOTAL_SQL)
 
 
 @check(
@@ -50,7 +51,7 @@ def geography_enrichment(t: Inputs) -> DataFrame:
 def period_rates(t: Inputs) -> DataFrame:
     """Region rates of the trailing window and of the same window a year before, one pass."""
     latest = latest_day(calendar_of(t.sales.items))
-    periods = {"current": in_trailing_window(latest), "prior": in_trailing_window(latest, shift=YEAR_SHIFT)}
+    periods = [("current", in_trailing_window(latest)), ("prior", in_trailing_window(latest, shift=YEAR_SHIFT))]
     items = tag_each(scope.drop_merchants(sector_items(t), ("Supplier#000000001", "Supplier#000000002")), periods, "period")
     by_zip = rollup.zip_totals(items, map_members(t), t.sales.panel, by=["period"])
     return rollup.window_rate(rollup.region_totals(by_zip, geo.zip_regions(t.sales.geo)), ["period", "msa"])
@@ -93,7 +94,7 @@ def brand_merge(t: Inputs) -> DataFrame:
 
 
 VOLUME_SQL = """volume AS (SELECT event_kind, state_abbrev,
-  CAST(sum(CAST(ordercount AS DECIMAL(38,8))) AS DOUBLE) AS volume FROM event_rates GROUP BY 1, 2)"""
+  list_reduce(list_sort(list(ordercount) FILTER (WHERE ordercount IS NOT NULL)), lambda a, b: a + b) AS volume FROM event_rates GROUP BY 1, 2)"""
 CANCEL_ADD_SQL = with_views(
     """SELECT * FROM (SELECT a.state_abbrev, a.volume AS adds, c.volume AS cancels,
     c.volume / nullif(a.volume, 0) * 100 AS cncl_share

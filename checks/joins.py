@@ -71,7 +71,7 @@ def mailbox_zip(t: Inputs) -> DataFrame:
 )
 def cohort_membership(t: Inputs) -> DataFrame:
     members = t.sales.cohort.withColumnRenamed("udate", "orderdate")
-    return t.sales.items.join(members, ["mailboxid", "orderdate"]).select(
+    return scope.keep_members(t.sales.items, members).select(
         "mailboxid", "orderid", "itemdescription", "cohort"
     )
 

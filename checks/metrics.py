@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelmetrics.functions import ratio
 from panelmetrics.operators import geo, rollup, scope, share, smooth, timeframe, yoy
 from panelmetrics.plans import weekly_market_share
 from panelmetrics.session import settle
@@ -165,11 +166,11 @@ def region_change(t: Inputs) -> DataFrame:
 
 @check(
     "m11_contribution_to_growth",
-    with_views(f"SELECT msa, ({CHANGE_SQL}) / ttl.rate AS contrib FROM merged, ttl", *MAP_CTES),
+    with_views(f"SELECT msa, ({CHANGE_SQL}) / nullif(ttl.rate, 0) AS contrib FROM merged, ttl", *MAP_CTES),
 )
 def contribution_to_growth(t: Inputs) -> DataFrame:
     changes = geo.region_change(merged_periods(t))
-    return geo.attach_scalar(changes, prior_total(t)).select("msa", (F.col("change") / F.col("total")).alias("contrib"))
+    return geo.attach_scalar(changes, prior_total(t)).select("msa", ratio(F.col("change"), F.col("total")).alias("contrib"))
 
 
 GROWTH_SQL = "round((current / (coalesce(prior, 0) + 0.00001::DOUBLE) - 1) * 100, 2)"
@@ -180,7 +181,8 @@ def region_growth_percent(t: Inputs) -> DataFrame:
     return geo.region_change(merged_periods(t)).select("msa", "yygrowth")
 
 
-PERC_SQL = "current / (SELECT CAST(sum(CAST(current AS DECIMAL(38,10))) AS DOUBLE) FROM merged)"
+PERC_SQL = """current / (SELECT list_reduce(list_sort(list(current) FILTER (WHERE current IS NOT NULL)), lambda a, b: a + b)
+  FROM merged)"""
 
 
 @check("m13_share_of_current_sales", with_views(f"SELECT msa, {PERC_SQL} AS perc FROM merged", *MAP_CTES))

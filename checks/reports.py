@@ -96,7 +96,7 @@ def report_market_share(t: Inputs) -> DataFrame:
 
 CONTRIBUTION_BODY = f"""SELECT lpad(coalesce(z.fips, ''), 5, '0') AS fips, z.msa, contrib, yygrowth, perc
   FROM (SELECT DISTINCT fips, msa FROM zip_level_info) z
-  JOIN (SELECT msa, ({CHANGE_SQL}) / ttl.rate AS contrib, {GROWTH_SQL} AS yygrowth, {PERC_SQL} AS perc
+  JOIN (SELECT msa, ({CHANGE_SQL}) / nullif(ttl.rate, 0) AS contrib, {GROWTH_SQL} AS yygrowth, {PERC_SQL} AS perc
     FROM merged, ttl) m ON z.msa = m.msa"""
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelmetrics.functions import any_like, falls_on, month_first_date, ratio
 from panelmetrics.operators import scope, timeframe
 from panelmetrics.operators.rules import Clause, clause_holds, rule_holds, tag_brands
+from panelmetrics.plans.reports import HORIZON_DAYS
 
 from .base import (
     ADDS,
@@ -153,7 +154,7 @@ def shifted_window(t: Inputs) -> DataFrame:
 
 @check("p16_reporting_horizon", with_views(ITEM_SQL + "orderdate >= DATE '2001-08-01' - 10 - 455"))
 def reporting_horizon(t: Inputs) -> DataFrame:
-    return t.sales.items.filter(F.col("orderdate") >= F.date_sub(F.lit(TODAY), 10 + 455)).select(*ITEM)
+    return t.sales.items.filter(F.col("orderdate") >= F.date_sub(F.lit(TODAY), HORIZON_DAYS)).select(*ITEM)
 
 
 @check("p17_weekday_anchor", with_views(ITEM_SQL + "isodow(orderdate) = 6"))

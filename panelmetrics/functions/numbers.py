@@ -27,6 +27,11 @@ def or_else(value: Column, default: float) -> Column:
     return F.coalesce(value, F.lit(default))
 
 
-def exact_sum(value: Column) -> Column:
-    """Sum of doubles that does not depend on the order rows arrive in."""
-    return F.sum(value.cast("decimal(38,10)")).cast("double")
+def ordered_sum(value: Column) -> Column:
+    """Sum of doubles, smallest first, so that it does not depend on the order rows arrive in.
+
+    Nothing is rounded before the sum. The values of a group are gathered: it is meant for frames
+    that are small by their keys (dates, regions), not for items. Null without a value.
+    """
+    values = F.sort_array(F.collect_list(value.cast("double")))
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda total, v: total + v))

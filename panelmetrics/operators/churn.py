@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import per_panel, ratio
+from ..functions import ordered_sum, per_panel, ratio
 from .rollup import with_panel
 
 
@@ -20,10 +20,8 @@ def daily_event_rates(events: DataFrame, panel: DataFrame, by: Sequence[str] = (
 
 
 def state_volume(rates: DataFrame, by: Sequence[str] = ("event_kind",)) -> DataFrame:
-    """Daily rates added up per state, as decimals so that the order of rows does not matter."""
-    return rates.groupBy(*by, "state_abbrev").agg(
-        F.sum(F.col("ordercount").cast("decimal(38,8)")).cast("double").alias("volume")
-    )
+    """Daily rates added up per state. There is at most one rate per date and region."""
+    return rates.groupBy(*by, "state_abbrev").agg(ordered_sum(F.col("ordercount")).alias("volume"))
 
 
 def cancel_add_ratio(adds: DataFrame, cancels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ and some clauses (a named merchant with looser patterns) escape both.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -61,24 +61,32 @@ def rule_holds(rule: BrandRule) -> Column:
     return holds
 
 
-def tag_each(rows: DataFrame, conditions: Mapping[str, Column], tag: str) -> DataFrame:
-    """One output row per condition that holds, in one pass over the rows.
+def tag_each(rows: DataFrame, conditions: Sequence[tuple[str, Column]], tag: str) -> DataFrame:
+    """One output row per (label, condition) that holds, in one pass over the rows.
 
-    The filter drops the rows no condition wants before any array is built, and lets
-    Catalyst push what the conditions share down to the scan.
+    Labels may repeat: a row is put out for each of their conditions that holds. The filter
+    drops the rows no condition wants before any array is built, and lets Catalyst push
+    what the conditions share down to the scan.
     """
     if len(conditions) == 1:
-        ((label, holds),) = conditions.items()
+        ((label, holds),) = conditions
         return rows.filter(holds).withColumn(tag, F.lit(label))
-    labels = [F.when(holds, F.lit(label)) for label, holds in conditions.items()]
-    wanted = rows.filter(reduce(or_, conditions.values()))
+    labels = [F.when(holds, F.lit(label)) for label, holds in conditions]
+    wanted = rows.filter(reduce(or_, [holds for _, holds in conditions]))
     # Nulls go after the explode: dropping them inside the array would leave generated code.
     return wanted.withColumn(tag, F.explode(F.array(*labels))).filter(F.col(tag).isNotNull())
 
 
 def tag_brands(items: DataFrame, rules: Sequence[BrandRule]) -> DataFrame:
-    """Item rows with their brand; an item of several brands occurs once for each."""
-    return tag_each(items, {rule.brand: rule_holds(rule) for rule in rules}, "brand")
+    """Item rows with their brand; an item of several rules occurs once for each, also if two share a name."""
+    return tag_each(items, [(rule.brand, rule_holds(rule)) for rule in rules], "brand")
+
+
+def distinct_brands(rules: Sequence[BrandRule]) -> None:
+    """Reports tell brands apart by name, so two rules of one name are an error there."""
+    names = [rule.brand for rule in rules]
+    if len(set(names)) < len(names):
+        raise ValueError(f"two rules share a name: {sorted(names)}")
 
 
 def stack_brands(items: DataFrame, rules: Sequence[BrandRule]) -> DataFrame:

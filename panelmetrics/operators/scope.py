@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 from ..functions import year_start
 from ..session import settle
 
-# Rows of a merchant list that still fit every executor: names of some tens of bytes.
-BROADCAST_ROWS = 1_000_000
-
 
 def drop_merchants(items: DataFrame, excluded: Sequence[str]) -> DataFrame:
     """Rows of the listed merchants, and of unknown ones, go."""
@@ -47,16 +44,15 @@ def eligible_merchants(
     return merchants.distinct()
 
 
-def in_merchants(items: DataFrame, merchants: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of the listed merchants, by one join against one counted list.
+def in_merchants(items: DataFrame, merchants: DataFrame) -> DataFrame:
+    """Rows of the listed merchants, by one join against one settled list.
 
-    A short list is broadcast. A longer one is settled and shuffled with the items: as it
-    is then read back as it stands, nothing but this join depends on that shuffle, and
-    adaptive execution can split a merchant with very many rows. (Two lists joined in a
-    row, or a list still to be built, would tie the shuffle down.)
+    Spark chooses the join by the size of the list. As the list is read back as it stands,
+    nothing but this join depends on a shuffle by merchant, and adaptive execution can split
+    a merchant with very many rows. (Two lists joined in a row, or a list still to be
+    built, would tie the shuffle down.)
     """
-    short = merchants.count() <= broadcast_rows
-    return items.join(F.broadcast(merchants) if short else settle(merchants), "merchant", "left_semi")
+    return items.join(settle(merchants), "merchant", "left_semi")
 
 
 def in_distribution_types(items: DataFrame, merchant_sector: DataFrame, types: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import any_like, exact_sum, ratio, sunday_week
+from ..functions import any_like, ordered_sum, ratio, sunday_week
 from .rules import BrandRule
 
 ITEM_KEYS = ("odate", "brand", "merchant", "itemdescription")
@@ -47,9 +47,10 @@ def share_within(frame: DataFrame, value: str, by: Sequence[str], name: str = "p
 def share_of_total(frame: DataFrame, value: str, name: str = "perc") -> DataFrame:
     """Each row's part of the grand total, which is one row and therefore safe to broadcast.
 
-    The frame is read twice; give it settled when it is dear to build.
+    The frame is read twice and its values are gathered for the total: give it settled, and with
+    a row per region or the like.
     """
-    total = frame.agg(exact_sum(F.col(value)).alias("grand_total"))
+    total = frame.agg(ordered_sum(F.col(value)).alias("grand_total"))
     return (
         frame.crossJoin(F.broadcast(total))
         .withColumn(name, ratio(F.col(value), F.col("grand_total")))

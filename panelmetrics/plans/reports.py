@@ -2,7 +2,8 @@
 
 Reports that need one small frame in several branches (brand-days, zip totals) build it
 in one pass over the fact, settle it, and do the rest on a few thousand rows. `calendar`
-may be a settled calendar shared by several reports; `today` stands for the run date.
+may be a settled calendar shared by several reports, `latest` the last date of the fact where it is known;
+`today` stands for the run date.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import falls_on
+from ..functions import falls_on, ratio
 from ..operators import geo, rollup, scope, share, smooth, timeframe, yoy
 from ..operators.churn import cancel_add_ratio, daily_event_rates, state_volume
-from ..operators.rules import BrandRule, rule_holds, tag_brands, tag_each
+from ..operators.rules import BrandRule, distinct_brands, rule_holds, tag_brands, tag_each
 from ..session import settle
 from ..sources import PanelTables
 
@@ -43,9 +44,12 @@ class WeeklySeries:
     legacy_price_yoy: bool = False
 
 
-def _latest(tables: PanelTables, calendar: DataFrame | None) -> dt.date | None:
+def _latest(tables: PanelTables, calendar: DataFrame | None, latest: dt.date | None) -> dt.date | None:
     """Last date of the fact: one value, known before the main pass is planned, so that
-    date limits are literals the scan can prune by."""
+    date limits are literals the scan can prune by. Without `latest` or a calendar it
+    costs a pass over the date column."""
+    if latest is not None:
+        return latest
     days = tables.items if calendar is None else calendar
     return days.agg(F.max("orderdate")).first()[0]
 
@@ -96,11 +100,13 @@ def weekly_growth(
     today: dt.date,
     calendar: DataFrame | None = None,
     horizon_days: int | None = HORIZON_DAYS,
+    latest: dt.date | None = None,
 ) -> DataFrame:
     """Weekly sales, orders, basket and price of each brand with year-over-year growth."""
+    distinct_brands([s.rule for s in series])
     if calendar is None and (any(s.daily for s in series) or not _starts_a_year(since)):
         calendar = settle(timeframe.calendar_of(tables.items))
-    latest = _latest(tables, calendar)
+    latest = _latest(tables, calendar, latest)
     daily = settle(brand_days(tables, series, sectors, since, calendar, latest))
     lines = []
     # Brands of one kind share a branch, so the plan does not grow with the number of brands.
@@ -134,8 +140,11 @@ def weekly_market_share(
     items = tables.items.filter(
         F.col("orderdate").between(F.lit(first_sunday), F.lit(last_sunday + dt.timedelta(days=6)))
     )
-    branded = tag_brands(scope.in_sectors(items, tables.merchant_sector, sectors), rules)
-    counts = share.drop_unconfirmed_singletons(share.weekly_item_orders(branded), rules)
+    distinct_brands(rules)
+    # Merchant is a key of the counts, so the sectors are looked up for counts and never for items:
+    # a merchant with much of the fact arrives there as few rows.
+    counted = share.weekly_item_orders(tag_brands(items, rules))
+    counts = share.drop_unconfirmed_singletons(scope.in_sectors(counted, tables.merchant_sector, sectors), rules)
     return (
         share.share_within(share.weekly_brand_orders(counts), "order_count", ["odate"])
         .select("odate", "brand", "perc")
@@ -149,9 +158,10 @@ def contribution_by_county(
     sectors: Sequence[str],
     today: dt.date,
     calendar: DataFrame | None = None,
+    latest: dt.date | None = None,
 ) -> DataFrame:
     """What each region adds to a brand's growth over last year's same window, per county."""
-    latest = _latest(tables, calendar)
+    latest = _latest(tables, calendar, latest)
 
     def periods(day: str) -> dict[str, Column]:
         return {
@@ -162,7 +172,7 @@ def contribution_by_county(
         }
 
     items = scope.in_sectors(tables.items.filter(rule_holds(rule)), tables.merchant_sector, sectors)
-    in_periods = tag_each(items, periods("orderdate"), "period")
+    in_periods = tag_each(items, list(periods("orderdate").items()), "period")
     wanted = periods("udate")
     cohort = tables.cohort.filter(wanted["current"] | wanted["prior"])
     members = scope.active_members(cohort, tables.mailbox_zip, geo.mailbox_zip_prefix(F.col("shiptozip")))
@@ -177,7 +187,7 @@ def contribution_by_county(
     changes = geo.region_change(geo.outer_merge(side("current"), side("prior")))
     total = rollup.window_rate(by_zip.filter("period = 'prior'"), ["period"]).select(F.col("rate").alias("total"))
     by_region = geo.attach_scalar(share.share_of_total(changes, "current"), total).select(
-        "msa", (F.col("change") / F.col("total")).alias("contrib"), "yygrowth", "perc"
+        "msa", ratio(F.col("change"), F.col("total")).alias("contrib"), "yygrowth", "perc"
     )
     return geo.to_counties(by_region, tables.geo).select("fips", "msa", "contrib", "yygrowth", "perc")
 
@@ -190,9 +200,11 @@ def gap_by_county(
     today: dt.date,
     name: str = "gap",
     calendar: DataFrame | None = None,
+    latest: dt.date | None = None,
 ) -> DataFrame:
     """Difference of two brands' panel-normalised sales over the trailing window, per county."""
-    latest = _latest(tables, calendar)
+    distinct_brands([left, right])
+    latest = _latest(tables, calendar, latest)
 
     def wanted(day: str) -> Column:
         cohort_day = today - dt.timedelta(days=CURRENT_COHORT_LAG)
@@ -227,10 +239,11 @@ def cancel_add_by_state(
     The two windows differ on purpose: cancels of a recent week against adds to date.
     """
     events = tables.items.filter(F.col("merchant") == merchant)
-    kinds = {
-        rule.brand: rule_holds(rule) & F.col("orderdate").between(F.lit(first), F.lit(last))
+    distinct_brands([adds, cancels])
+    kinds = [
+        (rule.brand, rule_holds(rule) & F.col("orderdate").between(F.lit(first), F.lit(last)))
         for rule, (first, last) in ((adds, add_days), (cancels, cancel_days))
-    }
+    ]
     orders = tag_each(events, kinds, "event_kind").select("event_kind", *rollup.ORDER_KEYS).distinct()
     cohort = tables.cohort.filter(
         F.col("udate").between(F.lit(min(add_days[0], cancel_days[0])), F.lit(max(add_days[1], cancel_days[1])))

@@ -17,10 +17,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 MONEY = "decimal(12,2)"
+QUANTITY = "decimal(18,6)"
 
 
 @dataclass(frozen=True)
@@ -35,14 +37,25 @@ class PanelTables:
 
 
 def typed_items(items: DataFrame) -> DataFrame:
-    """Item rows with the types the reports rely on: real dates and exact money."""
+    """Item rows with the types the reports rely on: real dates and exact money.
+
+    Decimals keep the scale of the source; of other numbers, money becomes decimals of two places and
+    quantities (which may be weights) of six.
+    """
+
+    def exact(name: str, kind: str) -> Column:
+        column = F.col(name)
+        return (column if isinstance(items.schema[name].dataType, DecimalType) else column.cast(kind)).alias(name)
+
     return items.select(
         F.col("mailboxid").cast("long").alias("mailboxid"),
         F.col("orderid").cast("long").alias("orderid"),
         F.col("orderdate").cast("date").alias("orderdate"),
         "merchant",
         "itemdescription",
-        *[F.col(c).cast(MONEY).alias(c) for c in ("itemquantity", "itemprice", "ordertotal")],
+        exact("itemquantity", QUANTITY),
+        exact("itemprice", MONEY),
+        exact("ordertotal", MONEY),
     )
 
 

@@ -88,3 +88,16 @@ def test_state_volume_adds_daily_rates(spark):
     volumes = churn.state_volume(churn.daily_event_rates(events, panel))
     assert {(r.state_abbrev, r.volume) for r in volumes.collect()} == {("NY", 250.0), (None, 50.0)}
     assert volumes.filter(F.col("event_kind") != "adds").count() == 0
+
+
+def test_rates_of_a_very_large_panel_keep_their_digits(spark):
+    import datetime as dt
+
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=n) for n in range(30)]
+    events = spark.createDataFrame(
+        [("adds", day, n, "A", "NY") for n, day in enumerate(days)],
+        "event_kind string, orderdate date, orderid long, msa string, state_abbrev string",
+    )
+    panel = spark.createDataFrame([(day, 700_000_000) for day in days], "date date, panel long")
+    volume = churn.state_volume(churn.daily_event_rates(events, panel)).first().volume
+    assert volume == pytest.approx(30 * 10_000 / 700_000_000, rel=1e-12)

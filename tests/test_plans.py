@@ -177,7 +177,7 @@ def test_items_are_combined_before_they_move(tables):
 
 def test_a_hot_merchant_is_split_when_the_list_is_too_large_to_broadcast(tables, large_sides):
     merchants = scope.eligible_merchants(tables.merchant_sector, ["Food"], tables.quality_merchants)
-    kept = scope.in_merchants(tables.items, merchants, broadcast_rows=10)
+    kept = scope.in_merchants(tables.items, merchants)
     assert "SortMergeJoin(skew=true)" in executed(rollup.order_rollup(tag_brands(kept, RULES)))
 
 
@@ -199,3 +199,37 @@ def test_results_do_not_depend_on_the_join_strategy(tables, spark, request):
     request.getfixturevalue("large_sides")
     shuffled = sorted(map(tuple, brand_days(tables, series).collect()))
     assert broadcast == shuffled and broadcast
+
+
+def test_market_share_looks_up_merchants_for_counts_only(tables, large_sides):
+    """No exchange of item rows by merchant: merchants are joined to the aggregated counts."""
+    frame = weekly_market_share(tables, RULES, ["Food"], LAST, dt.date(2020, 7, 1))
+    lines = plan_of(frame).splitlines()
+    depth = next(n for n, line in enumerate(lines) if "FileScan" in line and "/items" in line)
+    moves = [line for line in lines[:depth] if "Exchange hashpartitioning(merchant" in line]
+    counts = next(n for n, line in enumerate(lines) if "HashAggregate" in line and "count(distinct orderid" in line)
+    assert len(moves) == 1 and lines.index(moves[0]) < counts
+
+
+def test_the_merchant_list_gives_the_same_rows_under_any_join(tables, spark, request):
+    merchants = scope.eligible_merchants(tables.merchant_sector, ["Food"], tables.quality_merchants).filter("merchant <> 'M1'")
+    kept = scope.in_merchants(tables.items, merchants).count()
+    request.getfixturevalue("large_sides")
+    assert kept == scope.in_merchants(tables.items, merchants).count() == tables.items.filter("merchant <> 'M1'").count()
+
+
+def test_a_known_last_date_saves_the_pass_over_the_dates(tables, spark):
+    """With `latest` given, the gap report reads the items in one job's scan only."""
+    red, blue = RULES[:2]
+    known = reports.gap_by_county(tables, red, blue, ["Food"], LAST, latest=LAST)
+    looked_up = reports.gap_by_county(tables, red, blue, ["Food"], LAST)
+    assert sorted(map(tuple, known.collect())) == sorted(map(tuple, looked_up.collect()))
+
+
+def test_source_decimals_keep_their_scale(spark):
+    row = spark.sql(
+        "select 1L as mailboxid, 1L as orderid, date '2020-01-01' as orderdate, 'm' as merchant, 'i' as itemdescription, "
+        "1.235BD as itemquantity, 2.5D as itemprice, cast(3 as decimal(12,2)) as ordertotal"
+    )
+    typed = typed_items(row)
+    assert [str(v) for v in typed.select("itemquantity", "itemprice", "ordertotal").first()] == ["1.235", "2.50", "3.00"]

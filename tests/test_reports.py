@@ -1,9 +1,11 @@
 """Reports on small tables: figures by hand, empty input, and the published parameters."""
 
+import dataclasses
 import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelmetrics.operators.rules import BrandRule, Clause
 from panelmetrics.plans import (
@@ -86,6 +88,12 @@ def test_contribution_by_county(two_years):
     assert (rows["36061"].contrib, rows["36061"].yygrowth, rows["36061"].perc) == (1.0, 100.0, 1.0)
 
 
+def test_contribution_without_prior_sales_is_null(make_tables, two_years):
+    free = two_years.items.withColumn("itemprice", F.lit(0).cast("decimal(12,2)"))
+    frame = contribution_by_county(dataclasses.replace(two_years, items=free), RED, ["Food"], SATURDAY)
+    assert {r.contrib for r in frame.collect()} <= {None}
+
+
 def test_gap_by_county(two_years):
     rows = {r.fips: r.gap for r in gap_by_county(two_years, RED, BLUE, ["Food"], SATURDAY).collect()}
     assert rows == {"36047": 31 * 20 * 10.0, "36061": 31 * 20 * 10.0}

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelmetrics.functions import any_like
-from panelmetrics.operators.rules import BrandRule, Clause, rule_holds, stack_brands, tag_brands
+from panelmetrics.operators.rules import BrandRule, Clause, distinct_brands, rule_holds, stack_brands, tag_brands
 from panelmetrics.plans import published
 from panelmetrics.plans.published import ADDS, CANCELS, OTHER_GROWTH, SHARE_RULES, TRULY_FOCUS
 
@@ -179,3 +179,16 @@ def test_published_exclusion_lists_differ_as_published():
     assert set(published.EXCLUDED_SWAPPED) == set(published.EXCLUDED_LESS) | {"TJ Maxx"}
     assert len(published.SUBSCRIPTION_ADDS) == 22
     assert len(published.SUBSCRIPTION_CANCELS) == 20
+
+
+def test_rules_of_one_name_all_count(make_tables, item):
+    rules = [BrandRule("X", (Clause(("RED %",)),)), BrandRule("X", (Clause(("%WIDGET",)),))]
+    items = make_tables(items=[item("2020-01-01", "red widget"), item("2020-01-01", "red gear")]).items
+    tagged = tag_brands(items, rules).select("brand", "itemdescription")
+    stacked = stack_brands(items, rules).select("brand", "itemdescription")
+    assert sorted(tagged.collect()) == sorted(stacked.collect()) and tagged.count() == 3
+
+
+def test_reports_refuse_rules_of_one_name():
+    with pytest.raises(ValueError, match="share a name"):
+        distinct_brands([BrandRule("X", (Clause(("RED %",)),)), BrandRule("X", (Clause(("%WIDGET",)),))])
