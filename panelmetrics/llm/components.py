@@ -11,27 +11,43 @@ from panelmetrics.llm.common import written
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, label) of every end of edges (a, b): label is the smallest id of the component.
 
-    In a round every id takes the smallest label of its neighbours, then the label of its
-    label; minima combine before they move, so an id with many edges costs one row per task.
-    The rounds grow with the logarithm of the longest path, and each is written to the shared
-    folder.
+    In a round every id takes the smallest of itself and its neighbours, then the label of its label
+    until it stands on a root; ids with one root become one, and edges inside it go. Minima
+    combine before they move, so an id with many edges costs one row per task. Rounds and jumps
+    grow with the logarithm of the component, and each result is in the shared folder.
     """
-    both = written(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
-        "edges",
-    )
-    labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"), "labels")
-    while True:
-        heard = (
-            both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
-        )
-        least = labels.join(heard.withColumnRenamed("a", "id"), "id").select(
-            "id", F.col("label").alias("old"), F.least("label", "heard").alias("label")
+    pairs = distinct_pairs(edges.select("a", "b"))
+    labels = None
+    while labels is None or not pairs.isEmpty():
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        roots = on_roots(
+            written(
+                both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "id"), "roots"
+            )
         )
-        above = labels.select(F.col("id").alias("label"), F.col("label").alias("above"))
-        jumped = written(
-            least.join(above, "label").select("id", "old", F.least("label", "above").alias("label")), "labels"
-        )
-        labels = jumped.select("id", "label")
-        if jumped.where("old <> label").isEmpty():
-            return labels
+        if labels is None:
+            labels = roots.withColumnRenamed("root", "label")
+        else:
+            above = roots.withColumnRenamed("id", "label")
+            labels = written(
+                labels.join(above, "label", "left").select("id", F.coalesce("root", "label").alias("label")), "labels"
+            )
+        left = roots.select(F.col("id").alias("a"), F.col("root").alias("left"))
+        right = roots.select(F.col("id").alias("b"), F.col("root").alias("right"))
+        pairs = distinct_pairs(pairs.join(left, "a").join(right, "b").select(F.col("left").alias("a"), F.col("right").alias("b")))
+    return labels
+
+
+def distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """Each pair of different ids once, the smaller one first."""
+    return written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+
+def on_roots(roots: DataFrame) -> DataFrame:
+    """Every id with the root that its chain of roots ends at."""
+    while True:
+        above = roots.select(F.col("id").alias("root"), F.col("root").alias("above"))
+        jumped = written(roots.join(above, "root").select("id", "root", "above"), "roots")
+        roots = jumped.select("id", F.col("above").alias("root"))
+        if jumped.where("root <> above").isEmpty():
+            return roots

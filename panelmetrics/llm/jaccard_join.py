@@ -233,8 +233,9 @@ def likely_edges(members: DataFrame, pruned: float) -> DataFrame:
             edges = np.unique(np.stack([ids[edge], ids[root[edge]]]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], names=["a", "b"])
 
-    grouped = by_group(members.select("node", "low", "high", "id", "bytes"), ["node", "low", "high"])
-    return grouped.mapInArrow(run, "a long, b long")
+    # by id inside a group, so that the root of a group is its smallest id and groups agree on few roots
+    grouped = members.select("node", "low", "high", "id", "bytes").repartition("node", "low", "high")
+    return grouped.sortWithinPartitions("node", "low", "high", "id").mapInArrow(run, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
