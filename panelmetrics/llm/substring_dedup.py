@@ -4,10 +4,11 @@
    inside the window, chosen alike in equal windows. One pass counts the anchors of all documents,
    distinct ones per task first; anchors that stand twice or more are shared.
 2. A second pass looks at the windows of shared anchors only. What repeats inside a chunk of a task is
-   settled there; the first of each window in the chunk goes to the owner of its hash (96 bits),
-   so a passage that a third of the rows share costs one row per chunk. Owners name all but the
-   earliest one.
-3. Named windows are gathered per document, and only texts with such windows are joined with them.
+   settled there; the first of each window in the chunk goes to the owner of its anchor, so a
+   passage that a third of the rows share costs one row per window and chunk. Owners compare the
+   windows of an anchor (by 64 bits of hash besides the 64 of the anchor) and name all but the earliest.
+3. Named windows are gathered per document as stretches of starts, and only texts that have some are joined
+   with them.
 
 The shared anchors reach the tasks as a bitmap of 2**bits bits, whatever the input. It only
 decides which windows are compared at all; where it fills up, more windows are compared and the
@@ -31,7 +32,7 @@ from panelmetrics.llm.common import text_of, written
 from panelmetrics.llm.exact_dedup import filter_bits
 from panelmetrics.llm.jaccard_join import FILTER_BITS, by_group, group_slices, row_key
 from panelmetrics.llm.recompression import Anchors
-from panelmetrics.llm.words import WordNumbers, mixed
+from panelmetrics.llm.words import WordNumbers
 
 WIDTH = 20
 ANCHOR_BITS = 27
@@ -69,54 +70,58 @@ def shared_anchors(frame: DataFrame, width: int) -> DataFrame:
 
 
 class Chunk:
-    """Windows of some documents of a task: hash, check, document, start."""
+    """Windows of some documents of a task: anchor, hash, document, start."""
 
     def __init__(self):
         self.rows: list[tuple[int | None, int]] = []
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, doc_id: int | None, row: int, hashes: np.ndarray, checks: np.ndarray, starts: np.ndarray) -> None:
+    def add(self, doc_id: int | None, row: int, keys: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> None:
         at = np.full(len(starts), len(self.rows), dtype=np.int64)
         self.rows.append((doc_id, row))
-        self.parts.append((hashes, checks, at, starts))
+        self.parts.append((keys, hashes, at, starts))
         self.size += len(starts)
 
     def settled(self) -> pa.RecordBatch:
-        """First windows of the chunk (to their owners), and named windows by document (starts)."""
-        hashes, checks, at, starts = (np.concatenate(p) for p in zip(*self.parts, strict=True))
+        """First windows of the chunk (to the owners of their anchors), and stretches of named ones (with a length)."""
+        keys, hashes, at, starts = (np.concatenate(p) for p in zip(*self.parts, strict=True))
         order_of = sorted(range(len(self.rows)), key=lambda i: (self.rows[i][0] is None, self.rows[i][0] or 0, self.rows[i][1]))
         rank = np.empty(len(order_of), dtype=np.int64)
         rank[order_of] = np.arange(len(order_of))
-        order = np.lexsort((rank[at] << 32 | starts, checks, hashes))
-        hashes, checks, at, starts = hashes[order], checks[order], at[order], starts[order]
-        first = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])])
+        order = np.lexsort((rank[at] << 32 | starts, hashes, keys))
+        keys, hashes, at, starts = keys[order], hashes[order], at[order], starts[order]
+        first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (hashes[1:] != hashes[:-1])])
         documents = np.array([LAST if d is None else d for d, _ in self.rows], dtype=np.int64)
         rows = np.array([r for _, r in self.rows], dtype=np.int64)
-        named = named_starts(rows[at[~first]], starts[~first])
-        few, none = int(first.sum()), pa.nulls(len(named[0]))
+        named, begin, length = stretches(rows[at[~first]], starts[~first])
+        few, none = int(first.sum()), pa.nulls(len(named)).cast(pa.int64())
         return pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([pa.array(hashes[first].view(np.int64)), pa.array(named[0])]),
-                pa.concat_arrays([pa.array(checks[first] << 32 | starts[first]), none.cast(pa.int64())]),
-                pa.concat_arrays([pa.array(documents[at[first]]), none.cast(pa.int64())]),
-                pa.concat_arrays([pa.array(rows[at[first]]), pa.array(named[0])]),
-                pa.concat_arrays([pa.nulls(few).cast(pa.binary()), pa.array(named[1], pa.binary())]),
+                pa.concat_arrays([pa.array(keys[first].view(np.int64)), pa.array(named)]),
+                pa.concat_arrays([pa.array(hashes[first].view(np.int64)), none]),
+                pa.concat_arrays([pa.array(documents[at[first]]), none]),
+                pa.concat_arrays([pa.array(rows[at[first]]), pa.array(named)]),
+                pa.concat_arrays([pa.array(starts[first].astype(np.int32)), pa.array(begin)]),
+                pa.concat_arrays([pa.nulls(few).cast(pa.int32()), pa.array(length)]),
             ],
-            names=["owner", "place", "doc_id", "row", "starts"],
+            names=["owner", "hash", "doc_id", "row", "start", "length"],
         )
 
 
-def named_starts(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Starts of named windows by row, as bytes."""
-    order = np.argsort(rows, kind="stable")
-    rows, starts = rows[order], starts[order].astype(np.int32)
-    edges = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1], [True]])) if len(rows) else np.zeros(1, np.int64)
-    return rows[edges[:-1]], [starts[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+def stretches(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first start and number of each run of consecutive starts in a row."""
+    order = np.lexsort((starts, rows))
+    rows, starts = rows[order], starts[order]
+    fresh = np.ones(len(rows), dtype=bool)
+    fresh[1:] = (rows[1:] != rows[:-1]) | (starts[1:] > starts[:-1] + 1)
+    at = np.flatnonzero(fresh)
+    last = np.concatenate([at[1:], [len(rows)]]) - 1 if len(at) else at
+    return rows[at], starts[at].astype(np.int32), (starts[last] - starts[at] + 1).astype(np.int32)
 
 
 def likely_windows(frame: DataFrame, held: bytes, bits: int, width: int) -> DataFrame:
-    """Windows of shared anchors: (owner, place, doc_id, row, starts); see Chunk.settled."""
+    """Windows of shared anchors: (owner, hash, doc_id, row, start, length); see Chunk.settled."""
     shared = frame.sparkSession.sparkContext.broadcast(held)
 
     def run(batches):
@@ -126,12 +131,11 @@ def likely_windows(frame: DataFrame, held: bytes, bits: int, width: int) -> Data
             for row, doc_id, text in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True
             ):
-                words = numbers.of(text.as_buffer().to_pybytes())
-                hashes, keys, _ = anchors(words)
+                hashes, keys, _ = anchors(numbers.of(text.as_buffer().to_pybytes()))
                 place = (keys >> np.uint64(64 - bits)).astype(np.int64)
                 starts = np.flatnonzero(bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1)
                 if len(starts):
-                    chunk.add(doc_id, row, hashes[starts], second_hash(words, starts, width), starts)
+                    chunk.add(doc_id, row, keys[starts], hashes[starts], starts)
                 if chunk.size >= CHUNK:
                     yield chunk.settled()
                     chunk = Chunk()
@@ -139,50 +143,42 @@ def likely_windows(frame: DataFrame, held: bytes, bits: int, width: int) -> Data
             yield chunk.settled()
 
     return frame.select("row", "doc_id", "text").mapInArrow(
-        run, "owner long, place long, doc_id long, row long, starts binary"
+        run, "owner long, hash long, doc_id long, row long, start int, length int"
     )
 
 
-def second_hash(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """31 more bits of a window, by another chain of hashes."""
-    held = np.zeros(len(starts), dtype=np.uint64)
-    for shift in range(width):
-        held = (held ^ words[starts + shift]) * np.uint64(0xD6E8FEB86659FD93)
-        held ^= held >> np.uint64(32)
-    return (mixed(held) >> np.uint64(33)).astype(np.int64)
-
-
 def named_windows(windows: DataFrame) -> DataFrame:
-    """(row, starts) of all windows that also stand earlier, in several rows per document."""
+    """(row, start, length): stretches of windows that also stand earlier."""
 
     def run(batches):
         for table in group_slices(batches, 1, rows=262_144):
-            settled = table.column("starts").is_valid().to_numpy()
+            settled = table.column("length").is_valid().to_numpy()
             if settled.any():
-                done = table.filter(pa.array(settled))
-                yield from done.select(["row", "starts"]).to_batches()
+                yield from table.filter(pa.array(settled)).select(["row", "start", "length"]).to_batches()
             rest = table.filter(pa.array(~settled))
             if not rest.num_rows:
                 continue
-            owner, place, doc_id, row = (rest.column(n).to_numpy() for n in ("owner", "place", "doc_id", "row"))
-            check, start = place >> 32, place & 0xFFFFFFFF
-            order = np.lexsort((start, row, doc_id, check, owner))
-            again = np.concatenate([[False], (owner[order][1:] == owner[order][:-1]) & (check[order][1:] == check[order][:-1])])
-            rows, starts = named_starts(row[order][again], start[order][again])
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(starts, pa.binary())], names=["row", "starts"])
+            owner, hashes, doc_id, row, start = (
+                rest.column(n).to_numpy() for n in ("owner", "hash", "doc_id", "row", "start")
+            )
+            order = np.lexsort((start, row, doc_id, hashes, owner))
+            owner, hashes = owner[order], hashes[order]
+            again = np.concatenate([[False], (owner[1:] == owner[:-1]) & (hashes[1:] == hashes[:-1])])
+            found = stretches(row[order][again], start[order][again].astype(np.int64))
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["row", "start", "length"])
 
-    return by_group(windows, ["owner"]).mapInArrow(run, "row long, starts binary")
+    return by_group(windows, ["owner"]).mapInArrow(run, "row long, start int, length int")
 
 
-def without_windows(text: bytes, starts: np.ndarray, width: int) -> tuple[int, int, str]:
+def without_windows(text: bytes, named: list[dict] | None, width: int) -> tuple[int, int, str]:
     """Words, words removed, and the kept words joined by one space."""
-    words = text.split()
-    change = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + width, -1)
-    gone = np.cumsum(change[:-1]) > 0
-    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
+    words = kept = text.split()
+    if named:
+        gone = np.zeros(len(words), dtype=bool)
+        for stretch in named:
+            gone[stretch["start"] : stretch["start"] + stretch["length"] - 1 + width] = True
+        kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
     return len(words), len(words) - len(kept), b" ".join(kept).decode()
 
 
@@ -199,10 +195,10 @@ def remove_repeats(
     )
     frame = frame.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     anchors = filter_bits(shared_anchors(frame, width), bits)
-    starts = written(named_windows(likely_windows(frame, anchors, bits, width)), "named")
-    gathered = starts.groupBy("row").agg(F.collect_list("starts").alias("starts"))
+    named = written(named_windows(likely_windows(frame, anchors, bits, width)), "named")
+    gathered = named.groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("named"))
     held = frame.sparkSession.sparkContext.broadcast(
-        filter_bits(starts.select(F.xxhash64("row").alias("fingerprint")), FILTER_BITS)
+        filter_bits(named.select(F.xxhash64("row").alias("fingerprint")), FILTER_BITS)
     )
     placed = frame.withColumn("place", F.shiftrightunsigned(F.xxhash64("row"), 64 - FILTER_BITS))
 
@@ -221,11 +217,7 @@ def remove_repeats(
 
     def cut(batch, lists) -> pa.RecordBatch:
         texts = (t.as_buffer().to_pybytes() for t in batch.column(batch.schema.get_field_index("text")))
-        none = np.zeros(0, np.int64)
-        rows = [
-            without_windows(t, np.frombuffer(b"".join(s), np.int32).astype(np.int64) if s else none, width)
-            for t, s in zip(texts, lists, strict=True)
-        ]
+        rows = [without_windows(t, s, width) for t, s in zip(texts, lists, strict=True)]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(batch.schema.get_field_index("doc_id")),
@@ -240,10 +232,10 @@ def remove_repeats(
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 piece = batch.slice(start, 1000)
-                yield cut(piece, piece.column(piece.schema.get_field_index("starts")).to_pylist())
+                yield cut(piece, piece.column(piece.schema.get_field_index("named")).to_pylist())
 
     schema = "doc_id long, n_words long, n_removed long, kept string"
     columns = ["doc_id", "text", "row", "place"]
     likely = placed.select(*columns).mapInArrow(passed, "doc_id long, text string, row long, place long")
-    joined = likely.join(gathered.hint("merge"), "row", "left").select("doc_id", "text", "starts")
+    joined = likely.join(gathered.hint("merge"), "row", "left").select("doc_id", "text", "named")
     return placed.select(*columns).mapInArrow(whole, schema).unionByName(joined.mapInArrow(listed, schema))
