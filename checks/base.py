@@ -132,9 +132,11 @@ cohort_list AS (
   UNION ALL SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE), 'urgent' FROM orders
   WHERE o_orderpriority = '1-URGENT'),
 zip_level_info AS (
-  SELECT CAST(n_nationkey * 397 + 501 AS VARCHAR) AS zipcode, CAST(n_nationkey * 1000 + 1 AS VARCHAR) AS fips,
+  SELECT CAST(n_nationkey * 397 + 501 AS VARCHAR) AS zipcode, CAST(n_nationkey * 1000 + county AS VARCHAR) AS fips,
          concat('MSA_', CAST(n_nationkey % 10 AS VARCHAR)) AS msa, substring(r_name, 1, 2) AS state_abbrev
-  FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 23),
+  FROM nation JOIN region ON n_regionkey = r_regionkey JOIN (VALUES (1), (3)) AS counties(county)
+    ON county = 1 OR n_nationkey % 5 = 3
+  WHERE n_nationkey < 23),
 zip_msa AS (SELECT right(concat('00000', coalesce(zipcode, '')), 5) AS zip, msa, state_abbrev FROM zip_level_info),
 fact_events AS (
   SELECT user_id AS mailboxid, event_id AS orderid, CAST(ts AS DATE) AS orderdate,

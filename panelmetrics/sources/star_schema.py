@@ -78,12 +78,14 @@ def star_schema_tables(spark: SparkSession, folder: str) -> StarSchemaTables:
             F.col(mailbox).alias("mailboxid"), F.col("day").alias("udate"), F.lit(kind).alias("cohort")
         ).distinct()
 
+    placed = nations.filter("n_nationkey < 23").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    # A zip that lies in two counties has two rows.
+    counties = F.when(F.col("n_nationkey") % 5 == 3, F.array(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(1)))
     geo = (
-        nations.filter("n_nationkey < 23")
-        .join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+        placed.withColumn("county", F.explode(counties))
         .select(
             (F.col("n_nationkey") * 397 + 501).cast("string").alias("zipcode"),
-            (F.col("n_nationkey") * 1000 + 1).cast("string").alias("fips"),
+            (F.col("n_nationkey") * 1000 + F.col("county")).cast("string").alias("fips"),
             F.concat(F.lit("MSA_"), (F.col("n_nationkey") % 10).cast("string")).alias("msa"),
             F.substring("r_name", 1, 2).alias("state_abbrev"),
         )
