@@ -1,8 +1,9 @@
 """Quality classifier: a linear hinge-loss model over n-grams scaled by naive Bayes ratios.
 
-Features are indicators of hashed byte 4-grams, and of whether a word is said three times in a
-row. They are scaled by the log ratio of the smoothed class counts, and divided by the root
-of their number, so that short and long texts are alike. The hinge-loss model is fitted by dual
+Features are indicators of hashed byte 4-grams, and of how large a share of the word pairs say one word
+twice (an eighth, a quarter, a half or more). They are scaled by the log ratio of the smoothed
+class counts; 4-grams are divided by the root of their number, so that short and long texts
+are alike, and the few indicators of pairs count a fixed part. The hinge-loss model is fitted by dual
 coordinate descent, and its margin becomes a probability by a logistic curve fitted to rows
 that the model has not seen.
 
@@ -20,6 +21,7 @@ empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,9 @@ from panelmetrics.llm.common import text_of
 
 BITS = 18
 BUCKETS = 1 << BITS
-SAID_THRICE = BUCKETS  # the feature after the hashed ones
-FEATURES = BUCKETS + 1
+SHARES = (0.125, 0.25, 0.5)  # their features come after the hashed ones
+SHARE_SCALE = 0.3
+FEATURES = BUCKETS + len(SHARES)
 SAMPLE = 6_000
 THRESHOLD = 0.3
 
@@ -52,9 +55,15 @@ class Features:
             self.last[hashed] = order
             found = hashed[self.last[hashed] == order]
         words = text.split()
-        if any(a == b == c for a, b, c in zip(words, words[1:], words[2:])):
-            found = np.append(found, SAID_THRICE)
-        return found
+        twice = sum(map(eq, words, words[1:]))
+        held = [BUCKETS + i for i, share in enumerate(SHARES) if twice and twice >= share * (len(words) - 1)]
+        return np.append(found, held).astype(np.int64) if held else found
+
+
+def scales(features: np.ndarray) -> np.ndarray:
+    """What each feature of a text counts before the class ratios."""
+    hashed = features < BUCKETS
+    return np.where(hashed, 1 / max(1, hashed.sum()) ** 0.5, SHARE_SCALE)
 
 
 @dataclass
@@ -65,7 +74,7 @@ class Model:
     offset: float = 0.0
 
     def margin(self, features: np.ndarray) -> float:
-        return float(self.weights[features].sum() / max(1, len(features)) ** 0.5 + self.bias)
+        return float(self.weights[features] @ scales(features) + self.bias)
 
     def score(self, features: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(features) + self.offset, -500, 500))))
@@ -86,7 +95,7 @@ def dual_coordinate_descent(
 
     The weights returned are those of the unscaled indicators.
     """
-    scaled = [ratio[f] / max(1, len(f)) ** 0.5 for f in rows]
+    scaled = [ratio[f] * scales(f) for f in rows]
     lengths = np.array([x @ x + 1.0 for x in scaled])
     weights, bias, alpha = np.zeros(FEATURES), 0.0, np.zeros(len(rows))
     shuffled = np.random.default_rng(seed)
