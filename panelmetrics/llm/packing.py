@@ -227,7 +227,8 @@ def pack_texts(
     words = F.array_remove(F.split("text", f"[{WHITE}]+"), "")
     piece = F.array_join(F.slice("words", (F.col("start") + 1).cast("int"), F.col("n_words").cast("int")), " ")
     return (
-        placed.join(rows.select("key", words.alias("words")), "key")
+        placed.join(rows.select("key", "text"), "key")  # texts move whole: arrays of words are twice their size
+        .withColumn("words", words)
         .withColumn("text", piece)
         .select("doc_id", "piece", "start", "n_words", "bin_id", "capacity", "place", "text")
     )
