@@ -88,23 +88,24 @@ def cohort_in_fact_years(cohort: DataFrame, calendar: DataFrame, since: dt.date)
     return cohort.join(F.broadcast(years), year_start(F.col("udate")) == F.col("year"), "left_semi")
 
 
-def cohort_days(cohort: DataFrame) -> DataFrame:
-    """One row per (mailbox, date) with the number of cohort rows it stands for.
+def cohort_days(cohort: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """One row per (mailbox, date) with the number of cohort rows it stands for, and columns fixed by the mailbox.
 
     Joining a fact to several cohort rows multiplies its sums by that number; the number
     is carried as `copies` instead of the rows.
     """
-    return cohort.groupBy("mailboxid", "udate").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    return cohort.groupBy("mailboxid", "udate", *more).agg(F.count(F.lit(1)).cast("int").alias("copies"))
 
 
 def active_members(cohort: DataFrame, mailbox_zip: DataFrame, zip_of: Column | None = None) -> DataFrame:
-    """Cohort days of the single-address mailboxes, with copies and zip."""
+    """Cohort days of the single-address mailboxes, with copies and zip.
+
+    Zips come first: where the cohort is moved by mailbox for them, its days are counted without another
+    move. A mailbox has few cohort rows, so this key is never hot; rows of the fact are not moved by it.
+    """
     zip_of = F.col("shiptozip") if zip_of is None else zip_of
-    return (
-        cohort_days(cohort)
-        .join(single_address_mailboxes(mailbox_zip), "mailboxid")
-        .select("mailboxid", F.col("udate").alias("orderdate"), "copies", zip_of.alias("zip"))
-    )
+    placed = cohort.join(single_address_mailboxes(mailbox_zip), "mailboxid").withColumn("zip", zip_of)
+    return cohort_days(placed, ["zip"]).withColumnRenamed("udate", "orderdate")
 
 
 def keep_members(rows: DataFrame, members: DataFrame) -> DataFrame:

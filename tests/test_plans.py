@@ -233,3 +233,25 @@ def test_source_decimals_keep_their_scale(spark):
     )
     typed = typed_items(row)
     assert [str(v) for v in typed.select("itemquantity", "itemprice", "ordertotal").first()] == ["1.235", "2.50", "3.00"]
+
+
+def moves_over(plan: str, scan: str) -> list[str]:
+    """Exchanges above a scan, by the indentation of the plan's lines."""
+    lines = plan.splitlines()
+    at = next(n for n, line in enumerate(lines) if "FileScan" in line and scan in line)
+
+    def depth(line: str) -> int:
+        return len(line) - len(line.lstrip(" :+-*"))
+
+    above, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            level = depth(line)
+            above.append(line.strip(" :+-*"))
+    return [line for line in above if line.startswith("Exchange hashpartitioning")]
+
+
+def test_the_cohort_is_moved_twice_at_most(tables, large_sides):
+    members = scope.active_members(tables.cohort, tables.mailbox_zip)
+    orders = rollup.order_rollup(tag_brands(tables.items, RULES[2:]))
+    assert len(moves_over(plan_of(scope.keep_members(orders, members)), "/cohort")) == 2
