@@ -74,10 +74,14 @@ class Chunk:
 
     def __init__(self):
         self.rows: list[tuple[int | None, int]] = []
+        self.known: set[int] = set()
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
     def add(self, doc_id: int | None, row: int, keys: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> None:
+        if row in self.known:  # a repeated row is the document that is already here
+            return
+        self.known.add(row)
         at = np.full(len(starts), len(self.rows), dtype=np.int64)
         self.rows.append((doc_id, row))
         self.parts.append((keys, hashes, at, starts))
@@ -162,9 +166,12 @@ def named_windows(windows: DataFrame) -> DataFrame:
                 rest.column(n).to_numpy() for n in ("owner", "hash", "doc_id", "row", "start")
             )
             order = np.lexsort((start, row, doc_id, hashes, owner))
-            owner, hashes = owner[order], hashes[order]
-            again = np.concatenate([[False], (owner[1:] == owner[:-1]) & (hashes[1:] == hashes[:-1])])
-            found = stretches(row[order][again], start[order][again].astype(np.int64))
+            owner, hashes, row, start = owner[order], hashes[order], row[order], start[order]
+            fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
+            # the first window of a group also comes from other chunks, where its row is repeated
+            again = (row != row[first]) | (start != start[first])
+            found = stretches(row[again], start[again].astype(np.int64))
             if len(found[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["row", "start", "length"])
 
@@ -196,7 +203,7 @@ def remove_repeats(
     frame = frame.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     anchors = filter_bits(shared_anchors(frame, width), bits)
     named = written(named_windows(likely_windows(frame, anchors, bits, width)), "named")
-    gathered = named.groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("named"))
+    gathered = named.groupBy("row").agg(F.collect_set(F.struct("start", "length")).alias("named"))
     held = frame.sparkSession.sparkContext.broadcast(
         filter_bits(named.select(F.xxhash64("row").alias("fingerprint")), FILTER_BITS)
     )

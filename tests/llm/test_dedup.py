@@ -165,6 +165,20 @@ def test_repeats_of_odd_rows(make_documents, odd_rows):
     assert 0 < by_id[6].n_removed < 60_000  # its own period
 
 
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_repeated_rows_are_one_document(make_documents, tasks):
+    """In one chunk and in chunks of several tasks, rows that repeat id and text keep what one document keeps."""
+    chance = random.Random(17)
+    text = " ".join(chance.choice(["a", "b"]) for _ in range(200))  # repeats itself as well
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text), (2, f"{text} {other}"), (3, f"x {other}"), (9, " ".join(f"u{i}" for i in range(30)))]
+    rows.append((None, " ".join(f"t{i}" for i in range(25))))
+    by_hand = dict(zip(rows, removed_by_hand(rows, 20), strict=True))
+    documents = make_documents([r for r in rows for _ in range(3)]).repartition(tasks)
+    found = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(documents).collect())
+    assert found == {(doc_id, *by_hand[doc_id, text]): 3 for doc_id, text in rows}
+
+
 def test_equal_windows_have_equal_anchors():
     chance, anchors, seen = random.Random(3), Anchors(20), {}
     numbers = {w: chance.getrandbits(64) for w in range(5)}
