@@ -4,9 +4,10 @@
    inside the window, chosen alike in equal windows. One pass counts the anchors of all documents,
    distinct ones per task first; anchors that stand twice or more are shared.
 2. A second pass looks at the windows of shared anchors only. What repeats inside a chunk of a task is
-   settled there; the first of each window in the chunk goes to the owner of its anchor, so a
-   passage that a third of the rows share costs one row per window and chunk. Owners compare the
-   windows of an anchor (by 64 bits of hash besides the 64 of the anchor) and name all but the earliest.
+   settled there; the first of each window in the chunk goes to the owner of its anchor and hash, so a
+   passage that a third of the rows share costs one row per window and chunk, and different windows of a
+   common anchor spread over all tasks. Owners see equal windows (64 bits of hash besides the 64 of the
+   anchor) side by side and name all but the earliest.
 3. Named windows are gathered per document as stretches of starts, and only texts that have some are joined
    with them.
 
@@ -25,12 +26,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmetrics.llm.common import text_of, written
 from panelmetrics.llm.exact_dedup import filter_bits
-from panelmetrics.llm.jaccard_join import FILTER_BITS, by_group, group_slices, row_key
+from panelmetrics.llm.jaccard_join import FILTER_BITS, row_key
 from panelmetrics.llm.recompression import Anchors
 from panelmetrics.llm.words import WordNumbers
 
@@ -152,21 +154,22 @@ def likely_windows(frame: DataFrame, held: bytes, bits: int, width: int) -> Data
 
 
 def named_windows(windows: DataFrame) -> DataFrame:
-    """(row, start, length): stretches of windows that also stand earlier."""
+    """(row, start, length): stretches of windows that also stand earlier.
+
+    Equal windows lie side by side, the earliest first, and only that one is held.
+    """
 
     def run(batches):
-        for table in group_slices(batches, 1, rows=262_144):
-            settled = table.column("length").is_valid().to_numpy()
-            if settled.any():
-                yield from table.filter(pa.array(settled)).select(["row", "start", "length"]).to_batches()
-            rest = table.filter(pa.array(~settled))
+        held = [np.zeros(0, dtype=np.int64)] * 4
+        for batch in batches:
+            settled = batch.column(5).is_valid()
+            if settled.true_count:
+                yield batch.filter(settled).select(["row", "start", "length"])
+            rest = batch.filter(pc.invert(settled))
             if not rest.num_rows:
                 continue
-            owner, hashes, doc_id, row, start = (
-                rest.column(n).to_numpy() for n in ("owner", "hash", "doc_id", "row", "start")
-            )
-            order = np.lexsort((start, row, doc_id, hashes, owner))
-            owner, hashes, row, start = owner[order], hashes[order], row[order], start[order]
+            new = (rest.column(n).to_numpy() for n in ("owner", "hash", "row", "start"))
+            owner, hashes, row, start = (np.concatenate(pair) for pair in zip(held, new, strict=True))
             fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])
             first = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
             # the first window of a group also comes from other chunks, where its row is repeated
@@ -174,8 +177,11 @@ def named_windows(windows: DataFrame) -> DataFrame:
             found = stretches(row[again], start[again].astype(np.int64))
             if len(found[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["row", "start", "length"])
+            held = [column[first[-1:]] for column in (owner, hashes, row, start)]
 
-    return by_group(windows, ["owner"]).mapInArrow(run, "row long, start int, length int")
+    # an anchor may stand in very many different windows, so they are dealt by their hash as well
+    dealt = windows.repartition("owner", "hash").sortWithinPartitions("owner", "hash", "doc_id", "row", "start")
+    return dealt.mapInArrow(run, "row long, start int, length int")
 
 
 def without_windows(text: bytes, named: list[dict] | None, width: int) -> tuple[int, int, str]:

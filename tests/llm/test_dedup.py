@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelmetrics.llm import exact_dedup, golomb, jaccard_join, substring_dedup
 from panelmetrics.llm.recompression import Anchors
@@ -179,6 +180,21 @@ def test_repeated_rows_are_one_document(make_documents, tasks):
     assert found == {(doc_id, *by_hand[doc_id, text]): 3 for doc_id, text in rows}
 
 
+def test_different_windows_of_one_anchor_spread(spark):
+    """Windows that share an anchor only are dealt out, and equal ones still meet."""
+    rows = [(7, i % 3000, 1 + i // 3000, 1 + i // 3000, i % 3000, None) for i in range(6000)] + [(3, None, None, 3, 5, 9)]
+    schema = "owner long, hash long, doc_id long, row long, start int, length int"
+    found = substring_dedup.named_windows(spark.createDataFrame(rows, schema))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = {r.task for r in found.where("row = 2").withColumn("task", F.spark_partition_id()).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    covered = Counter((r.row, s) for r in found.collect() for s in range(r.start, r.start + r.length))
+    assert covered == Counter([(2, s) for s in range(3000)] + [(3, s) for s in range(5, 14)])
+    assert len(tasks) > 1
+
+
 def test_equal_windows_have_equal_anchors():
     chance, anchors, seen = random.Random(3), Anchors(20), {}
     numbers = {w: chance.getrandbits(64) for w in range(5)}
