@@ -327,6 +327,18 @@ def similar_documents(
 
     key is a number of the row that follows from the id and the text, for joining back.
     """
+    return labelled_documents(documents, id_column, text_column, pruned, long_node, block).drop("label")
+
+
+def labelled_documents(
+    documents: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    pruned: float = PRUNED,
+    long_node: int = LONG_NODE,
+    block: int = BLOCK,
+) -> DataFrame:
+    """The columns of similar_documents() and label: a number of the component, null without a shingle."""
     frame = documents.select(
         documents[id_column].cast("long").alias("doc_id"), text_of(documents, text_column).alias("text")
     ).withColumn("key", row_key(F.col("doc_id"), F.col("text")))
@@ -374,6 +386,7 @@ def similar_documents(
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        "label",
     )
 
 
@@ -385,17 +398,17 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def keep_one_of_class(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents without those of a class whose first document is another; all columns stay.
 
-    First is the smallest id, then the smallest row key; of rows equal in id and text one stays.
+    First is the smallest id (null last), then the smallest row key; of rows equal in id and text one stays.
+    Classes are told apart by their component, so an id may be null or stand in several classes.
     """
-    classes = similar_documents(documents, id_column, text_column).where("class_size > 1 and doc_id is not null")
-    # an id that is null has no class to be looked up by, so such rows stay
-    order = F.struct(F.col("doc_id"), F.col("key"))
-    decided = written(classes.select("doc_id", "key", "class_id", order.alias("place")), "decided")
-    firsts = decided.groupBy("class_id").agg(F.min("place").alias("first"))
+    classes = labelled_documents(documents, id_column, text_column).where("class_size > 1")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("key"))
+    decided = written(classes.select("key", "label", order.alias("place")), "decided")
+    firsts = decided.groupBy("label").agg(F.min("place").alias("first"))
     gone = (
-        decided.join(firsts, "class_id")
-        .groupBy("doc_id", "key")
-        .agg(F.first(F.col("place") == F.col("first")).alias("_stays"))
+        decided.join(firsts, "label")
+        .groupBy("key")
+        .agg(F.first(F.col("key") == F.col("first.key")).alias("_stays"))
         .select(F.col("key").alias("_key"), "_stays")
     )
     gone = written(gone, "gone")

@@ -129,6 +129,15 @@ def test_one_document_of_each_class_stays(make_documents, odd_rows):
     assert sorted(str(r.doc_id) for r in kept.collect()) == firsts
 
 
+def test_classes_that_share_an_id_keep_one_document_each(make_documents):
+    """One id on texts of two classes, and near copies without ids."""
+    a, b, c, d = (near_texts(seed, 1, 1)[0] for seed in (21, 22, 23, 24))
+    rows = [(1, a), (2, a + " x"), (1, b), (3, b + " x"), (None, c), (None, c + " x"), (None, d), (7, d + " x")]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one_of_class(make_documents(rows)).collect()]
+    assert sorted(r for r in kept if r[0] is not None) == sorted([(1, a), (1, b), (7, d + " x")])
+    assert [r[1] in (c, c + " x") for r in kept if r[0] is None] == [True]
+
+
 def removed_by_hand(rows, width):
     """(n_words, n_removed, kept) of each row by comparing every window; rows in order."""
     seen, result = set(), []
