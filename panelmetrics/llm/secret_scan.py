@@ -8,7 +8,8 @@ before it, summed by a window over the matches of a document, so the work is lin
 Every candidate value is counted by distinct owners (sources) and repositories (documents): distinct
 (value, owner, repository) first, which spreads a value that a third of the rows hold, then
 sums that combine before they move. A value that `example_owners` owners or more hold is a
-widely copied example; any other is live-looking. Spans of the first three kinds are always
+widely copied example; any other is live-looking, whatever the number of repositories, which is only
+reported. Documents of different owners that hold one text count for each owner. Spans of the first three kinds are always
 reported; loose tokens only when live-looking. redact() replaces live-looking spans.
 
 Defined cases: a null text is empty; a null owner is an owner of its own, and so is a null
