@@ -1,15 +1,16 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by MinHash bands, with exact verification.
 
 Shingles are windows of five words. Documents with equal shingle sets are one set from here on.
 
-1. A set has 128 MinHash values, read as 32 trees of 4 values: a tree sorts the sets by their value
-   strings, and sets under one prefix of a tree are candidates. The depth of the prefix follows
-   from the target recall: at depth 4, two sets of similarity 0.8 part in all 32 trees with
-   probability (1 - 0.8**4)**32 = 5e-8.
-2. Where a prefix holds very many sets (a passage that much of the corpus shares), it is lengthened by
-   the values of the next tree, unless one of its sets needs it: a set stays under a short
-   prefix when its other trees do not reach the target recall.
-3. Sets under a prefix are compared by 128 one-byte values; those below `pruned` agreement
+1. A set has 128 MinHash values, read as 32 bands of 4 values. Sets that agree in a band (one node, a 64-bit
+   hash of its values) are candidates. This is banding at a fixed depth, not a forest of sorted prefix
+   trees: no prefix is matched at its longest and shortened. At depth 4, two sets of similarity 0.8
+   part in all 32 bands with probability (1 - 0.8**4)**32 = 5e-8, below the target of 1e-6 already.
+2. Where a node holds very many sets (a passage that much of the corpus shares), it is lengthened by
+   the values of the next band, unless one of its sets needs it: a set stays in a short
+   node when its other bands, 27 at least, do not reach the target recall. Pairs in lengthened nodes part
+   with probability (1 - 0.8**4)**27 = 7e-7 at most.
+3. Sets in a node are compared by 128 one-byte values; those below `pruned` agreement
    are no candidates (similarity 0.8 falls below it with probability 1e-8). What is left joins sets to
    groups, by connected components.
 4. In a group all pairs of sets are verified on their shingles. A group moves each text once; a
