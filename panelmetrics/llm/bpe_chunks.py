@@ -5,9 +5,9 @@ of different documents fall into equal chunks. A chunk is encoded and decoded by
 once while it is remembered; a document's ids are its chunks' ids put together.
 
 A join is exact when it lies at a single space between two characters that are no white space:
-the byte-level pre-tokenizer always starts a word there, whatever surrounds it. All other
-joins are repaired: the chunks on both sides are encoded again as one, and so on until the run
-ends at exact joins on both sides. The result equals encoding the whole text.
+the byte-level pre-tokenizer always starts a word there, whatever surrounds it. Texts are cut at
+exact joins only, so nothing is left to repair, and the result equals encoding the whole text. The
+grammar of the file is checked first (cuts_are_exact); texts of a file with another one are encoded whole.
 
 What a task remembers is bounded by two generations of `remembered` chunks. Reuse is among the
 documents of a task: the tokenizer is so much the larger cost than a lookup that sharing more widely
@@ -20,6 +20,7 @@ are encoded each; other columns are not read. An empty table gives an empty resu
 
 from __future__ import annotations
 
+import json
 import os
 from pathlib import Path
 
@@ -58,6 +59,25 @@ class Cuts:
         return at[chosen], exact[chosen]
 
 
+def cuts_are_exact(tokenizer_json: str) -> bool:
+    """Whether a tokenizer's words start at single spaces, whatever surrounds them."""
+    spec = json.loads(tokenizer_json)
+    splitter, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    return (
+        not spec.get("normalizer")
+        and splitter.get("type") == "ByteLevel"
+        and splitter.get("use_regex", True)
+        and not splitter.get("add_prefix_space", True)
+        and (spec.get("decoder") or {}).get("type") == "ByteLevel"
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        and not any(
+            t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])
+            for t in spec.get("added_tokens", [])
+        )
+    )
+
+
 class ChunkCoder:
     """Encodes chunks through a tokenizer and remembers them, in two generations."""
 
@@ -74,7 +94,7 @@ class ChunkCoder:
         self.remembered = remembered
         self.young: dict[bytes, tuple[bytes, bytes]] = {}
         self.old: dict[bytes, tuple[bytes, bytes]] = {}
-        self.cuts = Cuts()
+        self.cuts = Cuts() if cuts_are_exact(tokenizer_json) else None
 
     def chunks(self, text: bytes) -> list[bytes]:
         """Chunks between exact joins: chunks around any other join are taken as one."""
@@ -127,6 +147,8 @@ class ChunkCoder:
 
     def code(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """(ids, decoded text) of each text."""
+        if self.cuts is None:
+            return [(ids.tobytes(), back) for ids, back in zip(*self.coded(texts), strict=True)]
         split = [self.chunks(t) if t else [] for t in texts]
         self.learn({c for chunks in split for c in chunks}, {c for chunks in split for c in chunks[:1] + chunks[-1:]})
         young = self.young

@@ -1,6 +1,7 @@
 """Rules, scans, formats, packing, encoding and the classifier against plain Python and SQL."""
 
 import hashlib
+import json
 import os
 import random
 import re
@@ -275,6 +276,27 @@ def tokenizer_path():
     return str(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
 
 
+@pytest.mark.parametrize("change", ["no regex", "token with a space"])
+def test_encoding_with_another_grammar_equals_the_library(change):
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        spec = json.load(file)
+    if change == "no regex":
+        spec["pre_tokenizer"]["use_regex"] = False
+        spec["model"]["vocab"]["eĠ"] = 50257
+        listed = isinstance(spec["model"]["merges"][0], list)
+        spec["model"]["merges"].insert(0, ["e", "Ġ"] if listed else "e Ġ")
+    else:
+        token = {"id": 50257, "content": "one two", "special": True, "normalized": False}
+        spec["added_tokens"].append(token | {"single_word": False, "lstrip": False, "rstrip": False})
+    whole = Tokenizer.from_str(json.dumps(spec))
+    texts = ["some more one two three the same place where we are", "the one two", "one two " * 40, ""]
+    coded = bpe_chunks.ChunkCoder(json.dumps(spec), 1000).code([t.encode() for t in texts])
+    expected = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(c[0], "<u4").tolist() for c in coded] == expected
+
+
 def test_encoding_equals_the_library(make_documents, odd_rows):
     from tokenizers import Tokenizer
 
