@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and their SQL."""
+"""Registered queries of the operators and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmetrics.llm import (
+    bbit_minhash,
     bpe_chunks,
+    centroid_zones,
     chat_format,
     exact_dedup,
     jaccard_join,
@@ -16,6 +18,8 @@ from panelmetrics.llm import (
     quality_rules,
     secret_scan,
     substring_dedup,
+    vector_codes,
+    vector_sql,
 )
 
 
@@ -138,6 +142,51 @@ select doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0)::bigint as
 from split left join lists using (doc_id) left join kept using (doc_id)
 """
 
+
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, folder, "embeddings")).drop("label")
+
+
+def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroid_zones.cluster_vectors(table(spark, folder, "embeddings"))
+
+
+def op13_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return bbit_minhash.near_components(table(spark, folder, "documents"))
+
+
+OP13_SQL = r"""
+with recursive split as (
+    select doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'
+    ) as words from documents
+),
+sets as (
+    select distinct doc_id, array_to_string(words[start:start + 3], ' ') as shingle
+    from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) as start from split where len(words) > 0)
+),
+sizes as materialized (select doc_id, count(*) as n from sets group by doc_id),
+links as materialized (
+    select a, b
+    from (
+        select l.doc_id as a, r.doc_id as b, count(*) as common
+        from sets l join sets r on l.shingle = r.shingle and l.doc_id < r.doc_id group by l.doc_id, r.doc_id
+    )
+    join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+    where 100 * common >= 80 * (x.n + y.n - common)
+),
+either as materialized (select a, b from links union all select b, a from links),
+reached as (
+    select a as doc_id, a as other from (select distinct a from either)
+    union
+    select reached.doc_id, either.b from reached join either on either.a = reached.other
+),
+least_of as (select doc_id, min(other) as component_id from reached group by doc_id)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, doc_id) as component_id,
+       coalesce(component_id, doc_id) = doc_id as kept
+from split left join sizes using (doc_id) left join least_of using (doc_id)
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
@@ -149,6 +198,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_bpe_chunks": op9_bpe_chunks,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
@@ -156,4 +208,7 @@ ORACLES = {
     "op4_chat_format": OP4_SQL,
     "op5_secret_scan": secret_scan.oracle_sql(),
     "op10_substring_dedup": OP10_SQL,
+    "op11_vector_codes": vector_sql.codes_sql(parts=4, scale=1024, entries=256, rounds=4, width=16),
+    "op12_centroid_clusters": vector_sql.clusters_sql(width=64, scale=64, clusters=16, rounds=3),
+    "op13_minhash_dedup": OP13_SQL,
 }

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelmetrics.llm import exact_dedup, golomb, jaccard_join, substring_dedup
+from panelmetrics.llm import bbit_minhash, exact_dedup, golomb, jaccard_join, substring_dedup
 from panelmetrics.llm.recompression import Anchors
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
@@ -62,6 +62,7 @@ def test_dedup_of_an_empty_table(make_documents):
     assert jaccard_join.similar_documents(none).count() == 0
     assert jaccard_join.keep_one_of_class(none).count() == 0
     assert substring_dedup.remove_repeats(none).count() == 0
+    assert bbit_minhash.near_components(none).count() == 0
 
 
 def near_texts(seed, families, members):
@@ -138,6 +139,54 @@ def test_classes_that_share_an_id_keep_one_document_each(make_documents):
     assert [r[1] in (c, c + " x") for r in kept if r[0] is None] == [True]
 
 
+def components_by_hand(rows):
+    """(doc_id, n_shingles, component_id, kept) of each row by comparing every pair."""
+
+    def words(text):
+        return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    sets = [frozenset(tuple(w[k : k + 4]) for k in range(max(len(w) - 3, 1))) if w else frozenset() for w in (words(t) for _, t in rows)]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]) and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    result = []
+    for at, (doc_id, _) in enumerate(rows):
+        mine = [rows[i][0] for i in range(len(rows)) if label[i] == label[at] and rows[i][0] is not None]
+        found = min(mine, default=None)
+        result.append((doc_id, len(sets[at]), found, doc_id == found))
+    return Counter(result)
+
+
+@pytest.mark.parametrize("settings", [{}, {"block": 4}])
+def test_components_equal_those_of_all_pairs(make_documents, settings):
+    """Families of near copies with a shared passage; small blocks deal groups out."""
+    rows = [(500 - i, t if i % 4 else t.upper()) for i, t in enumerate(near_texts(31, 8, 9))]
+    rows += [(1000 + i, " ".join(f"c{k}" for k in range(i, i + 60))) for i in range(0, 60, 3)]  # a chain of links
+    found = bbit_minhash.near_components(make_documents(rows).repartition(3), **settings).collect()
+    assert Counter(map(tuple, found)) == components_by_hand(rows)
+
+
+def test_components_of_odd_rows(make_documents, odd_rows):
+    rows = odd_rows + [(20, "a b"), (21, "A b"), (22, "a b c d"), (None, "x y z w v u"), (None, "x y z w v u"), (30, "B c"), (31, "b C ")]
+    found = bbit_minhash.near_components(make_documents(rows)).collect()
+    assert Counter(map(tuple, found)) == components_by_hand(rows)
+
+
+def test_packed_signatures_estimate_similarity():
+    chance = np.random.default_rng(6)
+    by = bbit_minhash.factors()
+    for share in (0.5, 0.8, 0.95):
+        errors = []
+        for _ in range(30):
+            common = chance.integers(0, 2**64, round(share * 1000), dtype=np.uint64)
+            rest = [chance.integers(0, 2**64, (1000 - len(common)) // 2, dtype=np.uint64) for _ in range(2)]
+            left, right = (bbit_minhash.packed(bbit_minhash.minima(np.concatenate([common, r]), by)) for r in rest)
+            errors.append(float(bbit_minhash.estimated(left[None], right[None])[0]) - share)
+        assert abs(np.mean(errors)) < 0.03 and max(map(abs, errors)) < 0.2
+
+
 def removed_by_hand(rows, width):
     """(n_words, n_removed, kept) of each row by comparing every window; rows in order."""
     seen, result = set(), []
