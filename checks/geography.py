@@ -45,9 +45,7 @@ MAP_CTES = (MAP_ROWS, TOTAL_ROWS, CURRENT_SQL, PRIOR_SQL, MERGED_SQL, TOTAL_SQL)
 )
 def geography_enrichment(t: Inputs) -> DataFrame:
     zips = t.sales.mailbox_zip.select("mailboxid", first_five(F.col("shiptozip")).alias("zip"))
-    placed = geo.with_region(zips, geo.zip_regions(t.sales.geo))
-    # One row per geography row behind it, as the twin's join gives.
-    return placed.withColumn("copy", F.explode(F.sequence(F.lit(1), "geo_copies"))).drop("copy", "geo_copies")
+    return geo.with_each_region(zips, geo.zip_regions(t.sales.geo))
 
 
 def period_rates(t: Inputs) -> DataFrame:

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelmetrics.operators.rules import BrandRule, Clause, tag_brands
+from panelmetrics.operators.rules import BrandRule, Clause, tag_brands, tag_brands_by_text
 from panelmetrics.plans import published
 
 from .base import Inputs, check, with_views
@@ -95,6 +95,10 @@ def tagged(t: Inputs, rules: tuple[BrandRule, ...]) -> DataFrame:
     return tag_brands(dressed(t, rules), rules).select("brand", "orderid", "merchant", "itemdescription")
 
 
+def tagged_by_text(t: Inputs, rules: tuple[BrandRule, ...]) -> DataFrame:
+    return tag_brands_by_text(dressed(t, rules), rules).select("brand", "orderid", "merchant", "itemdescription")
+
+
 GROWTH_RULES = (published.TRULY_FOCUS, published.OTHER_GROWTH, published.WHITE_CLAW_GROWTH)
 EVENT_RULES = (published.ADDS, published.CANCELS)
 
@@ -112,3 +116,18 @@ def published_growth_rules(t: Inputs) -> DataFrame:
 @check("p10_published_event_rules", rules_sql(EVENT_RULES))
 def published_event_rules(t: Inputs) -> DataFrame:
     return tagged(t, EVENT_RULES)
+
+
+@check("p8_share_rules_by_text", rules_sql(published.SHARE_RULES))
+def share_rules_by_text(t: Inputs) -> DataFrame:
+    return tagged_by_text(t, published.SHARE_RULES)
+
+
+@check("p9_growth_rules_by_text", rules_sql(GROWTH_RULES))
+def growth_rules_by_text(t: Inputs) -> DataFrame:
+    return tagged_by_text(t, GROWTH_RULES)
+
+
+@check("p10_event_rules_by_text", rules_sql(EVENT_RULES))
+def event_rules_by_text(t: Inputs) -> DataFrame:
+    return tagged_by_text(t, EVENT_RULES)

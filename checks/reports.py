@@ -208,7 +208,7 @@ def state_list(t: Inputs) -> DataFrame:
     zips = scope.single_address_mailboxes(t.sales.mailbox_zip).select(
         "mailboxid", geo.mailbox_zip_prefix(F.col("shiptozip")).alias("zip")
     )
-    placed = geo.with_region(zips, geo.zip_regions(t.sales.geo))
+    placed = geo.with_each_region(zips, geo.zip_regions(t.sales.geo))
     return placed.filter(F.col("state_abbrev").isin("AS", "EU")).select("mailboxid", "state_abbrev")
 
 

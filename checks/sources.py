@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelmetrics.plans import write_reports
 from panelmetrics.session import shared_folder
-from panelmetrics.sources import read_code_list
+from panelmetrics.sources import date_bounds, order_dates, read_code_list
 
 from .base import Inputs, check, with_views
 from .metrics import MARKET_SHARE_SQL, market_share
@@ -65,3 +65,35 @@ def report_set(t: Inputs) -> DataFrame:
         .unionByName(figures("gap_map", "msa", "fips", "gap"))
         .unionByName(figures("contribution_map", "msa", "fips", "contrib"))
     )
+
+
+def stored_items(t: Inputs) -> str:
+    """The fact written to a folder of its own."""
+    path = _new_folder(t)
+    t.sales.items.repartitionByRange("orderdate").write.parquet(path)
+    return path
+
+
+BOUNDS_SQL = with_views("SELECT min(orderdate) AS first, max(orderdate) AS last FROM fact_items")
+
+
+@check("p13_dates_of_footers", BOUNDS_SQL)
+def dates_of_footers(t: Inputs) -> DataFrame:
+    return date_bounds(t.spark, stored_items(t))
+
+
+@check(
+    "p13_dates_of_partitions",
+    with_views("""SELECT CAST(date_trunc('month', min(orderdate)) AS DATE) AS first,
+  CAST(date_trunc('month', max(orderdate)) AS DATE) AS last FROM fact_items"""),
+)
+def dates_of_partitions(t: Inputs) -> DataFrame:
+    months = F.trunc("orderdate", "month").alias("month")
+    path = _new_folder(t)
+    t.sales.items.select("orderid", months).repartition("month").write.partitionBy("month").parquet(path)
+    return date_bounds(t.spark, path, "month")
+
+
+@check("j12_calendar_of_stored_fact", with_views("SELECT DISTINCT orderdate FROM fact_items WHERE orderdate IS NOT NULL"))
+def calendar_of_stored_fact(t: Inputs) -> DataFrame:
+    return order_dates(t.spark, stored_items(t))

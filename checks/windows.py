@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmetrics.operators import share, smooth, timeframe
-from panelmetrics.operators.rules import BrandRule, Clause, stack_brands, tag_brands
+from panelmetrics.operators.rules import BrandRule, Clause, stack_brands, tag_brands, tag_brands_by_text
 from panelmetrics.plans import WeeklySeries
 from panelmetrics.plans.reports import brand_days
 from panelmetrics.session import settle
@@ -150,6 +150,11 @@ def one_pass_tags(t: Inputs) -> DataFrame:
     return tag_brands(t.sales.items, RULES).select("brand", "orderid", "merchant", "itemdescription")
 
 
+@check("u2_tags_by_text", STACKED_SQL)
+def tags_by_text(t: Inputs) -> DataFrame:
+    return tag_brands_by_text(t.sales.items, RULES).select("brand", "orderid", "merchant", "itemdescription")
+
+
 @check(
     "u2_rules_of_one_name",
     with_views("""SELECT 'X' AS brand, orderid, itemdescription FROM fact_items WHERE itemdescription ILIKE 'RED %'

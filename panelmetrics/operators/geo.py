@@ -26,6 +26,12 @@ def with_region(rows: DataFrame, regions: DataFrame) -> DataFrame:
     return rows.join(regions, "zip", "left").withColumn("geo_copies", F.coalesce("geo_copies", F.lit(1)))
 
 
+def with_each_region(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """As `with_region`, but a row per geography row behind the zip instead of their number."""
+    placed = with_region(rows, regions).withColumn("geo_copy", F.explode(F.sequence(F.lit(1), "geo_copies")))
+    return placed.drop("geo_copy", "geo_copies")
+
+
 def mailbox_zip_prefix(code: Column) -> Column:
     """Zip key of the sales maps."""
     return first_five(code)

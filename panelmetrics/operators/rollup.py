@@ -76,6 +76,11 @@ def zip_totals(items: DataFrame, members: DataFrame, panel: DataFrame, by: Seque
         .groupBy(*by, "orderdate", "zip")
         .agg(F.sum(F.col("pq") * F.col("copies")).alias("pq"))
     )
+    return zip_days_total(zip_days, panel, by)
+
+
+def zip_days_total(zip_days: DataFrame, panel: DataFrame, by: Sequence[str] = ("brand",)) -> DataFrame:
+    """Revenue and largest panel size per zip from revenue per zip and date."""
     return (
         with_panel(zip_days, panel)
         .groupBy(*by, "zip")
@@ -102,16 +107,20 @@ def with_panel(rows: DataFrame, panel: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sizes), "orderdate")
 
 
-def daily_rollup(orders: DataFrame, panel: DataFrame, by: Sequence[str] = ("brand",)) -> DataFrame:
-    """Distinct orders, items and revenue per date, raw and per thousand panel members.
+def daily_sums(orders: DataFrame, by: Sequence[str] = ("brand",)) -> DataFrame:
+    """Distinct orders, items and revenue per date.
 
     Orders carry `copies`, the cohort rows behind each; sums count them, distinct orders do not.
     """
-    daily = orders.groupBy(*by, "orderdate").agg(
+    return orders.groupBy(*by, "orderdate").agg(
         F.countDistinct("orderid").alias("ordercount"),
         F.sum(F.col("item_count") * F.col("copies")).alias("item_count"),
         F.sum(F.col("pq") * F.col("copies")).alias("pq"),
     )
+
+
+def per_panel_days(daily: DataFrame, panel: DataFrame, by: Sequence[str] = ("brand",)) -> DataFrame:
+    """Daily sums, raw and per thousand panel members."""
     return with_panel(daily, panel).select(
         *by,
         "orderdate",
@@ -123,6 +132,11 @@ def daily_rollup(orders: DataFrame, panel: DataFrame, by: Sequence[str] = ("bran
     )
 
 
+def daily_rollup(orders: DataFrame, panel: DataFrame, by: Sequence[str] = ("brand",)) -> DataFrame:
+    """Distinct orders, items and revenue per date, raw and per thousand panel members."""
+    return per_panel_days(daily_sums(orders, by), panel, by)
+
+
 def window_rate(totals: DataFrame, by: Sequence[str]) -> DataFrame:
     """Revenue per ten thousand panel members over a window, per group.
 

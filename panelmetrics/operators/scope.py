@@ -55,6 +55,13 @@ def in_merchants(items: DataFrame, merchants: DataFrame) -> DataFrame:
     return items.join(settle(merchants), "merchant", "left_semi")
 
 
+def merchants_with_quality(merchant_sector: DataFrame, sectors: Sequence[str], quality_merchants: DataFrame) -> DataFrame:
+    """Distinct merchants of the sectors, and whether each also passes the quality test (`is_quality`)."""
+    merchants = merchant_sector.filter(F.col("sector").isin(*sectors)).select("merchant").distinct()
+    tested = quality_merchants.select("merchant").distinct().withColumn("is_quality", F.lit(True))
+    return merchants.join(tested, "merchant", "left").withColumn("is_quality", F.coalesce("is_quality", F.lit(False)))
+
+
 def in_distribution_types(items: DataFrame, merchant_sector: DataFrame, types: Sequence[str]) -> DataFrame:
     return items.join(merchant_sector.filter(F.col("distribtype").isin(*types)), "merchant", "left_semi")
 
@@ -108,6 +115,24 @@ def active_members(cohort: DataFrame, mailbox_zip: DataFrame, zip_of: Column | N
     return cohort_days(placed, ["zip"]).withColumnRenamed("udate", "orderdate")
 
 
+def members_of_all_reports(cohort: DataFrame, mailbox_zip: DataFrame, zip_of: Column) -> DataFrame:
+    """Cohort days of the single-address mailboxes as `active_members`, with the rows of cohort 'all' among the copies."""
+    placed = cohort.join(single_address_mailboxes(mailbox_zip), "mailboxid").withColumn("zip", zip_of)
+    return (
+        placed.groupBy("mailboxid", F.col("udate").alias("orderdate"), "zip")
+        .agg(
+            F.count(F.lit(1)).cast("int").alias("copies"),
+            F.count(F.when(F.col("cohort") == "all", 1)).cast("int").alias("copies_all"),
+        )
+    )
+
+
+def fact_years(calendar: DataFrame, since: dt.date) -> list[dt.date]:
+    """First days of the years in which the fact has orders on or after `since`: as many values as years."""
+    days = calendar.filter(F.col("orderdate") >= F.lit(since))
+    return [row.year for row in days.select(year_start(F.col("orderdate")).alias("year")).distinct().orderBy("year").collect()]
+
+
 def keep_members(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Rows of active members on the days they are active, with `copies` and `zip` added."""
     return rows.join(members, ["mailboxid", "orderdate"])

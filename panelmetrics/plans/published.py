@@ -189,39 +189,45 @@ CANCELS = BrandRule("cancels", (Clause(SUBSCRIPTION_CANCELS),))
 # ---------------------------------------------------------------------------
 
 
-def focus_brand_growth(tables: PanelTables, today: dt.date) -> DataFrame:
+def focus_brand_growth(tables: PanelTables, today: dt.date, latest: dt.date | None = None) -> DataFrame:
     """Weekly metrics of the focus brand; its week start is called orderdate."""
-    report = reports.weekly_growth(tables, GROWTH_SERIES[:1], SECTORS, COHORT_SINCE, today)
+    report = reports.weekly_growth(tables, GROWTH_SERIES[:1], SECTORS, COHORT_SINCE, today, latest=latest)
     return report.withColumnRenamed("weekstart", "orderdate")
 
 
-def brand_growth(tables: PanelTables, today: dt.date, legacy_price_yoy: bool = False) -> DataFrame:
+def brand_growth(
+    tables: PanelTables, today: dt.date, legacy_price_yoy: bool = False, latest: dt.date | None = None
+) -> DataFrame:
     """Weekly metrics of the focus brand, its main rival and all others.
 
     `legacy_price_yoy` gives the price growth of the others as once published, see
     `operators.yoy.weekly_metrics`.
     """
     series = [replace(s, legacy_price_yoy=legacy_price_yoy and s.daily) for s in GROWTH_SERIES]
-    return reports.weekly_growth(tables, series, SECTORS, COHORT_SINCE, today)
+    return reports.weekly_growth(tables, series, SECTORS, COHORT_SINCE, today, latest=latest)
 
 
 def market_share(tables: PanelTables, today: dt.date) -> DataFrame:
+    """Weekly shares of all brands; its weeks follow from `today` alone."""
     return reports.weekly_market_share(tables, SHARE_RULES, SECTORS, today, SHARE_FIRST_WEEK)
 
 
-def growth_contribution(tables: PanelTables, today: dt.date) -> DataFrame:
-    return reports.contribution_by_county(tables, TRULY_FOCUS, SECTORS, today)
+def growth_contribution(tables: PanelTables, today: dt.date, latest: dt.date | None = None) -> DataFrame:
+    return reports.contribution_by_county(tables, TRULY_FOCUS, SECTORS, today, latest=latest)
 
 
-def rival_gap(tables: PanelTables, today: dt.date) -> DataFrame:
-    return reports.gap_by_county(tables, TRULY_FOCUS, WHITE_CLAW_GAP, SECTORS, today, name="truly")
+def rival_gap(tables: PanelTables, today: dt.date, latest: dt.date | None = None) -> DataFrame:
+    return reports.gap_by_county(tables, TRULY_FOCUS, WHITE_CLAW_GAP, SECTORS, today, name="truly", latest=latest)
 
 
 def cancel_add_ratio(tables: PanelTables) -> DataFrame:
+    """Cancels against adds by state; its days are fixed."""
     return reports.cancel_add_by_state(tables, ADDS, CANCELS, SUBSCRIPTION_MERCHANT, ADD_DAYS, CANCEL_DAYS)
 
 
-def dashboard(tables: PanelTables, today: dt.date) -> dict[str, DataFrame]:
+def dashboard(
+    tables: PanelTables, today: dt.date, calendar: DataFrame | None = None, latest: dt.date | None = None
+) -> dict[str, DataFrame]:
     """The four results shown together."""
     return reports.report_set(
         tables,
@@ -234,4 +240,6 @@ def dashboard(tables: PanelTables, today: dt.date) -> dict[str, DataFrame]:
         SHARE_FIRST_WEEK,
         today,
         gap_name="truly",
+        calendar=calendar,
+        latest=latest,
     )

@@ -1,5 +1,14 @@
+from .dates import date_bounds, last_order_date, order_dates
 from .dimension_csv import read_code_list
 from .star_schema import star_schema_tables
 from .tables import PanelTables, panel_tables
 
-__all__ = ["PanelTables", "panel_tables", "read_code_list", "star_schema_tables"]
+__all__ = [
+    "PanelTables",
+    "date_bounds",
+    "last_order_date",
+    "order_dates",
+    "panel_tables",
+    "read_code_list",
+    "star_schema_tables",
+]

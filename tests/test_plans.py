@@ -7,9 +7,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelmetrics.operators import rollup, scope, share, smooth, timeframe
-from panelmetrics.operators.rules import BrandRule, Clause, stack_brands, tag_brands
+from panelmetrics.operators.rules import (
+    BrandRule,
+    Clause,
+    classified_texts,
+    stack_brands,
+    tag_brands,
+    tag_brands_by_text,
+)
 from panelmetrics.plans import WeeklySeries, reports, weekly_market_share
-from panelmetrics.sources import panel_tables
+from panelmetrics.session import settle
+from panelmetrics.sources import date_bounds, last_order_date, order_dates, panel_tables
 from panelmetrics.sources.tables import typed_items
 
 LAST = dt.date(2020, 12, 31)
@@ -255,3 +263,90 @@ def test_the_cohort_is_moved_twice_at_most(tables, large_sides):
     members = scope.active_members(tables.cohort, tables.mailbox_zip)
     orders = rollup.order_rollup(tag_brands(tables.items, RULES[2:]))
     assert len(moves_over(plan_of(scope.keep_members(orders, members)), "/cohort")) == 2
+
+
+def settled_plans(monkeypatch):
+    """Plans of the frames that reports settle, as they are built."""
+    plans = []
+
+    def recording(frame):
+        plans.append(plan_of(frame))
+        return settle(frame)
+
+    for module in (reports, scope):
+        monkeypatch.setattr(module, "settle", recording)
+    return plans
+
+
+def item_scans(plans):
+    """Scans of the fact that read columns."""
+    lines = (line for plan in plans for line in plan.splitlines())
+    return sum("FileScan" in line and "/items" in line and "ReadSchema: struct<>" not in line for line in lines)
+
+
+def set_arguments(**more):
+    series = [WeeklySeries(RULES[0]), WeeklySeries(RULES[2], daily=True)]
+    return {
+        "series": series, "rules": RULES[:2], "focus": RULES[2], "rivals": (RULES[0], RULES[2]), "sectors": ["Food"],
+        "since": dt.date(2019, 1, 1), "first_week": dt.date(2020, 1, 5), "today": dt.date(2021, 1, 2), "horizon_days": None, **more,
+    }
+
+
+def test_report_set_reads_the_items_twice(tables, monkeypatch):
+    """One pass for growth and both maps, one for share; the calendar is given."""
+    days = settle(timeframe.calendar_of(tables.items))
+    plans = settled_plans(monkeypatch)
+    found = reports.report_set(tables, **set_arguments(calendar=days, latest=LAST))
+    assert item_scans([*plans, *map(plan_of, found.values())]) == 2
+    scan = next(line for plan in plans for line in plan.splitlines() if "FileScan" in line and "/items" in line)
+    assert "GreaterThanOrEqual(orderdate,2019-01-01)" in scan and "LessThanOrEqual(orderdate,2020-12-28)" in scan
+
+
+@pytest.mark.parametrize("since", [dt.date(2019, 1, 1), dt.date(2019, 7, 1)])
+def test_report_set_equals_its_reports(tables, since):
+    given = set_arguments(since=since)
+    found = {name: frame.collect() for name, frame in reports.report_set(tables, **given).items()}
+    first = (given["sectors"], since, given["today"])
+    apart = {
+        "growth": reports.weekly_growth(tables, given["series"], *first, horizon_days=None),
+        "share": weekly_market_share(tables, given["rules"], ["Food"], given["today"], given["first_week"]),
+        "gap_map": reports.gap_by_county(tables, *given["rivals"], ["Food"], given["today"]),
+        "contribution_map": reports.contribution_by_county(tables, given["focus"], ["Food"], given["today"]),
+    }
+    assert found == {name: frame.collect() for name, frame in apart.items()}
+    assert all(found.values())
+
+
+def test_last_date_is_found_without_reading_a_column(spark, tables, tmp_path):
+    by_day, plain, stamps, none = (str(tmp_path / n) for n in ("by_day", "plain", "stamps", "none"))
+    few = tables.items.filter("orderid < 2000")
+    few.repartition("orderdate").write.partitionBy("orderdate").parquet(by_day)
+    few.write.parquet(plain)
+    few.withColumn("orderdate", F.col("orderdate").cast("timestamp")).write.parquet(stamps)
+    few.limit(0).write.parquet(none)
+    first, last = few.agg(F.min("orderdate"), F.max("orderdate")).first()
+    for folder in (by_day, plain, stamps):
+        assert tuple(date_bounds(spark, folder).first()) == (first, last)
+        assert last_order_date(spark, folder) == last
+        assert order_dates(spark, folder).count() == few.select("orderdate").distinct().count()
+    assert last_order_date(spark, none) is None
+    assert "ReadSchema: struct<>" in plan_of(date_bounds(spark, by_day))
+    assert "ReadSchema: struct<>" in plan_of(order_dates(spark, by_day))
+    pushed = plan_of(date_bounds(spark, plain))
+    assert "PushedAggregation: [MIN(orderdate), MAX(orderdate)]" in pushed
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_classified_texts_are_joined_to_one_scan(tables):
+    """Patterns run on distinct texts; the pass over the items holds no pattern."""
+    texts = settle(classified_texts(tables.items, RULES[:2]))
+    frame = tag_brands_by_text(tables.items, RULES[:2], texts)
+    assert fact_scans(frame) == 1
+    assert "widget" not in plan_of(frame).lower()
+    key = ["brand", "orderid", "orderdate"]
+    assert sorted(frame.select(*key).collect()) == sorted(tag_brands(tables.items, RULES[:2]).select(*key).collect())
+
+
+def test_hot_text_is_split_when_texts_are_shuffled(large_sides, tables):
+    plan = executed(tag_brands_by_text(tables.items, RULES))
+    assert "skew=true" in plan

@@ -14,6 +14,7 @@ from panelmetrics.plans import (
     contribution_by_county,
     gap_by_county,
     published,
+    report_set,
     weekly_growth,
     weekly_market_share,
 )
@@ -185,3 +186,39 @@ def test_published_dashboard(published_tables):
     assert reports["gap_map"].columns == ["fips", "msa", "truly"]
     assert reports["contribution_map"].columns == ["fips", "msa", "contrib", "yygrowth", "perc"]
     assert reports["contribution_map"].count() == 2
+
+
+def test_dashboard_equals_the_single_reports(published_tables):
+    """Cohorts beside 'all', a merchant without quality and mailboxes of two zips part the lines of the shared pass."""
+    cohort = published_tables.cohort
+    tables = dataclasses.replace(
+        published_tables,
+        cohort=cohort.filter("mailboxid % 4 <> 1")
+        .unionByName(cohort.filter("mailboxid % 3 = 0").withColumn("cohort", F.lit("other")))
+        .unionByName(cohort.filter("mailboxid % 5 = 1").withColumn("cohort", F.lit("third"))),
+        quality_merchants=published_tables.quality_merchants.filter("merchant <> 'Hannaford'"),
+    )
+    today = SATURDAY + dt.timedelta(days=3)
+    latest = tables.items.agg(F.max("orderdate")).first()[0]
+    apart = {
+        "growth": published.brand_growth(tables, today, latest=latest),
+        "share": published.market_share(tables, today),
+        "gap_map": published.rival_gap(tables, today, latest),
+        "contribution_map": published.growth_contribution(tables, today, latest),
+    }
+    apart = {name: sorted(map(repr, frame.collect())) for name, frame in apart.items()}
+    for given in ({}, {"latest": latest}):
+        found = published.dashboard(tables, today, **given)
+        assert {name: sorted(map(repr, frame.collect())) for name, frame in found.items()} == apart
+
+
+def test_empty_tables_give_an_empty_dashboard(make_tables):
+    found = published.dashboard(make_tables(), SATURDAY)
+    assert [frame.count() for frame in found.values()] == [0, 0, 0, 0]
+
+
+def test_a_weekly_report_needs_a_series(two_years):
+    with pytest.raises(ValueError, match="at least one series"):
+        growth_rows(two_years, series=[])
+    with pytest.raises(ValueError, match="at least one series"):
+        report_set(two_years, [], [RED], RED, (RED, BLUE), ["Food"], dt.date(2018, 1, 1), SATURDAY, SATURDAY)

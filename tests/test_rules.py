@@ -9,7 +9,15 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelmetrics.functions import any_like
-from panelmetrics.operators.rules import BrandRule, Clause, distinct_brands, rule_holds, stack_brands, tag_brands
+from panelmetrics.operators.rules import (
+    BrandRule,
+    Clause,
+    distinct_brands,
+    rule_holds,
+    stack_brands,
+    tag_brands,
+    tag_brands_by_text,
+)
 from panelmetrics.plans import published
 from panelmetrics.plans.published import ADDS, CANCELS, OTHER_GROWTH, SHARE_RULES, TRULY_FOCUS
 
@@ -192,3 +200,31 @@ def test_rules_of_one_name_all_count(make_tables, item):
 def test_reports_refuse_rules_of_one_name():
     with pytest.raises(ValueError, match="share a name"):
         distinct_brands([BrandRule("X", (Clause(("RED %",)),)), BrandRule("X", (Clause(("%WIDGET",)),))])
+
+
+def test_tags_by_text_equal_tags_by_row(make_tables, item):
+    """Floors of several clauses, rules of one name, unknown texts, merchants and dates."""
+    rules = [
+        BrandRule(
+            "Old",
+            (
+                Clause(("OLD %",), excluded_merchants=("Loose",), since=dt.date(2019, 1, 1)),
+                Clause(("%gizmo",), since=dt.date(2016, 1, 1)),
+                Clause(("%rod",), merchant="Loose"),
+            ),
+            excluded_merchants=("Etsy",),
+        ),
+        BrandRule("Any", (Clause(("%",), since=dt.date(2017, 1, 1)),)),
+        BrandRule("Any", (Clause(("%o%",)),)),
+    ]
+    rows = [
+        item(day, text, merchant=merchant)
+        for day in ("2015-06-01", "2016-06-01", "2018-06-01", "2019-06-01", None)
+        for text in ("old gizmo", "OLD rod", "red rod", "plate", None, "")
+        for merchant in ("Shop", "Loose", "Etsy", None)
+    ]
+    items = make_tables(items=rows).items
+    key = ["brand", "orderdate", "itemdescription", "merchant"]
+    by_row, by_text = (sorted(map(repr, f(items, rules).select(*key).collect())) for f in (tag_brands, tag_brands_by_text))
+    assert by_row == by_text
+    assert tag_brands_by_text(make_tables().items, rules).count() == 0
