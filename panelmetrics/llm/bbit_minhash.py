@@ -45,7 +45,8 @@ ESTIMATE = 0.6
 BLOCK = 1024
 FILTER_BITS = 24
 SLICE = 2048
-COLUMNS = 4096
+COLUMNS = 2048
+ROWS = 256
 LANES = np.uint64(0x1111111111111111)  # the lowest of every four bits
 
 
@@ -179,16 +180,15 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(fresh)
 
 
-def reached(left: np.ndarray, right: np.ndarray, count: int) -> np.ndarray:
-    """Smallest index that each of `count` indices is connected with by links."""
-    label = np.arange(count)
+def merged(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Labels (smallest connected index) after links left - right are added."""
     while True:
-        before = label.copy()
-        np.minimum.at(label, left, label[right])
-        np.minimum.at(label, right, label[left])
-        label = label[label]
-        if (label == before).all():
+        low, high = np.minimum(label[left], label[right]), np.maximum(label[left], label[right])
+        if (low == high).all():
             return label
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
 
 
 def candidate_links(members: DataFrame, estimate: float) -> DataFrame:
@@ -200,8 +200,8 @@ def candidate_links(members: DataFrame, estimate: float) -> DataFrame:
             group = np.repeat(np.arange(len(starts)), np.diff([*starts, table.num_rows]))
             count = table.num_rows
             words = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u8").reshape(count, -1)
-            at, shift, lefts, rights = np.arange(count), 0, [], []
-            while True:  # every set with the one `shift` places behind it, while that is in its group
+            at, shift, label = np.arange(count), 0, np.arange(count)
+            while True:  # every set with the one `shift` places behind it, unless they are connected already
                 shift += 1
                 at = at[at + shift < count]
                 at = at[group[at] == group[at + shift]]
@@ -209,15 +209,14 @@ def candidate_links(members: DataFrame, estimate: float) -> DataFrame:
                     break
                 for start in range(0, len(at), 65536):
                     some = at[start : start + 65536]
+                    some = some[label[some] != label[some + shift]]
                     hit = some[estimated(words[some], words[some + shift]) >= estimate]
-                    lefts.append(hit)
-                    rights.append(hit + shift)
-            if lefts:
-                root = reached(np.concatenate(lefts), np.concatenate(rights), count)
-                edge = np.flatnonzero(root != np.arange(count))
+                    label = merged(label, hit, hit + shift)
+            edge = np.flatnonzero(label != np.arange(count))
+            if len(edge):
                 digest = table.column("digest").combine_chunks()
                 yield pa.RecordBatch.from_arrays(
-                    [digest.take(pa.array(edge)), digest.take(pa.array(root[edge]))], names=["a", "b"]
+                    [digest.take(pa.array(edge)), digest.take(pa.array(label[edge]))], names=["a", "b"]
                 )
 
     keys = ["node", "low", "high"]
@@ -243,7 +242,21 @@ def common_sizes(sets: list[np.ndarray]) -> np.ndarray:
         marks = np.zeros((len(sets), COLUMNS), dtype=np.float32)
         marks[owner[low:high], place[low:high] - start] = 1
         common += marks @ marks.T
-    return common.astype(np.int64)
+    return common
+
+
+def confirmed(sets: list[np.ndarray], own: np.ndarray | None) -> np.ndarray:
+    """Label of each set by the links among them; with block numbers `own`, links inside a block are left to its own task."""
+    sizes, common, label = np.array([len(s) for s in sets]), common_sizes(sets), np.arange(len(sets))
+    for start in range(0, len(sets), ROWS):
+        some = slice(start, start + ROWS)
+        both = common[some].astype(np.int64)
+        linked = OF * both >= LEAST * (sizes[some, None] + sizes - both)
+        if own is not None:
+            linked &= own[some, None] != own
+        left, right = np.nonzero(linked)
+        label = merged(label, left + start, right)
+    return label
 
 
 def confirmed_links(members: DataFrame) -> DataFrame:
@@ -260,15 +273,10 @@ def confirmed_links(members: DataFrame) -> DataFrame:
                 if stop - start < 2:
                     continue
                 sets = [shingle_set(numbers.of(texts[i].as_buffer().to_pybytes().lower())) for i in range(start, stop)]
-                sizes, common = np.array([len(s) for s in sets]), common_sizes(sets)
-                linked = OF * common >= LEAST * (sizes[:, None] + sizes - common)
-                if low[start] != high[start]:  # pairs inside one block are those of its own task
-                    linked &= own[start:stop, None] != own[start:stop]
-                left, right = np.nonzero(np.triu(linked, 1))
-                root = reached(left, right, stop - start)
-                edge = np.flatnonzero(root != np.arange(stop - start))
+                label = confirmed(sets, own[start:stop] if low[start] != high[start] else None)
+                edge = np.flatnonzero(label != np.arange(stop - start))
                 yield pa.RecordBatch.from_arrays(
-                    [digest.take(pa.array(edge + start)), digest.take(pa.array(root[edge] + start))], names=["a", "b"]
+                    [digest.take(pa.array(edge + start)), digest.take(pa.array(label[edge] + start))], names=["a", "b"]
                 )
 
     columns = ["label", "low", "high", "own", "digest", "text"]
