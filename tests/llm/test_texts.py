@@ -277,7 +277,7 @@ def tokenizer_path():
 
 
 @pytest.mark.parametrize("change", ["no regex", "token with a space"])
-def test_encoding_with_another_grammar_equals_the_library(change):
+def test_encoding_with_another_grammar_equals_the_library(make_documents, tmp_path, change):
     from tokenizers import Tokenizer
 
     with open(tokenizer_path(), encoding="utf-8") as file:
@@ -290,11 +290,57 @@ def test_encoding_with_another_grammar_equals_the_library(change):
     else:
         token = {"id": 50257, "content": "one two", "special": True, "normalized": False}
         spec["added_tokens"].append(token | {"single_word": False, "lstrip": False, "rstrip": False})
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
     whole = Tokenizer.from_str(json.dumps(spec))
-    texts = ["some more one two three the same place where we are", "the one two", "one two " * 40, ""]
-    coded = bpe_chunks.ChunkCoder(json.dumps(spec), 1000).code([t.encode() for t in texts])
-    expected = [whole.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [np.frombuffer(c[0], "<u4").tolist() for c in coded] == expected
+    texts = ["some more one two three the same place where we are " * 9, "the one two", "one two " * 40, ""]
+    coded = bpe_chunks.encode_documents(make_documents(list(enumerate(texts * 2))), str(path), cut_bits=4, least=1).collect()
+    expected = [whole.encode(texts[r.doc_id % 4], add_special_tokens=False).ids for r in coded]
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in coded] == expected
+
+
+def test_ranks_stand_in_for_merges_only_where_they_agree():
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        spec = json.load(file)
+    assert bpe_chunks.ids_are_ranks(spec, bpe_chunks.library(json.dumps(spec)))
+    swapped = json.loads(json.dumps(spec))
+    merges = swapped["model"]["merges"]
+    merges[300], merges[900] = merges[900], merges[300]
+    assert not bpe_chunks.ids_are_ranks(swapped, bpe_chunks.library(json.dumps(swapped)))
+    cut = json.loads(json.dumps(spec))
+    del cut["model"]["merges"][5000]
+    assert not bpe_chunks.ids_are_ranks(cut, bpe_chunks.library(json.dumps(cut)))
+
+
+def test_cuts_follow_the_text_alone():
+    chance = random.Random(4)
+    passage = "".join(chance.choices("abcdefgh é日", k=4000)).encode()
+    before = "".join(chance.choices("xyz ", k=333)).encode()
+    alone, moved = (
+        bpe_chunks.cut_places(np.frombuffer(t, np.uint8), np.array(s), 5) for t, s in ((passage, [0]), (before + passage, [0, len(before)]))
+    )
+    assert len(alone) > 50 and (moved[moved > len(before)] - len(before)).tolist() == alone.tolist()
+    for cut in alone.tolist():
+        passage[:cut].decode()
+
+
+def test_joins_inside_words_are_repaired():
+    """Texts cut anywhere, with pieces of a few letters and of many words."""
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        coder = bpe_chunks.Coder(file.read(), True)
+    chance = random.Random(5)
+    parts = [" ", "  ", "\n", "\t ", "word", "Über", "\u3000", "\x1c", "\x85", "'s", "42", "!!", "日本", "é", " the", " another", " of", "🙂"]
+    for _ in range(300):
+        text = "".join(chance.choices(parts, k=chance.randint(1, 150)))
+        cuts = sorted({0, len(text), *(chance.randrange(len(text) + 1) for _ in range(chance.randint(0, 12)))})
+        shared, at = [], 0
+        for a, b in zip(cuts, cuts[1:]):
+            raw = text[a:b].encode()
+            if chance.random() < 0.6:
+                shared.append((at, len(raw), coder.piece(raw).tobytes()))
+            at += len(raw)
+        found = bpe_chunks.joined_ids(coder, text.encode(), shared)
+        assert found.tolist() == coder.whole.encode(text, add_special_tokens=False).ids
 
 
 def test_encoding_equals_the_library(make_documents, odd_rows):
@@ -304,8 +350,9 @@ def test_encoding_equals_the_library(make_documents, odd_rows):
     chance = random.Random(8)
     parts = [" ", "  ", "\n", "\t ", "word", "Über", " ", "　", " ", "\x1c", "\x85", "<|endoftext|>", "'s", "42", "!!", "日本", "é", " the", "🙂"]
     rows = odd_rows + [(100 + i, "".join(chance.choices(parts, k=chance.randint(1, 80)))) for i in range(150)]
-    for remembered in (20, 100_000):
-        coded = bpe_chunks.encode_documents(make_documents(rows), tokenizer_path(), remembered=remembered).collect()
+    rows += [(300 + i, "".join(rows[20 + k][1] for k in (i % 5, i % 7, i % 3))) for i in range(40)]
+    for settings in ({}, {"cut_bits": 3, "least": 1}, {"cut_bits": 6, "least": 20, "bits": 6}):
+        coded = bpe_chunks.encode_documents(make_documents(rows).repartition(3), tokenizer_path(), **settings).collect()
         assert len(coded) == len(rows)
         expected = Counter()
         for doc_id, text, *_ in rows:
