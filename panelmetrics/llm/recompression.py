@@ -90,15 +90,22 @@ class Anchors:
         self.width = width
         self.powers = Powers()
 
-    def __call__(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per window: a hash of its words, the key of its anchor, and whether the window before has another anchor."""
+    def __call__(self, words: np.ndarray, edges: np.ndarray | None = None):
+        """Per window: its start, a hash of its words, the key of its anchor, whether the window before has another anchor.
+
+        The words may be those of several texts one behind the other, text i from edges[i] to edges[i + 1]. Windows
+        over two texts are left out, and as contexts lie inside windows, words of another text decide nothing.
+        """
         count = len(words) - self.width + 1
         if count < 1:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
         self.powers.need(len(words) + 1)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(words * self.powers.up[: len(words)], dtype=np.uint64)])
         at = np.arange(count)
-        whole = mixed((sums[self.width :] - sums[:count]) * self.powers.down[:count])
+        if edges is not None:
+            inside = np.repeat(np.append(edges[1:], edges[-1]), np.diff(edges, append=edges[-1]))[:count]
+            at = at[at + self.width <= inside]
+        whole = mixed((sums[at + self.width] - sums[at]) * self.powers.down[at])
         symbols = Symbols(words)
         first = np.searchsorted(symbols.low, at, side="left")
         last = np.searchsorted(symbols.high, at + self.width, side="right")
@@ -109,7 +116,7 @@ class Anchors:
             place[some] = chosen = least_symbol(symbols.name, first[some], last[some])
             low, high = symbols.low[chosen], symbols.high[chosen]
             keys[some] = mixed((sums[high] - sums[low]) * self.powers.down[low] + (high - low).astype(np.uint64))
-        return whole, keys, np.concatenate([[True], place[1:] != place[:-1]])
+        return at, whole, keys, np.concatenate([[True], place[1:] != place[:-1]]) if len(at) else np.zeros(0, bool)
 
 
 def least_symbol(names: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:

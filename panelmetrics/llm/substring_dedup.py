@@ -34,11 +34,12 @@ from panelmetrics.llm.common import text_of, written
 from panelmetrics.llm.exact_dedup import filter_bits
 from panelmetrics.llm.jaccard_join import FILTER_BITS, row_key
 from panelmetrics.llm.recompression import Anchors
-from panelmetrics.llm.words import WordNumbers
+from panelmetrics.llm.words import WordNumbers, text_runs
 
 WIDTH = 20
 ANCHOR_BITS = 27
 CHUNK = 1 << 20
+RUN_BYTES = 1 << 18
 LAST = np.iinfo(np.int64).max
 
 
@@ -54,8 +55,8 @@ def shared_anchors(frame: DataFrame, width: int) -> DataFrame:
     def run(batches):
         numbers, anchors, held, size = WordNumbers(), Anchors(width), [], 0
         for batch in batches:
-            for text in batch.column(0):
-                _, keys, another = anchors(numbers.of(text.as_buffer().to_pybytes()))
+            for _, texts in text_runs(batch.column(0), RUN_BYTES):
+                _, _, keys, another = anchors(*numbers.of_many(texts))
                 if not len(keys):
                     continue
                 held.append(keys[another])  # neighbouring windows with one anchor are one occurrence of it
@@ -80,13 +81,17 @@ class Chunk:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, doc_id: int | None, row: int, keys: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> None:
-        if row in self.known:  # a repeated row is the document that is already here
-            return
+    def is_new(self, row: int) -> bool:
+        """Whether a document is not here yet; a repeated row is the document that is already here."""
+        if row in self.known:
+            return False
         self.known.add(row)
-        at = np.full(len(starts), len(self.rows), dtype=np.int64)
-        self.rows.append((doc_id, row))
-        self.parts.append((keys, hashes, at, starts))
+        return True
+
+    def add(self, rows: list[tuple[int | None, int]], at: np.ndarray, starts: np.ndarray, keys: np.ndarray, hashes: np.ndarray) -> None:
+        """Windows of the documents `rows` (id, row), each with its place in that list."""
+        self.parts.append((keys, hashes, at + len(self.rows), starts))
+        self.rows.extend(rows)
         self.size += len(starts)
 
     def settled(self) -> pa.RecordBatch:
@@ -134,14 +139,16 @@ def likely_windows(frame: DataFrame, held: bytes, bits: int, width: int) -> Data
         bitmap = np.frombuffer(shared.value, np.uint8)
         numbers, anchors, chunk = WordNumbers(), Anchors(width), Chunk()
         for batch in batches:
-            for row, doc_id, text in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True
-            ):
-                hashes, keys, _ = anchors(numbers.of(text.as_buffer().to_pybytes()))
+            rows = list(zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True))
+            for first, texts in text_runs(batch.column(2), RUN_BYTES):
+                new = [i for i in range(len(texts)) if chunk.is_new(rows[first + i][1])]
+                words, edges = numbers.of_many([texts[i] for i in new])
+                at, hashes, keys, _ = anchors(words, edges)
                 place = (keys >> np.uint64(64 - bits)).astype(np.int64)
-                starts = np.flatnonzero(bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-                if len(starts):
-                    chunk.add(doc_id, row, keys[starts], hashes[starts], starts)
+                hit = np.flatnonzero(bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                if len(hit):
+                    of = np.searchsorted(edges, at[hit], side="right") - 1
+                    chunk.add([rows[first + i] for i in new], of, at[hit] - edges[of], keys[hit], hashes[hit])
                 if chunk.size >= CHUNK:
                     yield chunk.settled()
                     chunk = Chunk()
@@ -184,15 +191,56 @@ def named_windows(windows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "row long, start int, length int")
 
 
-def without_windows(text: bytes, named: list[dict] | None, width: int) -> tuple[int, int, str]:
+def gathered(named: DataFrame) -> DataFrame:
+    """(row, named): one row per document, its stretches as pairs of 32-bit numbers (start, length), in order.
+
+    Stretches of one document come from many owners; they meet sorted, and those that touch become one.
+    """
+
+    def run(batches):
+        held = None  # stretches of the last document so far, as it may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, start, length = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
+            if held is not None:
+                row, start, length = (np.concatenate(pair) for pair in zip(held, (row, start, length), strict=True))
+            stop = start + length
+            # a stretch begins where no earlier one of its document reaches
+            reach = np.maximum.accumulate(stop + (np.cumsum(np.r_[True, row[1:] != row[:-1]]) << 32))
+            fresh = np.r_[True, (row[1:] != row[:-1]) | (start[1:] > (reach[:-1] & ((1 << 32) - 1)))]
+            first = np.flatnonzero(fresh)
+            row, start, stop = row[first], start[first], reach[np.r_[first[1:], len(fresh)] - 1] & ((1 << 32) - 1)
+            last = int(np.flatnonzero(row == row[-1])[0])
+            held = row[last:], start[last:], (stop - start)[last:]
+            if last:
+                yield packed(row[:last], start[:last], (stop - start)[:last])
+        if held is not None:
+            yield packed(*held)
+
+    def packed(row: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+        pairs = np.stack([start, length], axis=1).astype("<i4").tobytes()
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        edges = np.r_[first, len(row)].tolist()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(row[first]), pa.array([pairs[8 * a : 8 * b] for a, b in zip(edges, edges[1:])], pa.binary())],
+            names=["row", "named"],
+        )
+
+    dealt = named.repartition("row").sortWithinPartitions("row", "start")
+    return dealt.mapInArrow(run, "row long, named binary")
+
+
+def without_windows(text: bytes, named: bytes | None, width: int) -> tuple[int, int, bytes]:
     """Words, words removed, and the kept words joined by one space."""
     words = kept = text.split()
     if named:
-        gone = np.zeros(len(words), dtype=bool)
-        for stretch in named:
-            gone[stretch["start"] : stretch["start"] + stretch["length"] - 1 + width] = True
-        kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-    return len(words), len(words) - len(kept), b" ".join(kept).decode()
+        kept, at = [], 0
+        for start, length in np.frombuffer(named, "<i4").reshape(-1, 2).tolist():
+            kept += words[at:start]
+            at = max(at, start + length - 1 + width)
+        kept += words[at:]
+    return len(words), len(words) - len(kept), b" ".join(kept)
 
 
 def remove_repeats(
@@ -208,10 +256,10 @@ def remove_repeats(
     )
     frame = frame.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     anchors = filter_bits(shared_anchors(frame, width), bits)
-    named = written(named_windows(likely_windows(frame, anchors, bits, width)), "named")
-    gathered = named.groupBy("row").agg(F.collect_set(F.struct("start", "length")).alias("named"))
+    named = named_windows(likely_windows(frame, anchors, bits, width))
+    lists = written(gathered(named), "lists")
     held = frame.sparkSession.sparkContext.broadcast(
-        filter_bits(named.select(F.xxhash64("row").alias("fingerprint")), FILTER_BITS)
+        filter_bits(lists.select(F.xxhash64("row").alias("fingerprint")), FILTER_BITS)
     )
     placed = frame.withColumn("place", F.shiftrightunsigned(F.xxhash64("row"), 64 - FILTER_BITS))
 
@@ -236,7 +284,7 @@ def remove_repeats(
                 batch.column(batch.schema.get_field_index("doc_id")),
                 pa.array([r[0] for r in rows], pa.int64()),
                 pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([r[2] for r in rows], pa.string()),
+                pa.array([r[2] for r in rows], pa.binary()).cast(pa.string()),
             ],
             names=["doc_id", "n_words", "n_removed", "kept"],
         )
@@ -250,5 +298,5 @@ def remove_repeats(
     schema = "doc_id long, n_words long, n_removed long, kept string"
     columns = ["doc_id", "text", "row", "place"]
     likely = placed.select(*columns).mapInArrow(passed, "doc_id long, text string, row long, place long")
-    joined = likely.join(gathered.hint("merge"), "row", "left").select("doc_id", "text", "named")
+    joined = likely.join(lists.hint("merge"), "row", "left").select("doc_id", "text", "named")
     return placed.select(*columns).mapInArrow(whole, schema).unionByName(joined.mapInArrow(listed, schema))

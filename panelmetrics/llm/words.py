@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import xxhash
 
@@ -22,6 +24,28 @@ class WordNumbers(dict):
         words = text.split()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+    def of_many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of several texts, one text behind the other, and where each text starts (and the end)."""
+        split = [t.split() for t in texts]
+        edges = np.zeros(len(split) + 1, dtype=np.int64)
+        np.cumsum([len(w) for w in split], out=edges[1:])
+        numbers = map(self.__getitem__, chain.from_iterable(split))
+        return np.fromiter(numbers, np.uint64, int(edges[-1])), edges
+
+
+def text_runs(column, size: int):
+    """(first row, texts) of runs of consecutive rows with about `size` bytes each; a long text is a run of its own."""
+    held, total, first = [], 0, 0
+    for row, text in enumerate(column):
+        raw = text.as_buffer().to_pybytes()
+        if held and total + len(raw) > size:
+            yield first, held
+            held, total, first = [], 0, row
+        held.append(raw)
+        total += len(raw)
+    if held:
+        yield first, held
+
 
 def mixed(values: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers (the finish of splitmix64)."""

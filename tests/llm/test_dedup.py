@@ -1,6 +1,7 @@
 """Exact dedup, near copies and repeated passages against plain Python."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -100,9 +101,9 @@ def links_of(rows):
     return [links[i] for i in range(len(rows))], [root(i) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("settings", [{}, {"block": 4, "long_node": 6}])
+@pytest.mark.parametrize("settings", [{}, {"block": 4}, {"miss": 1e-9}])
 def test_links_and_classes_equal_those_of_all_pairs(make_documents, settings):
-    """With small limits, long prefixes are lengthened and groups are dealt out in blocks."""
+    """With small blocks, nodes and groups are dealt out; another target recall gives another depth."""
     rows = [(i, t) for i, t in enumerate(near_texts(5, 8, 9))]
     links, classes = links_of(rows)
     found = {r.doc_id: r for r in jaccard_join.similar_documents(make_documents(rows), **settings).collect()}
@@ -112,6 +113,51 @@ def test_links_and_classes_equal_those_of_all_pairs(make_documents, settings):
     assert [found[i].class_size for i in range(len(rows))] == [sizes[c] for c in classes]
 
 
+def test_depth_follows_from_the_target_recall():
+    assert [jaccard_join.depth_for(m) for m in (1e-6, 1e-9, 1e-3, 0.5)] == [4, 3, 7, 17]
+
+
+def test_trie_connects_what_all_pairs_connect():
+    chance = np.random.default_rng(9)
+    for _ in range(30):
+        base = chance.integers(0, 256, (6, 128))
+        rows = base[chance.integers(0, 6, 70)]
+        rows = np.where(chance.random(rows.shape) < chance.choice([0.02, 0.3]), chance.integers(0, 256, rows.shape), rows).astype(np.uint8)
+        group = np.sort(chance.integers(0, 5, 70))
+        order = np.lexsort([*rows.T[::-1], group])
+        rows, group = rows[order], group[order]
+        expected = np.arange(70)
+        for i in range(70):
+            for j in range(i):
+                if group[i] == group[j] and (rows[i] == rows[j]).mean() >= 0.6 and expected[i] != expected[j]:
+                    both = (expected == expected[i]) | (expected == expected[j])
+                    expected[both] = expected[both].min()
+        assert jaccard_join.connected_by_trie(rows, group, 0.6).tolist() == expected.tolist()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables not present")
+def test_recall_over_all_documents_is_whole(spark):
+    """All pairs of documents that share a shingle, against the links and classes of the join."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: WORD.findall(r.text or "") for r in documents.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in rows.items()}
+    holders = defaultdict(list)
+    links, least = Counter(), {i: i for i in rows}
+    for i in sorted(sets):
+        shared = Counter(j for s in sets[i] for j in holders[s])
+        for j, n in shared.items():
+            if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n):
+                links.update((i, j))
+                if least[i] != least[j]:
+                    both = {least[i], least[j]}
+                    least = {k: min(both) if v in both else v for k, v in least.items()}
+        for s in sets[i]:
+            holders[s].append(i)
+    found = {r.doc_id: (r.n_links, r.class_id) for r in jaccard_join.similar_documents(documents).collect()}
+    assert found == {i: (links[i], least[i]) for i in rows}
+    assert sum(links.values()) > 100
+
+
 def test_near_copies_of_odd_rows(make_documents, odd_rows):
     found = jaccard_join.similar_documents(make_documents(odd_rows)).collect()
     assert len(found) == len(odd_rows)
@@ -253,12 +299,24 @@ def test_different_windows_of_one_anchor_spread(spark):
     assert len(tasks) > 1
 
 
+def test_anchors_of_several_texts_are_those_of_each():
+    chance, anchors = random.Random(13), Anchors(20)
+    texts = [np.array([chance.choice([5, 5, 6, 7, 8, 9]) for _ in range(n)], dtype=np.uint64) for n in (0, 45, 19, 20, 3, 80, 0, 21, 0)]
+    edges = np.cumsum([0, *map(len, texts)])
+    at, whole, keys, another = anchors(np.concatenate(texts), edges)
+    apart = [anchors(t) for t in texts]
+    assert at.tolist() == [int(s) + int(e) for (starts, *_), e in zip(apart, edges) for s in starts]
+    for found, which in ((whole, 1), (keys, 2)):
+        assert found.tolist() == np.concatenate([a[which] for a in apart]).tolist()
+    assert (another | ~np.concatenate([a[3] for a in apart])).sum() >= len(at) - len(texts)
+
+
 def test_equal_windows_have_equal_anchors():
     chance, anchors, seen = random.Random(3), Anchors(20), {}
     numbers = {w: chance.getrandbits(64) for w in range(5)}
     for _ in range(60):
         words = [chance.choice([0, 0, 0, 1, 2, 3, 4]) for _ in range(chance.randint(20, 90))]
-        whole, keys, _ = anchors(np.array([numbers[w] for w in words], dtype=np.uint64))
+        _, whole, keys, _ = anchors(np.array([numbers[w] for w in words], dtype=np.uint64))
         for start in range(len(words) - 19):
             found = (int(whole[start]), int(keys[start]))
             assert seen.setdefault(tuple(words[start : start + 20]), found) == found
