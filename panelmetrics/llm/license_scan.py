@@ -1,13 +1,15 @@
 """License scans with a positional index of rare words, in Spark expressions only.
 
 A template is a notice with one mandatory key phrase in it. The words of all key phrases are
-the licence words. One pass counts in how many documents each of them occurs; per key phrase
-the two rarest words (highest IDF over this corpus) become its index words, with their
-offsets as postings. A second pass looks only at documents that hold index words: the places
-of the two words, each moved back by its offset, are intersected, and at every place that is
-left the whole key phrase is verified. A key phrase that is present always has its rarest words
-at their places, so nothing is lost. The share of the notice's words that stand at their places
-around the phrase is the match's coverage.
+the licence words. One pass counts in how many documents each of them occurs (its IDF over this corpus).
+The index holds, per template, the postings of the two rarest words of its key phrase: word, template and offset.
+
+A second pass looks each file up in the index. Templates whose licence words are not all in the file are out;
+the postings of the others are the file's highest-IDF licence words. Every place of such a word gives, by each of its
+postings, a place where a template would start; places that both words of a template agree on are left
+(one intersection for all templates), and at these the whole key phrase is verified. A key phrase that is
+present has all its words in the file and its rarest words at their places, so nothing is lost. The share of the
+notice's words that stand at their places around the phrase is the match's coverage.
 
 What is gathered on the driver is one number per licence word.
 
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from panelmetrics.llm.common import text_of
 
+PLACES = 1 << 32  # a template and a place in a text as one number
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -99,25 +102,70 @@ def index_words(template: Template, frequencies: dict[str, int]) -> list[tuple[s
     return [(w, i) for _, w, i in places[:2]]
 
 
-def places_of(words: Column, template: Template, frequencies: dict[str, int]) -> Column:
-    """Starts of the key phrase: index places intersected, then the phrase verified."""
+def index_of(templates: tuple[Template, ...], frequencies: dict[str, int]) -> tuple[Column, Column]:
+    """The index as two literal arrays: templates (number, label, ...) and postings (word, number, offset, second)."""
+    cards = [
+        F.struct(
+            F.lit(number).cast("long").alias("number"),
+            F.lit(t.label).alias("label"),
+            F.lit(t.base).alias("base"),
+            strings(t.words).alias("phrase"),
+            strings(t.notice.split()).alias("notice"),
+            F.lit(t.lead).alias("lead"),
+        )
+        for number, t in enumerate(templates)
+    ]
+    postings = []
+    for number, t in enumerate(templates):
+        rare = index_words(t, frequencies)
+        for second, (word, offset) in enumerate((rare * 2)[:2]):  # a phrase of one word agrees with itself
+            postings.append(
+                F.struct(
+                    F.lit(word).alias("word"),
+                    F.lit(number).cast("long").alias("number"),
+                    F.lit(offset).alias("offset"),
+                    F.lit(bool(second)).alias("second"),
+                )
+            )
+    return F.array(*cards), F.array(*postings)
+
+
+def matches_in(words: Column, mine: Column, cards: Column, postings: Column) -> Column:
+    """Matches of a file from its words, its distinct licence words and the index, by template and place."""
+    inside = F.transform(F.filter(cards, lambda c: F.size(F.array_except(c["phrase"], mine)) == 0), lambda c: c["number"])
+    wanted = F.filter(postings, lambda p: F.array_contains(inside, p["number"]))
+    rare = F.array_distinct(F.transform(wanted, lambda p: p["word"]))
+    spots = F.filter(
+        F.transform(words, lambda w, i: F.when(F.array_contains(rare, w), F.struct(w.alias("word"), i.alias("place")))),
+        lambda spot: spot.isNotNull(),
+    )
 
-    def postings(word: str, offset: int) -> Column:
-        return F.filter(F.transform(words, lambda w, i: F.when(w == word, i - offset)), lambda i: i >= 0)
+    def starts(second: bool) -> Column:
+        """Template and start as one number, by the first or the second rare word of each template."""
 
-    moved = [postings(word, offset) for word, offset in index_words(template, frequencies)]
-    aligned = moved[0] if len(moved) == 1 else F.array_intersect(*moved)
-    phrase = strings(template.words)
-    return F.filter(aligned, lambda i: F.slice(words, i + 1, len(template.words)) == phrase)
+        def of_spot(spot: Column) -> Column:
+            mine = F.filter(wanted, lambda p: (p["word"] == spot["word"]) & (p["second"] == second) & (spot["place"] >= p["offset"]))
+            return F.transform(mine, lambda p: p["number"] * PLACES + (spot["place"] - p["offset"]))
 
+        return F.flatten(F.transform(spots, of_spot))
 
-def coverage(words: Column, start: Column, template: Template) -> Column:
-    """Share of the notice's words at their places around a key phrase at `start`."""
-    notice = template.notice.split()
-    hits = [
-        F.when(F.get(words, start + (j - template.lead)) == w, 1).otherwise(0) for j, w in enumerate(notice)
-    ]
-    return sum(hits[1:], hits[0]) / F.lit(float(len(notice)))
+    def match(found: Column) -> Column:
+        number, start = F.floor(found / PLACES), found % PLACES
+        card = F.get(cards, number.cast("int"))
+        there = F.transform(card["notice"], lambda w, j: F.get(words, (start + (j - card["lead"])).cast("int")) == w)
+        return F.struct(
+            card["label"].alias("label"),
+            card["base"].alias("base"),
+            start.alias("start"),
+            (F.size(F.filter(there, lambda same: same)) / F.size(card["notice"]).cast("double")).alias("coverage"),
+        )
+
+    def verified(found: Column) -> Column:
+        phrase = F.get(cards, F.floor(found / PLACES).cast("int"))["phrase"]
+        return F.slice(words, (found % PLACES + 1).cast("int"), F.size(phrase)) == phrase
+
+    aligned = F.array_sort(F.array_intersect(starts(False), starts(True)))
+    return F.transform(F.filter(aligned, verified), match)
 
 
 def scan_licenses(
@@ -129,28 +177,17 @@ def scan_licenses(
     """One row per document: doc_id, n_words, matches (label, base, start, coverage)."""
     frequencies = document_frequencies(documents, templates, text_column)
     rarest = sorted({index_words(t, frequencies)[0][0] for t in templates})
+    cards, postings = index_of(templates, frequencies)
     frame = documents.select(
         documents[id_column].alias("doc_id"), words_of(text_of(documents, text_column)).alias("words")
     )
     words = F.col("words")
-
-    def matches_of(template: Template) -> Column:
-        return F.transform(
-            places_of(words, template, frequencies),
-            lambda i: F.struct(
-                F.lit(template.label).alias("label"),
-                F.lit(template.base).alias("base"),
-                i.cast("long").alias("start"),
-                coverage(words, i, template).alias("coverage"),
-            ),
-        )
-
-    matches = [matches_of(t) for t in templates]
+    mine = F.array_intersect(words, strings(sorted(frequencies)))
     none = F.expr("cast(array() as array<struct<label:string,base:boolean,start:bigint,coverage:double>>)")
     return frame.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.when(F.arrays_overlap("words", strings(rarest)), F.concat(*matches)).otherwise(none).alias("matches"),
+        F.when(F.arrays_overlap("words", strings(rarest)), matches_in(words, mine, cards, postings)).otherwise(none).alias("matches"),
     )
 
 
