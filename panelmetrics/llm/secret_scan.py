@@ -5,12 +5,13 @@ numbers, and loose tokens (24 or more characters with small and capital letters
 texts between the matches give their places: a span starts after the lengths of all that comes
 before it, summed by a window over the matches of a document, so the work is linear in them.
 
-Every candidate value is counted by distinct owners (sources) and repositories (documents): distinct
-(value, owner, repository) first, which spreads a value that a third of the rows hold, then
-sums that combine before they move. A value that `example_owners` owners or more hold is a
-widely copied example; any other is live-looking, whatever the number of repositories, which is only
-reported. Documents of different owners that hold one text count for each owner. Spans of the first three kinds are always
-reported; loose tokens only when live-looking. redact() replaces live-looking spans.
+Every candidate is counted by the SHA-256 of its value, by distinct owners (sources) and repositories (documents):
+distinct (hash, owner, repository) first, which spreads a value that a third of the rows hold, then
+sums that combine before they move. Values are neither moved nor written. A value that `example_owners` owners or
+more hold is a widely copied example; any other is live-looking. Live-looking values that stand in
+SPREAD_REPOSITORIES repositories or more are told apart: few owners copy them widely, as boilerplate of their
+own (`n_spread` of the digest counts them). Documents of different owners that hold one text count for each owner. Spans
+of the first three kinds are always reported; loose tokens only when live-looking. redact() replaces live-looking spans.
 
 Defined cases: a null text is empty; a null owner is an owner of its own, and so is a null
 repository; rows that repeat are scanned each (as one repository of the count, having the same
@@ -43,6 +44,7 @@ HINTS = {
 }
 BASE = ("assign", "access", "hex")
 EXAMPLE_OWNERS = 3
+SPREAD_REPOSITORIES = 10
 MARK = "[SECRET]"
 
 
@@ -52,7 +54,11 @@ def hinted(text: Column) -> Column:
 
 
 def pieces_of(text: Column) -> Column:
-    """Matches of all kinds: array of (kind, place, gap, size, value); gap is the text before."""
+    """Matches of all kinds: array of (kind, place, gap, size, chars, mixed, hash); gap is the text before.
+
+    Values stay in the pass that finds them: what is kept of one is its length, whether it mixes small and
+    capital letters and digits, and its SHA-256.
+    """
 
     def of_kind(number: int) -> Column:
         kind, pattern, _ = KINDS[number]
@@ -69,11 +75,14 @@ def pieces_of(text: Column) -> Column:
                 i.alias("place"),
                 F.length(F.get(gaps, i)).alias("gap"),
                 F.length(m["whole"]).alias("size"),
-                m["value"].alias("value"),
+                F.length(m["value"]).alias("chars"),
+                (m["value"].rlike("[a-z]") & m["value"].rlike("[A-Z]") & m["value"].rlike("[0-9]")).alias("mixed"),
+                F.unhex(F.sha2(m["value"], 256)).alias("hash"),
             ),
         )
 
-    none = F.expr("cast(array() as array<struct<kind:int,place:int,gap:int,size:int,value:string>>)")
+    fields = "kind:int,place:int,gap:int,size:int,chars:int,mixed:boolean,hash:binary"
+    none = F.expr(f"cast(array() as array<struct<{fields}>>)")
     kinds = [F.when(text.rlike(HINTS[k]), of_kind(i)).otherwise(none) for i, (k, _, _) in enumerate(KINDS)]
     return F.when(hinted(text), F.concat(*kinds)).otherwise(none)
 
@@ -88,18 +97,17 @@ def judged_spans(rows: DataFrame, example_owners: int) -> DataFrame:
         "start", F.col("end") - F.col("size")
     )
     kind = F.col("kind")
-    long_enough = F.when(kind == 0, F.length("value") >= KINDS[0][2]).when(kind == 1, F.col("size") >= KINDS[1][2])
-    mixed = F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]") & F.col("value").rlike("[0-9]")
-    spans = placed.where(long_enough.when(kind == 2, F.lit(True)).otherwise(mixed))
+    long_enough = F.when(kind == 0, F.col("chars") >= KINDS[0][2]).when(kind == 1, F.col("size") >= KINDS[1][2])
+    spans = placed.where(long_enough.when(kind == 2, F.lit(True)).otherwise(F.col("mixed")))
     owned = (
-        spans.select("value", "owner", "repository")
+        spans.select("hash", "owner", "repository")
         .distinct()
-        .groupBy("value", "owner")
+        .groupBy("hash", "owner")
         .agg(F.count(F.lit(1)).alias("repositories"))
-        .groupBy("value")
+        .groupBy("hash")
         .agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
     )
-    judged = spans.join(owned, "value").withColumn("live", F.col("owners") < example_owners)
+    judged = spans.join(owned, "hash").withColumn("live", F.col("owners") < example_owners)
     return judged.where("kind < 3 or live").select("key", "kind", "start", "end", "live", "owners", "repositories")
 
 
@@ -154,6 +162,7 @@ def secret_digest(found: DataFrame) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined("spans").alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.size(F.filter("spans", lambda s: s["live"] & (s["repositories"] >= SPREAD_REPOSITORIES))).cast("long").alias("n_spread"),
     )
 
 
@@ -241,9 +250,12 @@ good as (
     where case kind when 0 then length(val) >= 8 when 1 then size >= 16 when 2 then true
           else regexp_matches(val, '[a-z]') and regexp_matches(val, '[A-Z]') and regexp_matches(val, '[0-9]') end
 ),
-owned as (select val, count(distinct coalesce(source, '')) as owners from good group by val),
+owned as (
+    select val, count(distinct coalesce(source, '')) as owners, count(distinct (coalesce(source, ''), doc_id)) as repositories
+    from good group by val
+),
 judged as (
-    select doc_id, kind, start, stop, owners < {example_owners} as live,
+    select doc_id, kind, start, stop, owners < {example_owners} as live, repositories,
            [{names}][kind + 1] || ':' || start || ':' || stop as span
     from good join owned using (val) where kind < 3 or owners < {example_owners}
 ),
@@ -251,10 +263,11 @@ listed as (
     select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access,
            count(*) filter (kind = 2) as n_hex,
            string_agg(span, ',' order by start, kind) filter (kind < 3) as base,
-           string_agg(span, ',' order by start, kind) as spans, count(*) filter (live) as n_live
+           string_agg(span, ',' order by start, kind) as spans, count(*) filter (live) as n_live,
+           count(*) filter (live and repositories >= {SPREAD_REPOSITORIES}) as n_spread
     from judged group by doc_id
 )
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
-       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_spread, 0) as n_spread
 from documents left join listed using (doc_id)
 """
