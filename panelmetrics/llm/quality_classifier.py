@@ -8,7 +8,8 @@ coordinate descent, and its margin becomes a probability by a logistic curve fit
 that the model has not seen.
 
 The model is fitted on a bounded sample of the labelled rows: the `sample` rows whose hashed
-ids are smallest (at most 6,000, about 40 MB of features on the driver). The weights are 2 MB
+ids are smallest (6,000), as far as their features take `sample_bytes` bytes together (200 MB; a text of
+a thousand words has about 8 kB of them, and none more than 1 MB). The weights are 2 MB
 whatever the input, and are broadcast to score every whole text.
 
 Defined cases: a null or empty text has no features and scores what the bias gives; labels of one id that
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmetrics.llm.common import text_of
+from panelmetrics.llm.common import text_of, written
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -36,6 +37,7 @@ SHARES = (0.125, 0.25, 0.5)  # their features come after the hashed ones
 SHARE_SCALE = 0.3
 FEATURES = BUCKETS + len(SHARES)
 SAMPLE = 6_000
+SAMPLE_BYTES = 200_000_000
 THRESHOLD = 0.3
 
 
@@ -151,8 +153,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     return model
 
 
-def labelled_features(documents: DataFrame, labels: DataFrame, sample: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of the sample, in the order of hashed ids."""
+def labelled_features(
+    documents: DataFrame, labels: DataFrame, sample: int, sample_bytes: int
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and labels of the sample, in the order of hashed ids.
+
+    At most `sample` rows and, from the first row on, `sample_bytes` bytes of features reach the driver.
+    """
     agreed = (
         labels.where("doc_id is not null and label is not null")
         .groupBy("doc_id")
@@ -172,8 +179,13 @@ def labelled_features(documents: DataFrame, labels: DataFrame, sample: int) -> t
 
     seen = rows.mapInArrow(run, "place long, doc_id long, label int, found binary")
     # an id may stand in many documents; one of each text is enough, and the sample stays bounded
-    once = seen.groupBy("place", "doc_id", "label").agg(F.min("found").alias("found"))
-    held = once.collect()
+    once = written(seen.groupBy("place", "doc_id", "label").agg(F.min("found").alias("found")), "sample")
+    sizes = once.select("place", "doc_id", F.length("found").alias("size")).collect()
+    sizes.sort(key=lambda r: (r["place"], r["doc_id"]))
+    fitting = int(np.searchsorted(np.cumsum([r["size"] for r in sizes]), sample_bytes, side="right"))
+    wanted = [(r["place"], r["doc_id"]) for r in sizes[: max(1, fitting)]]
+    last = F.struct(*[F.lit(x).cast("long") for x in (wanted[-1] if wanted else (0, 0))])
+    held = once.where(F.struct("place", "doc_id") <= last).collect() if wanted else []
     held.sort(key=lambda r: (r["place"], r["doc_id"]))
     return [np.frombuffer(r["found"], np.int32).astype(np.int64) for r in held], np.array([r["label"] for r in held])
 
@@ -186,15 +198,19 @@ def score_quality(
     label_column: str = "quality",
     sample: int = SAMPLE,
     threshold: float = THRESHOLD,
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> DataFrame:
-    """One row per document: doc_id, score, predicted. The labels given are all used to learn."""
+    """One row per document: doc_id, score, predicted.
+
+    Of the labels given, a sample of `sample` rows and `sample_bytes` bytes of features at most is used to learn.
+    """
     frame = documents.select(
         documents[id_column].cast("long").alias("doc_id"), text_of(documents, text_column).alias("text")
     )
     taught = labels.select(
         labels[id_column].cast("long").alias("doc_id"), labels[label_column].cast("int").alias("label")
     )
-    model = fit(*labelled_features(frame, taught, sample))
+    model = fit(*labelled_features(frame, taught, sample, sample_bytes))
     held = documents.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.slope, model.offset))
 
     def run(batches):
