@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from panelmetrics.llm import golomb
-from panelmetrics.llm.common import default_partitions, text_of, written
+from panelmetrics.llm.common import default_partitions, field_of, nested, text_of, written
 
 BITS = 64
 
@@ -200,27 +200,21 @@ def suspect_texts(frame: DataFrame, held: bytes, bits: int) -> DataFrame:
 
 
 def rows_by_bitmap(documents: DataFrame, text_column: str, held: bytes, bits: int, inside: bool) -> DataFrame:
-    """Whole rows whose fingerprint is in the bitmap (with the digest as _sha), or is not."""
+    """Rows (nested as `whole`) whose fingerprint is in the bitmap, with their digest, or rows that are not."""
     shared = documents.sparkSession.sparkContext.broadcast(held)
-    schema = documents.schema
-    place = documents.columns.index(text_column)
-    if inside:
-        schema = StructType([*schema.fields, StructField("_sha", BinaryType())])
+    rows, schema = documents.select(nested(documents)), documents.schema
+    result = StructType([*rows.schema.fields, *([StructField("sha", BinaryType())] if inside else [])])
 
     def run(batches):
         bitmap = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            texts = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(place))
-            shas = [hashlib.sha256(normalised(t)).digest() for t in texts]
+            texts = field_of(batch.column(0), schema, text_column)
+            shas = [hashlib.sha256(normalised(t.as_buffer().to_pybytes() if t.is_valid else b"")).digest() for t in texts]
             mask = pa.array([in_bitmap(s, bitmap, bits) == inside for s in shas], pa.bool_())
-            names = list(batch.schema.names)
-            columns = [c.filter(mask) for c in batch.columns]
-            if inside:
-                names.append("_sha")
-                columns.append(pa.array(shas, pa.binary()).filter(mask))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            columns = [batch.column(0).filter(mask)] + ([pa.array(shas, pa.binary()).filter(mask)] if inside else [])
+            yield pa.RecordBatch.from_arrays(columns, names=result.names)
 
-    return documents.mapInArrow(run, schema)
+    return rows.mapInArrow(run, result)
 
 
 def exact_groups(
@@ -307,19 +301,17 @@ def drop_copies(
         decided.groupBy("doc_id", "sha")
         .agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("stays"))
         .where("rows > 1 or not stays")
-        .select(F.col("doc_id").alias("_id"), F.col("sha").alias("_digest"), F.col("stays").alias("_stays"))
+        .select("doc_id", "sha", "stays")
     )
-    held = filter_bits(gone.select(prefix("_digest").alias("fingerprint")), bits)
+    held = filter_bits(gone.select(prefix("sha").alias("fingerprint")), bits)
     free = rows_by_bitmap(documents, text_column, held, bits, inside=False)
     bound = rows_by_bitmap(documents, text_column, held, bits, inside=True)
-    key = F.col(id_column).cast("long")
-    known = bound.withColumn("_key", key).join(
-        gone, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left"
-    )
-    names = documents.columns
-    wrongly = known.where("_digest is null").select(*names)
-    once = known.where("_stays").dropDuplicates(["_key", "_digest"]).select(*names)
-    return free.unionByName(wrongly).unionByName(once)
+    bound = bound.withColumn("id", F.col("whole")[id_column].cast("long"))
+    same = bound["id"].eqNullSafe(gone["doc_id"]) & (bound["sha"] == gone["sha"])
+    known = bound.join(gone, same, "left").select("whole", "id", bound["sha"].alias("digest"), "stays")
+    wrongly = known.where("stays is null").select("whole")
+    once = known.where("stays").dropDuplicates(["id", "digest"]).select("whole")
+    return free.unionByName(wrongly).unionByName(once).select("whole.*")
 
 
 def prefix(sha: str):

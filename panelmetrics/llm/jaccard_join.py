@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelmetrics.llm.common import text_of, written
+from panelmetrics.llm.common import nested, text_of, written
 from panelmetrics.llm.components import connected_components
 from panelmetrics.llm.exact_dedup import filter_bits
 from panelmetrics.llm.words import WordNumbers, mixed, windows
@@ -439,30 +439,27 @@ def keep_one_of_class(documents: DataFrame, id_column: str = "doc_id", text_colu
     gone = (
         decided.join(firsts, "label")
         .groupBy("key")
-        .agg(F.first(F.col("key") == F.col("first.key")).alias("_stays"))
-        .select(F.col("key").alias("_key"), "_stays")
+        .agg(F.first(F.col("key") == F.col("first.key")).alias("stays"))
     )
     gone = written(gone, "gone")
     held = documents.sparkSession.sparkContext.broadcast(
-        filter_bits(gone.select(F.xxhash64("_key").alias("fingerprint")), FILTER_BITS)
+        filter_bits(gone.select(F.xxhash64("key").alias("fingerprint")), FILTER_BITS)
     )
     key = row_key(documents[id_column].cast("long"), text_of(documents, text_column))
     place = F.shiftrightunsigned(F.xxhash64(key), 64 - FILTER_BITS)
-    keyed = documents.withColumn("_key", key).withColumn("_place", place)
+    keyed = documents.select(nested(documents), key.alias("key"), place.alias("place"))
 
     def passed(inside: bool) -> DataFrame:
         def run(batches):
             bitmap = np.frombuffer(held.value, np.uint8)
             for batch in batches:
-                at = batch.column(batch.num_columns - 1).to_numpy()
+                at = batch.column(2).to_numpy()
                 hit = (bitmap[at >> 3] >> (at & 7) & 1).astype(bool)
                 yield batch.filter(pa.array(hit if inside else ~hit))
 
         return keyed.mapInArrow(run, keyed.schema)
 
-    names = documents.columns
-    known = passed(True).join(gone.hint("merge"), "_key", "left")
-    free = passed(False).select(*names)
-    wrongly = known.where("_stays is null").select(*names)
-    once = known.where("_stays").dropDuplicates(["_key"]).select(*names)
-    return free.unionByName(wrongly).unionByName(once)
+    known = passed(True).join(gone.hint("merge"), "key", "left")
+    wrongly = known.where("stays is null").select("whole")
+    once = known.where("stays").dropDuplicates(["key"]).select("whole")
+    return passed(False).select("whole").unionByName(wrongly).unionByName(once).select("whole.*")

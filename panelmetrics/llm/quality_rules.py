@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from panelmetrics.llm.common import text_of
+from panelmetrics.llm.common import field_of, nested, text_of
 from panelmetrics.llm.exact_dedup import filter_bits
 
 BUCKET_BITS = 16
@@ -160,18 +160,17 @@ def trusted_texts(documents: DataFrame, trusted: DataFrame, id_column: str, text
     return likely.join(ids.hint("merge"), likely["_doc"] == ids["_trusted"]).select("text")
 
 
-def scored_rows(documents: DataFrame, text_column: str, ratio: np.ndarray, threshold: float) -> DataFrame:
-    """All columns of the documents with the columns of SCORED behind them."""
-    held = documents.sparkSession.sparkContext.broadcast(ratio)
-    place = documents.columns.index(text_column)
-    schema = StructType([*documents.schema.fields, *(StructField(f"_q_{n}", t) for n, t in SCORED)])
+def scored_rows(frame: DataFrame, text_of_batch, ratio: np.ndarray, threshold: float) -> DataFrame:
+    """The first column of a frame and the columns of SCORED; text_of_batch finds the texts of a batch."""
+    held = frame.sparkSession.sparkContext.broadcast(ratio)
+    schema = StructType([frame.schema.fields[0], *(StructField(n, t) for n, t in SCORED)])
     kinds_of = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64()]
 
     def run(batches):
         weights, kinds = held.value, ByteKinds()
         for batch in batches:
             rows = []
-            for text in batch.column(place):
+            for text in text_of_batch(batch):
                 plain = text.as_buffer().to_pybytes() if text.is_valid else b""
                 codes = np.frombuffer(plain, np.uint8)
                 base = base_statistics(plain, codes, kinds)
@@ -180,9 +179,9 @@ def scored_rows(documents: DataFrame, text_column: str, ratio: np.ndarray, thres
                 score = float(weights[grams].mean()) if len(grams) else 0.0
                 rows.append((*base, failed, not failed and score >= threshold, score))
             more = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds_of)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *more], names=schema.names)
 
-    return documents.mapInArrow(run, schema)
+    return frame.mapInArrow(run, schema)
 
 
 def trained_ratio(documents: DataFrame, trusted: DataFrame, id_column: str, text_column: str) -> np.ndarray:
@@ -205,8 +204,7 @@ def score_rules(
     frame = documents.select(
         documents[id_column].alias("doc_id"), text_of(documents, text_column).alias("text")
     )
-    scored = scored_rows(frame, "text", ratio, threshold)
-    return scored.select("doc_id", *[F.col(f"_q_{n}").alias(n) for n, _ in SCORED])
+    return scored_rows(frame, lambda batch: batch.column(1), ratio, threshold)
 
 
 def drop_rejected(
@@ -218,5 +216,7 @@ def drop_rejected(
 ) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     ratio = trained_ratio(documents, trusted, id_column, text_column)
-    scored = scored_rows(documents, text_column, ratio, threshold)
-    return scored.where("_q_kept").select(*documents.columns)
+    schema = documents.schema
+    rows = documents.select(nested(documents))
+    scored = scored_rows(rows, lambda batch: field_of(batch.column(0), schema, text_column), ratio, threshold)
+    return scored.where("kept").select("whole.*")
