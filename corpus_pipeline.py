@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmetrics.llm import exact_dedup, jaccard_join, packing, quality_rules, secret_scan
-from panelmetrics.llm.common import written
+from panelmetrics.llm.common import scratch, tables_folder, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. What a stage writes on its way goes when its result is written."""
+    docs, results = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables_folder(spark)
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), "stage", results)
     return STAGES[-1][1](spark, docs, sf_dir)
