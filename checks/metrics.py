@@ -37,17 +37,17 @@ from .geography import (
 from .windows import SMOOTHED_SQL, WINDOW_SQL, brand_daily
 
 
-@check(
-    "m1_panel_scope",
-    with_views(f"""SELECT f.mailboxid, f.orderid, f.orderdate, f.merchant, f.itemdescription
+SCOPE_SQL = with_views(f"""SELECT f.mailboxid, f.orderid, f.orderdate, f.merchant, f.itemdescription
   FROM fact_items f
   JOIN (SELECT DISTINCT merchant FROM quality_merchants) q ON f.merchant = q.merchant
   JOIN single_zip z ON f.mailboxid = z.mailboxid
   JOIN clean_cohort c ON f.mailboxid = c.mailboxid AND f.orderdate = c.udate
   JOIN panel_by_date p ON f.orderdate = p.date
   WHERE f.merchant IN (SELECT merchant FROM sector_all WHERE sector IN {SECTORS_SQL})
-  AND f.merchant NOT IN {EXCLUDED_SQL}"""),
-)
+  AND f.merchant NOT IN {EXCLUDED_SQL}""")
+
+
+@check("m1_panel_scope", SCOPE_SQL)
 def panel_scope(t: Inputs) -> DataFrame:
     merchants = scope.eligible_merchants(t.sales.merchant_sector, SECTORS, t.sales.quality_merchants)
     items = scope.in_merchants(scope.drop_merchants(t.sales.items, EXCLUDED), merchants)

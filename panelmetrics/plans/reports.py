@@ -11,9 +11,9 @@ The report set makes one such pass for three reports: see `shared_days`.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
@@ -73,10 +73,23 @@ def brand_days(
 
     The calendar is only read when `since` is not the first day of a year.
     """
+    complete = partial(timeframe.settled_by, latest)
+    return rollup.per_panel_days(brand_sums(tables, series, sectors, since, calendar, complete), tables.panel)
+
+
+def brand_sums(
+    tables: PanelTables,
+    series: Sequence[WeeklySeries],
+    sectors: Sequence[str],
+    since: dt.date,
+    calendar: DataFrame | None,
+    days: Callable[..., Column],
+) -> DataFrame:
+    """Daily orders, items and revenue of each brand, on the dates that `days(day=column)` wants."""
 
     def wanted(day: str) -> Column:
         # Days no series of this report can use are dropped before the joins.
-        complete = timeframe.settled_by(latest, day=day)
+        complete = days(day=day)
         return complete if any(s.daily for s in series) else complete & falls_on(F.col(day), smooth.ANCHOR)
 
     merchants = scope.eligible_merchants(tables.merchant_sector, sectors, tables.quality_merchants)
@@ -92,7 +105,7 @@ def brand_days(
     else:
         cohort = scope.cohort_in_fact_years(cohort, calendar, since)
     members = scope.active_members(cohort, tables.mailbox_zip).drop("zip")
-    return rollup.daily_rollup(scope.keep_members(rollup.order_rollup(items), members), tables.panel)
+    return rollup.daily_sums(scope.keep_members(rollup.order_rollup(items), members))
 
 
 def weekly_growth(
