@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelmetrics.llm import bbit_minhash, exact_dedup, golomb, jaccard_join, substring_dedup
 from panelmetrics.llm.recompression import Anchors
+from panelmetrics.llm.words import WordHashes
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -299,6 +300,23 @@ def test_different_windows_of_one_anchor_spread(spark):
     assert len(tasks) > 1
 
 
+def test_word_hashes_tell_words_apart_and_stand_for_words_only():
+    chance = random.Random(23)
+    texts = ["".join(chance.choices(["a", "b", "ab", " ", "\t\n", "é", "\x1c", "\u3000", "\x0b"], k=chance.randint(0, 60))) for _ in range(200)]
+    texts += ["", " ", "x" * 5000, "a" * 64 + " " + "a" * 65]
+    hashes, edges = WordHashes().of_many([t.encode() for t in texts])
+    seen = {}
+    for i, text in enumerate(texts):
+        words = WORD.findall(text)
+        mine = hashes[edges[i] : edges[i + 1]].tolist()
+        assert len(mine) == len(words)
+        for word, number in zip(words, mine, strict=True):
+            assert seen.setdefault(word, number) == number
+    assert len(set(seen.values())) == len(seen) > 100
+    none, only = WordHashes().of_many([])
+    assert len(none) == 0 and only.tolist() == [0]
+
+
 def test_anchors_of_several_texts_are_those_of_each():
     chance, anchors = random.Random(13), Anchors(20)
     texts = [np.array([chance.choice([5, 5, 6, 7, 8, 9]) for _ in range(n)], dtype=np.uint64) for n in (0, 45, 19, 20, 3, 80, 0, 21, 0)]
