@@ -14,31 +14,10 @@ from __future__ import annotations
 
 import numpy as np
 
-from panelmetrics.llm.words import mixed
+from panelmetrics.llm.words import Powers, mixed
 
 RUN = 2
 PAIR_ROUNDS = 2
-FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-INVERSE = pow(FACTOR, -1, 1 << 64)
-
-
-def powers(base: int, count: int) -> np.ndarray:
-    """base**0, base**1, ... modulo 2**64."""
-    held = np.full(count, base, dtype=np.uint64)
-    held[:1] = 1
-    return np.cumprod(held, dtype=np.uint64)
-
-
-class Powers:
-    """Powers of FACTOR and its inverse, grown as longer texts come."""
-
-    def __init__(self):
-        self.up = self.down = np.zeros(0, dtype=np.uint64)
-
-    def need(self, count: int) -> None:
-        if len(self.up) < count:
-            size = max(count, 2 * len(self.up), 4096)
-            self.up, self.down = powers(FACTOR, size), powers(INVERSE, size)
 
 
 class Symbols:

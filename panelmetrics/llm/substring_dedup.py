@@ -34,7 +34,7 @@ from panelmetrics.llm.common import text_of, written
 from panelmetrics.llm.exact_dedup import filter_bits
 from panelmetrics.llm.jaccard_join import FILTER_BITS, row_key
 from panelmetrics.llm.recompression import Anchors
-from panelmetrics.llm.words import WordNumbers, text_runs
+from panelmetrics.llm.words import WordHashes, text_runs
 
 WIDTH = 20
 ANCHOR_BITS = 27
@@ -53,7 +53,7 @@ def shared_anchors(frame: DataFrame, width: int) -> DataFrame:
         )
 
     def run(batches):
-        numbers, anchors, held, size = WordNumbers(), Anchors(width), [], 0
+        numbers, anchors, held, size = WordHashes(), Anchors(width), [], 0
         for batch in batches:
             for _, texts in text_runs(batch.column(0), RUN_BYTES):
                 _, _, keys, another = anchors(*numbers.of_many(texts))
@@ -137,7 +137,7 @@ def likely_windows(frame: DataFrame, held: bytes, bits: int, width: int) -> Data
 
     def run(batches):
         bitmap = np.frombuffer(shared.value, np.uint8)
-        numbers, anchors, chunk = WordNumbers(), Anchors(width), Chunk()
+        numbers, anchors, chunk = WordHashes(), Anchors(width), Chunk()
         for batch in batches:
             rows = list(zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True))
             for first, texts in text_runs(batch.column(2), RUN_BYTES):

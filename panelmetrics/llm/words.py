@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import xxhash
 
@@ -24,13 +22,57 @@ class WordNumbers(dict):
         words = text.split()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+
+class Powers:
+    """Powers of an odd factor and of its inverse modulo 2**64, grown as longer texts come."""
+
+    FACTOR = 0x9E3779B97F4A7C15
+    INVERSE = pow(FACTOR, -1, 1 << 64)
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, dtype=np.uint64)
+
+    def need(self, count: int) -> None:
+        if len(self.up) < count:
+            size = max(count, 2 * len(self.up), 4096)
+            self.up, self.down = (self.of(base, size) for base in (self.FACTOR, self.INVERSE))
+
+    @staticmethod
+    def of(base: int, count: int) -> np.ndarray:
+        """base**0, base**1, ... modulo 2**64."""
+        held = np.full(count, base, dtype=np.uint64)
+        held[:1] = 1
+        return np.cumprod(held, dtype=np.uint64)
+
+
+class WordHashes:
+    """64-bit hashes of all words of a run of texts at once, from prefix sums over their bytes.
+
+    Every byte stands for a fixed 64-bit number, a word for the sum of its bytes' numbers times powers of an
+    odd factor, mixed with its length.
+    """
+
+    def __init__(self):
+        self.powers = Powers()
+        self.values = mixed(np.arange(1, 257, dtype=np.uint64))
+        self.white = np.zeros(256, dtype=bool)
+        self.white[[32, *range(9, 14)]] = True
+
     def of_many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words of several texts, one text behind the other, and where each text starts (and the end)."""
-        split = [t.split() for t in texts]
-        edges = np.zeros(len(split) + 1, dtype=np.int64)
-        np.cumsum([len(w) for w in split], out=edges[1:])
-        numbers = map(self.__getitem__, chain.from_iterable(split))
-        return np.fromiter(numbers, np.uint64, int(edges[-1])), edges
+        """Hashes of the words of several texts, one text behind the other, and where each text starts (and the end)."""
+        held = np.frombuffer(b" ".join([*texts, b""]), np.uint8)  # a space after each text
+        begins = np.zeros(len(texts) + 1, dtype=np.int64)
+        np.cumsum([len(t) + 1 for t in texts], out=begins[1:])
+        self.powers.need(len(held) + 1)
+        white = self.white[held]
+        change = np.flatnonzero(white[1:] != white[:-1]) + 1
+        if len(held) and not white[0]:
+            change = np.r_[0, change]
+        start, stop = change[0::2], change[1::2]  # every text ends with a space, so each word has a stop
+        sums = np.zeros(len(held) + 1, dtype=np.uint64)
+        np.cumsum(self.values[held] * self.powers.up[: len(held)], out=sums[1:])
+        hashes = mixed((sums[stop] - sums[start]) * self.powers.down[start] + (stop - start).astype(np.uint64))
+        return hashes, np.searchsorted(start, begins)
 
 
 def text_runs(column, size: int):
