@@ -1,19 +1,21 @@
 """Substring dedup: words of windows that also stand earlier are removed.
 
 1. Recompression (see recompression.py) gives every window of 20 words an anchor: a symbol whose context lies
-   inside the window, chosen alike in equal windows. One pass counts the anchors of all documents,
-   distinct ones per task first; anchors that stand twice or more are shared.
+   inside the window, chosen alike in equal windows. One pass counts the anchors of all documents, those of a
+   task first; anchors that stand twice or more are shared.
 2. A second pass looks at the windows of shared anchors only. What repeats inside a chunk of a task is
-   settled there; the first of each window in the chunk goes to the owner of its anchor and hash, so a
-   passage that a third of the rows share costs one row per window and chunk, and different windows of a
-   common anchor spread over all tasks. Owners see equal windows (64 bits of hash besides the 64 of the
-   anchor) side by side and name all but the earliest.
-3. Named windows are gathered per document as stretches of starts, and only texts that have some are joined
-   with them.
-
-The shared anchors reach the tasks as a bitmap of 2**bits bits, whatever the input. It only
-decides which windows are compared at all; where it fills up, more windows are compared and the
-result is the same.
+   matched there; of every window, the first of the chunk goes to the owner of its anchor. Neighbouring windows of
+   one anchor travel as one run (their hashes side by side). Windows of an anchor that stands more than `often` times
+   travel one by one, to the owner of anchor and window, so a phrase that much of the corpus says in different
+   surroundings spreads over all tasks, and no owner holds more than `often` runs. Owners match every window with the
+   earliest of the equal ones.
+3. Windows of one document that match the same earlier stretch become one match. Matches are then verified on the words:
+   earlier stretches are read from their texts in cells of 32 words, each cell once, and compared word by word where
+   they were matched. Hashes only propose matches; a match of unequal words loses the windows concerned.
+
+The shared anchors and those that stand often reach the tasks as bitmaps, whose size is a parameter and not the
+input's. They only decide which windows are compared at all, and how these travel; where they fill up, more windows
+are compared and the result is the same.
 
 Order: smaller doc_id first (null last), then the row key, then the start. Defined cases: a null text has
 no words; texts of fewer than 20 words lose nothing; rows that repeat both id and text count as one
@@ -27,30 +29,34 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmetrics.llm.common import text_of, written
 from panelmetrics.llm.exact_dedup import filter_bits
-from panelmetrics.llm.jaccard_join import FILTER_BITS, row_key
+from panelmetrics.llm.jaccard_join import row_key
+from panelmetrics.llm.lookups import BITS, bitmap_place, key_bitmap, likely_rows, marked
 from panelmetrics.llm.recompression import Anchors
 from panelmetrics.llm.words import WordHashes, text_runs
 
 WIDTH = 20
 ANCHOR_BITS = 27
+OFTEN_BITS = 24
+OFTEN = 4096
+CELL = 32
 CHUNK = 1 << 20
 RUN_BYTES = 1 << 18
 LAST = np.iinfo(np.int64).max
+LOW = (1 << 32) - 1
 
 
 def shared_anchors(frame: DataFrame, width: int) -> DataFrame:
-    """Anchor keys (as `fingerprint`) that stand twice or more in the texts of (row, doc_id, text)."""
+    """(fingerprint, n): anchor keys that stand twice or more in the texts of (row, doc_id, text), and how often."""
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys.view(np.int64)), pa.array(counts > 1)], names=["fingerprint", "twice"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["fingerprint", "n"])
 
     def run(batches):
         numbers, anchors, held, size = WordHashes(), Anchors(width), [], 0
@@ -67,9 +73,66 @@ def shared_anchors(frame: DataFrame, width: int) -> DataFrame:
         if held:
             yield counted(held)
 
-    keys = frame.select("text").mapInArrow(run, "fingerprint long, twice boolean")
-    totals = keys.groupBy("fingerprint").agg(F.max("twice").alias("twice"), F.count(F.lit(1)).alias("n"))
-    return totals.where("twice or n > 1").select("fingerprint")
+    keys = frame.select("text").mapInArrow(run, "fingerprint long, n long")
+    return keys.groupBy("fingerprint").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def in_bits(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the top bits of the keys are marked."""
+    place = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def fresh_rows(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in any of the columns."""
+    fresh = np.ones(len(columns[0]), dtype=bool)
+    fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return fresh
+
+
+def first_rows(fresh: np.ndarray) -> np.ndarray:
+    """Per row the place of the first row of its group."""
+    return np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
+
+
+MATCH = "row long, start int, length int, first_row long, first_start int"
+
+
+def fragments(row: np.ndarray, start: np.ndarray, first_row: np.ndarray, first_start: np.ndarray) -> list[pa.Array]:
+    """Columns of MATCH: consecutive windows that match consecutive windows are one fragment."""
+    shift = first_start - start
+    order = np.lexsort((start, shift, first_row, row))
+    row, start, first_row, first_start, shift = (c[order] for c in (row, start, first_row, first_start, shift))
+    at = np.flatnonzero(fresh_rows(row, first_row, shift, start - np.arange(len(start))))
+    length = start[np.r_[at[1:], len(start)][: len(at)] - 1] - start[at] + 1 if len(at) else at
+    return [
+        pa.array(row[at]),
+        pa.array(start[at].astype(np.int32)),
+        pa.array(length.astype(np.int32)),
+        pa.array(first_row[at]),
+        pa.array(first_start[at].astype(np.int32)),
+    ]
+
+
+WINDOWS = pa.schema(
+    [
+        ("owner", pa.int64()),
+        ("hash", pa.int64()),
+        ("doc_id", pa.int64()),
+        ("row", pa.int64()),
+        ("start", pa.int32()),
+        ("hashes", pa.binary()),
+        ("length", pa.int32()),
+        ("first_row", pa.int64()),
+        ("first_start", pa.int32()),
+    ]
+)
+
+
+def window_batch(count: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of WINDOWS; columns left out are null."""
+    arrays = [columns.get(f.name, pa.nulls(count, f.type)) for f in WINDOWS]
+    return pa.RecordBatch.from_arrays(arrays, schema=WINDOWS)
 
 
 class Chunk:
@@ -94,49 +157,52 @@ class Chunk:
         self.rows.extend(rows)
         self.size += len(starts)
 
-    def settled(self) -> pa.RecordBatch:
-        """First windows of the chunk (to the owners of their anchors), and stretches of named ones (with a length)."""
+    def settled(self, often: np.ndarray, bits: int):
+        """Batches of WINDOWS: matches inside the chunk (with a length), runs (with hashes), and single windows of
+        anchors that stand often (with a hash)."""
         keys, hashes, at, starts = (np.concatenate(p) for p in zip(*self.parts, strict=True))
         order_of = sorted(range(len(self.rows)), key=lambda i: (self.rows[i][0] is None, self.rows[i][0] or 0, self.rows[i][1]))
         rank = np.empty(len(order_of), dtype=np.int64)
         rank[order_of] = np.arange(len(order_of))
         order = np.lexsort((rank[at] << 32 | starts, hashes, keys))
         keys, hashes, at, starts = keys[order], hashes[order], at[order], starts[order]
-        first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (hashes[1:] != hashes[:-1])])
         documents = np.array([LAST if d is None else d for d, _ in self.rows], dtype=np.int64)
         rows = np.array([r for _, r in self.rows], dtype=np.int64)
-        named, begin, length = stretches(rows[at[~first]], starts[~first])
-        few, none = int(first.sum()), pa.nulls(len(named)).cast(pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.array(keys[first].view(np.int64)), pa.array(named)]),
-                pa.concat_arrays([pa.array(hashes[first].view(np.int64)), none]),
-                pa.concat_arrays([pa.array(documents[at[first]]), none]),
-                pa.concat_arrays([pa.array(rows[at[first]]), pa.array(named)]),
-                pa.concat_arrays([pa.array(starts[first].astype(np.int32)), pa.array(begin)]),
-                pa.concat_arrays([pa.nulls(few).cast(pa.int32()), pa.array(length)]),
-            ],
-            names=["owner", "hash", "doc_id", "row", "start", "length"],
-        )
-
-
-def stretches(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first start and number of each run of consecutive starts in a row."""
-    order = np.lexsort((starts, rows))
-    rows, starts = rows[order], starts[order]
-    fresh = np.ones(len(rows), dtype=bool)
-    fresh[1:] = (rows[1:] != rows[:-1]) | (starts[1:] > starts[:-1] + 1)
-    at = np.flatnonzero(fresh)
-    last = np.concatenate([at[1:], [len(rows)]]) - 1 if len(at) else at
-    return rows[at], starts[at].astype(np.int32), (starts[last] - starts[at] + 1).astype(np.int32)
-
-
-def likely_windows(frame: DataFrame, held: bytes, bits: int, width: int) -> DataFrame:
-    """Windows of shared anchors: (owner, hash, doc_id, row, start, length); see Chunk.settled."""
-    shared = frame.sparkSession.sparkContext.broadcast(held)
+        fresh = fresh_rows(keys, hashes)
+        later, first = np.flatnonzero(~fresh), first_rows(fresh)[~fresh]
+        if len(later):
+            row, start, length, first_row, first_start = fragments(rows[at[later]], starts[later], rows[at[first]], starts[first])
+            yield window_batch(len(row), owner=row, row=row, start=start, length=length, first_row=first_row, first_start=first_start)
+        single = fresh & in_bits(often, keys, bits)
+        for chosen, in_runs in ((np.flatnonzero(single), False), (np.flatnonzero(fresh & ~single), True)):
+            if not len(chosen):
+                continue
+            columns = {}
+            if in_runs:
+                chosen = chosen[np.lexsort((starts[chosen], at[chosen]))]
+                begin = np.flatnonzero(fresh_rows(at[chosen], keys[chosen], starts[chosen] - np.arange(len(chosen))))
+                data, edges = hashes[chosen], np.r_[begin, len(chosen)].astype(np.int32) * 8
+                columns["hashes"] = pa.Array.from_buffers(
+                    pa.binary(), len(begin), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(data.tobytes())]
+                )
+                chosen = chosen[begin]
+            else:
+                columns["hash"] = pa.array(hashes[chosen].view(np.int64))
+            yield window_batch(
+                len(chosen),
+                owner=pa.array(keys[chosen].view(np.int64)),
+                doc_id=pa.array(documents[at[chosen]]),
+                row=pa.array(rows[at[chosen]]),
+                start=pa.array(starts[chosen].astype(np.int32)),
+                **columns,
+            )
+
+
+def likely_windows(frame: DataFrame, shared: Broadcast, often: Broadcast, width: int, bits: int, often_bits: int) -> DataFrame:
+    """Windows of shared anchors, as rows of WINDOWS; see Chunk.settled."""
 
     def run(batches):
-        bitmap = np.frombuffer(shared.value, np.uint8)
+        held, many = (np.frombuffer(b.value, np.uint8) for b in (shared, often))
         numbers, anchors, chunk = WordHashes(), Anchors(width), Chunk()
         for batch in batches:
             rows = list(zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True))
@@ -144,101 +210,176 @@ def likely_windows(frame: DataFrame, held: bytes, bits: int, width: int) -> Data
                 new = [i for i in range(len(texts)) if chunk.is_new(rows[first + i][1])]
                 words, edges = numbers.of_many([texts[i] for i in new])
                 at, hashes, keys, _ = anchors(words, edges)
-                place = (keys >> np.uint64(64 - bits)).astype(np.int64)
-                hit = np.flatnonzero(bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                hit = np.flatnonzero(in_bits(held, keys, bits))
                 if len(hit):
                     of = np.searchsorted(edges, at[hit], side="right") - 1
                     chunk.add([rows[first + i] for i in new], of, at[hit] - edges[of], keys[hit], hashes[hit])
                 if chunk.size >= CHUNK:
-                    yield chunk.settled()
+                    yield from chunk.settled(many, often_bits)
                     chunk = Chunk()
         if chunk.size:
-            yield chunk.settled()
+            yield from chunk.settled(many, often_bits)
 
     return frame.select("row", "doc_id", "text").mapInArrow(
-        run, "owner long, hash long, doc_id long, row long, start int, length int"
+        run, "owner long, hash long, doc_id long, row long, start int, hashes binary, length int, first_row long, first_start int"
     )
 
 
 def named_windows(windows: DataFrame) -> DataFrame:
-    """(row, start, length): stretches of windows that also stand earlier.
+    """Matches (MATCH) of windows that also stand earlier, from rows of WINDOWS.
 
-    Equal windows lie side by side, the earliest first, and only that one is held.
+    Rows of an owner lie side by side. Single windows come with equal ones next to each other, and only the first of
+    them is held; runs are unrolled when their owner's rows are complete.
     """
 
+    def matched(owner, hashes, row, start):
+        """Fragments of windows that are in order, and the first window of the last group."""
+        first = first_rows(fresh_rows(owner, hashes))
+        # the first window of a group also comes from other chunks, where its row is repeated
+        again = np.flatnonzero((row != row[first]) | (start != start[first]))
+        found = fragments(row[again], start[again], row[first[again]], start[first[again]])
+        return found, [column[first[-1:]] for column in (owner, hashes, row, start)]
+
+    def unrolled(runs: pa.Table) -> list[pa.Array]:
+        owner, doc_id, row, start = (runs.column(n).to_numpy().astype(np.int64) for n in ("owner", "doc_id", "row", "start"))
+        count = pc.binary_length(runs.column("hashes")).to_numpy() // 8
+        hashes = np.frombuffer(b"".join(runs.column("hashes").to_pylist()), np.int64)
+        offset = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)
+        owner, doc_id, row, start = (np.repeat(c, count) for c in (owner, doc_id, row, start))
+        start = start + offset
+        order = np.lexsort((start, row, doc_id, hashes, owner))
+        return matched(owner[order], hashes[order], row[order], start[order])[0]
+
     def run(batches):
-        held = [np.zeros(0, dtype=np.int64)] * 4
+        names = ["row", "start", "length", "first_row", "first_start"]
+        held, waiting = [np.zeros(0, dtype=np.int64)] * 4, None
         for batch in batches:
-            settled = batch.column(5).is_valid()
+            settled = batch.column("length").is_valid()
             if settled.true_count:
-                yield batch.filter(settled).select(["row", "start", "length"])
-            rest = batch.filter(pc.invert(settled))
-            if not rest.num_rows:
+                yield batch.filter(settled).select(names)
+            singles = batch.filter(batch.column("hash").is_valid())
+            if singles.num_rows:
+                new = (singles.column(n).to_numpy().astype(np.int64) for n in ("owner", "hash", "row", "start"))
+                found, held = matched(*(np.concatenate(pair) for pair in zip(held, new, strict=True)))
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays(found, names=names)
+            runs = pa.Table.from_batches([batch.filter(batch.column("hashes").is_valid())])
+            if not runs.num_rows:
                 continue
-            new = (rest.column(n).to_numpy() for n in ("owner", "hash", "row", "start"))
-            owner, hashes, row, start = (np.concatenate(pair) for pair in zip(held, new, strict=True))
-            fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])
-            first = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
-            # the first window of a group also comes from other chunks, where its row is repeated
-            again = (row != row[first]) | (start != start[first])
-            found = stretches(row[again], start[again].astype(np.int64))
+            waiting = runs if waiting is None else pa.concat_tables([waiting, runs]).combine_chunks()
+            owners = waiting.column("owner").to_numpy()
+            stop = int(np.searchsorted(owners, owners[-1]))  # the last owner may go on in the next batch
+            if stop:
+                found = unrolled(waiting.slice(0, stop))
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays(found, names=names)
+                waiting = waiting.slice(stop)
+        if waiting is not None and waiting.num_rows:
+            found = unrolled(waiting)
             if len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["row", "start", "length"])
-            held = [column[first[-1:]] for column in (owner, hashes, row, start)]
+                yield pa.RecordBatch.from_arrays(found, names=names)
 
-    # an anchor may stand in very many different windows, so they are dealt by their hash as well
     dealt = windows.repartition("owner", "hash").sortWithinPartitions("owner", "hash", "doc_id", "row", "start")
-    return dealt.mapInArrow(run, "row long, start int, length int")
+    return dealt.mapInArrow(run, MATCH)
 
 
-def gathered(named: DataFrame) -> DataFrame:
-    """(row, named): one row per document, its stretches as pairs of 32-bit numbers (start, length), in order.
+def whole_matches(named: DataFrame) -> DataFrame:
+    """Matches as long as they go: (row, start, length, first_row, shift), shift being first_start - start.
 
-    Stretches of one document come from many owners; they meet sorted, and those that touch become one.
+    Fragments come from many owners; those of one document and one earlier document meet sorted.
     """
 
     def run(batches):
-        held = None  # stretches of the last document so far, as it may go on in the next batch
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, start, length = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
-            if held is not None:
-                row, start, length = (np.concatenate(pair) for pair in zip(held, (row, start, length), strict=True))
-            stop = start + length
-            # a stretch begins where no earlier one of its document reaches
-            reach = np.maximum.accumulate(stop + (np.cumsum(np.r_[True, row[1:] != row[:-1]]) << 32))
-            fresh = np.r_[True, (row[1:] != row[:-1]) | (start[1:] > (reach[:-1] & ((1 << 32) - 1)))]
-            first = np.flatnonzero(fresh)
-            row, start, stop = row[first], start[first], reach[np.r_[first[1:], len(fresh)] - 1] & ((1 << 32) - 1)
-            last = int(np.flatnonzero(row == row[-1])[0])
-            held = row[last:], start[last:], (stop - start)[last:]
-            if last:
-                yield packed(row[:last], start[:last], (stop - start)[:last])
+            new = [batch.column(i).to_numpy().astype(np.int64) for i in range(5)]
+            row, first_row, shift, start, length = new if held is None else (np.r_[h, n] for h, n in zip(held, new, strict=True))
+            group = fresh_rows(row, first_row, shift)
+            stop = np.maximum.accumulate(start + length + (np.cumsum(group) << 32))
+            at = np.flatnonzero(group | np.r_[True, start[1:] > (stop[:-1] & LOW)])
+            ends = stop[np.r_[at[1:], len(start)] - 1] & LOW
+            merged = [row[at], first_row[at], shift[at], start[at], ends - start[at]]
+            held = [c[-1:] for c in merged]  # the last one may go on in the next batch
+            if len(at) > 1:
+                yield packed([c[:-1] for c in merged])
         if held is not None:
-            yield packed(*held)
+            yield packed(held)
 
-    def packed(row: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-        pairs = np.stack([start, length], axis=1).astype("<i4").tobytes()
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        edges = np.r_[first, len(row)].tolist()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(row[first]), pa.array([pairs[8 * a : 8 * b] for a, b in zip(edges, edges[1:])], pa.binary())],
-            names=["row", "named"],
-        )
+    def packed(columns) -> pa.RecordBatch:
+        row, first_row, shift, start, length = columns
+        narrow = (pa.array(c.astype(np.int32)) for c in (shift, start, length))
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(first_row), *narrow], names=columns_of)
+
+    columns_of = ["row", "first_row", "shift", "start", "length"]
+    shifted = named.select("row", "first_row", (F.col("first_start") - F.col("start")).alias("shift"), "start", "length")
+    dealt = shifted.repartition("row").sortWithinPartitions(*columns_of[:4])
+    return dealt.mapInArrow(run, "row long, first_row long, shift int, start int, length int")
 
-    dealt = named.repartition("row").sortWithinPartitions("row", "start")
-    return dealt.mapInArrow(run, "row long, named binary")
 
+def cells_of(width: int) -> Column:
+    """Cells of the earlier document that a match covers."""
+    first = F.col("start") + F.col("shift")
+    return F.sequence(F.floor(first / CELL), F.floor((first + F.col("length") + (width - 2)) / CELL))
 
-def without_windows(text: bytes, named: bytes | None, width: int) -> tuple[int, int, bytes]:
+
+def earlier_words(matches: DataFrame, frame: DataFrame, width: int) -> DataFrame:
+    """(row, named): per document its matches with the words of the earlier stretches, cell by cell.
+
+    named is a list of (start, length, first_row, shift, cell, words). A cell is read from its text once, however many
+    documents match it, and joined to them by (first_row, cell), where a hot cell can be split.
+    """
+    each = matches.withColumn("cell", F.explode(cells_of(width)))
+    asked = each.select("first_row", "cell").distinct().groupBy("first_row")
+    wanted = written(asked.agg(F.sort_array(F.collect_list("cell")).alias("cells")).withColumnRenamed("first_row", "row"), "cells")
+    likely = likely_rows(frame.select("row", "text"), key_bitmap(wanted, "row"), "row")
+    texts = likely.groupBy("row").agg(F.first("text").alias("text"))  # repeated rows meet as one row per task
+
+    def run(batches):
+        for batch in batches:
+            for row, text, cells in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words = text.as_buffer().to_pybytes().split()
+                said = [b" ".join(words[c * CELL : (c + 1) * CELL]) for c in cells]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row] * len(cells)), pa.array(cells, pa.int64()), pa.array(said, pa.binary())],
+                    names=["first_row", "cell", "words"],
+                )
+
+    cells = wanted.join(texts, "row").select("row", "text", "cells").mapInArrow(run, "first_row long, cell long, words binary")
+    proof = F.struct("start", "length", "first_row", "shift", "cell", "words")
+    return each.join(cells, ["first_row", "cell"]).groupBy("row").agg(F.collect_list(proof).alias("named"))
+
+
+def verified_stretches(words: list[bytes], named: list[dict], width: int) -> list[tuple[int, int]]:
+    """Stretches of words (first, end) in windows whose words are those of the earlier stretch, in order."""
+    matches: dict[tuple, list[tuple[int, int, bool]]] = {}
+    for proof in named:
+        start, shift, low = proof["start"], proof["shift"], proof["cell"] * CELL
+        first = max(start + shift, low)
+        end = min(start + shift + proof["length"] + width - 1, low + CELL)
+        said = proof["words"].split(b" ")[first - low : end - low]
+        key = (start, proof["length"], proof["first_row"], shift)
+        matches.setdefault(key, []).append((first - shift, end - shift, words[first - shift : end - shift] == said))
+    found = []
+    for (start, length, _, _), cells in matches.items():
+        begin = start
+        for first, end, equal in [*sorted(cells), (start + length + width - 1, 0, False)]:
+            if not equal:  # windows that reach into an unequal cell are not verified
+                if first - begin >= width:
+                    found.append((begin, first))
+                begin = end
+    return sorted(found)
+
+
+def without_stretches(text: bytes, named: list[dict] | None, width: int) -> tuple[int, int, bytes]:
     """Words, words removed, and the kept words joined by one space."""
     words = kept = text.split()
     if named:
         kept, at = [], 0
-        for start, length in np.frombuffer(named, "<i4").reshape(-1, 2).tolist():
-            kept += words[at:start]
-            at = max(at, start + length - 1 + width)
+        for first, end in verified_stretches(words, named, width):
+            kept += words[at:first]
+            at = max(at, end)
         kept += words[at:]
     return len(words), len(words) - len(kept), b" ".join(kept)
 
@@ -249,39 +390,31 @@ def remove_repeats(
     text_column: str = "text",
     width: int = WIDTH,
     bits: int = ANCHOR_BITS,
+    often: int = OFTEN,
+    often_bits: int = OFTEN_BITS,
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
+    """One row per document: doc_id, n_words, n_removed, kept (the words that stay, joined by one space).
+
+    `bits` and `often_bits` size the bitmaps of shared anchors and of those that stand more than `often` times.
+    """
     frame = documents.select(
         documents[id_column].cast("long").alias("doc_id"), text_of(documents, text_column).alias("text")
     )
     frame = frame.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
-    anchors = filter_bits(shared_anchors(frame, width), bits)
-    named = named_windows(likely_windows(frame, anchors, bits, width))
-    lists = written(gathered(named), "lists")
-    held = frame.sparkSession.sparkContext.broadcast(
-        filter_bits(lists.select(F.xxhash64("row").alias("fingerprint")), FILTER_BITS)
-    )
-    placed = frame.withColumn("place", F.shiftrightunsigned(F.xxhash64("row"), 64 - FILTER_BITS))
-
-    def passed(batches):
-        bitmap = np.frombuffer(held.value, np.uint8)
-        for batch in batches:
-            at = batch.column(3).to_numpy()
-            yield batch.filter(pa.array((bitmap[at >> 3] >> (at & 7) & 1).astype(bool)))
-
-    def whole(batches):
-        bitmap = np.frombuffer(held.value, np.uint8)
-        for batch in batches:
-            at = batch.column(3).to_numpy()
-            free = batch.filter(pa.array((bitmap[at >> 3] >> (at & 7) & 1) == 0))
-            yield cut(free, [None] * free.num_rows)
-
-    def cut(batch, lists) -> pa.RecordBatch:
-        texts = (t.as_buffer().to_pybytes() for t in batch.column(batch.schema.get_field_index("text")))
-        rows = [without_windows(t, s, width) for t, s in zip(texts, lists, strict=True)]
+    context = frame.sparkSession.sparkContext
+    anchors = written(shared_anchors(frame, width), "anchors")
+    shared = context.broadcast(filter_bits(anchors, bits))
+    many = context.broadcast(filter_bits(anchors.where(F.col("n") > often), often_bits))
+    named = named_windows(likely_windows(frame, shared, many, width, bits, often_bits))
+    matches = written(whole_matches(named), "matches")
+    lists = written(earlier_words(matches, frame, width), "lists")
+    bitmap = key_bitmap(lists, "row")
+
+    def cut(ids: pa.Array, texts: pa.Array, named: list) -> pa.RecordBatch:
+        rows = [without_stretches(t.as_buffer().to_pybytes(), n, width) for t, n in zip(texts, named, strict=True)]
         return pa.RecordBatch.from_arrays(
             [
-                batch.column(batch.schema.get_field_index("doc_id")),
+                ids,
                 pa.array([r[0] for r in rows], pa.int64()),
                 pa.array([r[1] for r in rows], pa.int64()),
                 pa.array([r[2] for r in rows], pa.binary()).cast(pa.string()),
@@ -289,14 +422,18 @@ def remove_repeats(
             names=["doc_id", "n_words", "n_removed", "kept"],
         )
 
+    def whole(batches):
+        for batch in batches:
+            free = batch.filter(pa.array(~marked(bitmap, batch.column(2))))
+            yield cut(free.column(0), free.column(1), [None] * free.num_rows)
+
     def listed(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                piece = batch.slice(start, 1000)
-                yield cut(piece, piece.column(piece.schema.get_field_index("named")).to_pylist())
+            for start in range(0, batch.num_rows, 500):
+                piece = batch.slice(start, 500)
+                yield cut(piece.column(0), piece.column(1), piece.column(2).to_pylist())
 
     schema = "doc_id long, n_words long, n_removed long, kept string"
-    columns = ["doc_id", "text", "row", "place"]
-    likely = placed.select(*columns).mapInArrow(passed, "doc_id long, text string, row long, place long")
-    joined = likely.join(lists.hint("merge"), "row", "left").select("doc_id", "text", "named")
-    return placed.select(*columns).mapInArrow(whole, schema).unionByName(joined.mapInArrow(listed, schema))
+    alone = frame.select("doc_id", "text", bitmap_place("row", BITS).alias("place")).mapInArrow(whole, schema)
+    looked_up = likely_rows(frame, bitmap, "row").join(lists.hint("merge"), "row", "left")
+    return alone.unionByName(looked_up.select("doc_id", "text", "named").mapInArrow(listed, schema))

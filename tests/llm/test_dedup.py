@@ -248,9 +248,9 @@ def removed_by_hand(rows, width):
     return result
 
 
-@pytest.mark.parametrize("bits", [6, 20])
-def test_repeats_equal_those_of_all_windows(make_documents, bits):
-    """Runs, periods, shared passages and windows that overlap; a full bitmap changes nothing."""
+@pytest.mark.parametrize("settings", [{"bits": 6}, {"bits": 20}, {"bits": 20, "often": 1}, {"bits": 20, "often": 3, "often_bits": 4}])
+def test_repeats_equal_those_of_all_windows(make_documents, settings):
+    """Runs, periods, shared passages and windows that overlap; full bitmaps and how windows travel change nothing."""
     chance = random.Random(11)
     few, many = ["a", "b"], [f"v{i}" for i in range(300)]
     passage = " ".join(chance.choice(many) for _ in range(45))
@@ -258,7 +258,7 @@ def test_repeats_equal_those_of_all_windows(make_documents, bits):
     texts += [" ".join(chance.choice(few) for _ in range(chance.randint(0, 120))) for _ in range(25)]
     texts += [f"{' '.join(chance.choice(many) for _ in range(15))} {passage} {chance.choice(many)}" for _ in range(10)]
     rows = list(enumerate(texts))
-    found = substring_dedup.remove_repeats(make_documents(rows).repartition(4), bits=bits).orderBy("doc_id").collect()
+    found = substring_dedup.remove_repeats(make_documents(rows).repartition(4), **settings).orderBy("doc_id").collect()
     assert [(r.n_words, r.n_removed, r.kept) for r in found] == removed_by_hand(rows, 20)
 
 
@@ -285,21 +285,65 @@ def test_repeated_rows_are_one_document(make_documents, tasks):
     assert found == {(doc_id, *by_hand[doc_id, text]): 3 for doc_id, text in rows}
 
 
+def window_rows(spark, rows):
+    kinds = "owner long, hash long, doc_id long, row long, start int, hashes binary, length int, first_row long, first_start int"
+    return spark.createDataFrame(rows, kinds)
+
+
 def test_different_windows_of_one_anchor_spread(spark):
-    """Windows that share an anchor only are dealt out, and equal ones still meet."""
-    rows = [(7, i % 3000, 1 + i // 3000, 1 + i // 3000, i % 3000, None) for i in range(6000)] + [(3, None, None, 3, 5, 9)]
-    schema = "owner long, hash long, doc_id long, row long, start int, length int"
-    found = substring_dedup.named_windows(spark.createDataFrame(rows, schema))
+    """Single windows that share an anchor only are dealt out, and equal ones still meet."""
+    rows = [(7, i % 3000, 1 + i // 3000, 1 + i // 3000, i % 3000, None, None, None, None) for i in range(6000)]
+    rows.append((3, None, None, 3, 5, None, 9, 1, 7))
+    found = substring_dedup.named_windows(window_rows(spark, rows))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         tasks = {r.task for r in found.where("row = 2").withColumn("task", F.spark_partition_id()).collect()}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    covered = Counter((r.row, s) for r in found.collect() for s in range(r.start, r.start + r.length))
-    assert covered == Counter([(2, s) for s in range(3000)] + [(3, s) for s in range(5, 14)])
+    covered = Counter((r.row, r.start + k, r.first_row, r.first_start + k) for r in found.collect() for k in range(r.length))
+    assert covered == Counter([(2, s, 1, s) for s in range(3000)] + [(3, 5 + k, 1, 7 + k) for k in range(9)])
     assert len(tasks) > 1
 
 
+def test_runs_and_single_windows_give_the_same_matches(spark):
+    chance, singles, runs = random.Random(41), [], []
+    for owner in range(300):
+        for _ in range(chance.randint(1, 6)):
+            doc, start, hashes = chance.randrange(40), chance.randrange(90), [chance.randrange(4) for _ in range(chance.randint(1, 5))]
+            runs.append((owner, None, doc, 1000 + doc, start, np.array(hashes, "<i8").tobytes(), None, None, None))
+            singles += [(owner, h, doc, 1000 + doc, start + k, None, None, None, None) for k, h in enumerate(hashes)]
+
+    def matches(rows):
+        found = substring_dedup.named_windows(window_rows(spark, rows)).collect()
+        return {(r.row, r.start + k, r.first_row, r.first_start + k) for r in found for k in range(r.length)}
+
+    assert matches(runs) == matches(singles) and len(matches(runs)) > 500
+
+
+def test_matches_are_as_long_as_they_go(spark):
+    rows = [(1, 5, 3, 9, 50), (1, 8, 2, 9, 53), (1, 6, 1, 9, 51), (1, 20, 1, 9, 65), (1, 10, 4, 8, 55), (2, 11, 1, 9, 56), (2, 12, 1, 9, 57)]
+    found = substring_dedup.whole_matches(spark.createDataFrame(rows, substring_dedup.MATCH))
+    assert sorted((r.row, r.first_row, r["shift"], r.start, r.length) for r in found.collect()) == [
+        (1, 8, 45, 10, 4), (1, 9, 45, 5, 5), (1, 9, 45, 20, 1), (2, 9, 45, 11, 2),
+    ]
+
+
+def test_matches_of_unequal_words_are_not_removed(spark):
+    """Matches proposed by hashes alone: those whose words differ lose the windows that hold the difference."""
+    text = [f"w{i}" for i in range(150)]
+    changed = [*text[:70], "other", *text[71:]]
+    frame = spark.createDataFrame([(1, "first " + " ".join(text)), (2, " ".join(changed)), (3, "x " * 60)], "row long, text string")
+    proposed = [(2, 1, 1, 0, 131), (3, 1, 1, 0, 20)]
+    matches = spark.createDataFrame(proposed, "row long, first_row long, shift int, start int, length int")
+    named = {r.row: [p.asDict() for p in r.named] for r in substring_dedup.earlier_words(matches, frame, 20).collect()}
+    words = [w.encode() for w in changed]
+    found = substring_dedup.verified_stretches(words, named[2], 20)
+    assert all(words[a:b] == [w.encode() for w in text[a:b]] for a, b in found)
+    cell = substring_dedup.CELL
+    assert found == [(0, 71 // cell * cell - 1), ((71 // cell + 1) * cell - 1, 150)]
+    assert substring_dedup.verified_stretches([b"x"] * 60, named[3], 20) == []
+
+
 def test_word_hashes_tell_words_apart_and_stand_for_words_only():
     chance = random.Random(23)
     texts = ["".join(chance.choices(["a", "b", "ab", " ", "\t\n", "é", "\x1c", "\u3000", "\x0b"], k=chance.randint(0, 60))) for _ in range(200)]
