@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from panelmetrics.llm.common import text_of, written
 from panelmetrics.llm.components import connected_components
 from panelmetrics.llm.exact_dedup import filter_bits
-from panelmetrics.llm.words import WordNumbers, mixed, windows
+from panelmetrics.llm.words import WordHashes, mixed, windows
 
 WIDTH = 4
 LEAST, OF = 80, 100  # OF * intersection >= LEAST * union
@@ -98,11 +98,11 @@ def signed_documents(frame: DataFrame) -> DataFrame:
     """(doc_id, key, n, digest, nodes, signature) of rows (doc_id, key, text); nulls for an empty set."""
 
     def run(batches):
-        numbers, by = WordNumbers(), factors()
+        hashes, by = WordHashes(), factors()
         for batch in batches:
             rows = []
-            for text in batch.column(2):
-                found = shingle_set(numbers.of(text.as_buffer().to_pybytes().lower()))
+            for words in hashes.of_texts(batch.column(2), lower=True):
+                found = shingle_set(words)
                 if not len(found):
                     rows.append((0, None, None, None))
                     continue
@@ -263,7 +263,7 @@ def confirmed_links(members: DataFrame) -> DataFrame:
     """Spanning forest (a, b) of the links that full sets confirm, from rows (label, low, high, own, digest, text)."""
 
     def run(batches):
-        numbers, keys = WordNumbers(), ["label", "low", "high"]
+        hashes, keys = WordHashes(), ["label", "low", "high"]
         for table in whole_groups(batches, keys, 512):
             starts = group_starts(table, keys)
             digest, own = table.column("digest").combine_chunks(), table.column("own").to_numpy()
@@ -272,7 +272,7 @@ def confirmed_links(members: DataFrame) -> DataFrame:
             for start, stop in zip(starts, [*starts[1:], table.num_rows]):
                 if stop - start < 2:
                     continue
-                sets = [shingle_set(numbers.of(texts[i].as_buffer().to_pybytes().lower())) for i in range(start, stop)]
+                sets = [shingle_set(words) for words in hashes.of_texts(texts.slice(start, stop - start), lower=True)]
                 label = confirmed(sets, own[start:stop] if low[start] != high[start] else None)
                 edge = np.flatnonzero(label != np.arange(stop - start))
                 yield pa.RecordBatch.from_arrays(

@@ -41,13 +41,15 @@ from pyspark.sql import functions as F
 
 from panelmetrics.llm.common import text_of, written
 from panelmetrics.llm.lookups import BITS, bitmap_place, key_bitmap, likely_rows, marked
+from panelmetrics.llm.words import Powers
 
 WINDOW = 16
 CUT_BITS = 10  # a chunk has 2**CUT_BITS bytes on average
 LEAST = 128  # shorter chunks are not worth a row; they are encoded where they stand
 SLICE = 1 << 18
 ROWS = 500
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
+SEGMENT = 1 << 18
+MIX = np.uint64(0xD6E8FEB86659FD93)
 # The byte-level alphabet and the grammar of its words.
 SHOWN = (*range(33, 127), *range(161, 173), *range(174, 256))
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -156,26 +158,23 @@ class Coder:
         return np.array(ids, dtype="<u4").tobytes(), self.whole.decode(ids, skip_special_tokens=False).encode()
 
 
-def cut_places(held: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
+def cut_places(held: np.ndarray, starts: np.ndarray, bits: int, powers: Powers) -> np.ndarray:
     """Where texts that lie one behind the other are cut: by a hash of the bytes before, between characters.
 
     The hash of a window is the difference of two prefix sums of bytes times powers of an odd factor, scaled
-    back. Cuts whose window reaches into the text before are left out, so a cut depends on its text alone.
+    back; sums are taken over a segment at a time. Cuts whose window reaches into the text before are left out,
+    so a cut depends on its text alone.
     """
-    count = len(held)
-    if count <= WINDOW:
-        return np.zeros(0, dtype=np.int64)
-    up = np.full(count, FACTOR, dtype=np.uint64)
-    up[0] = 1
-    np.cumprod(up, out=up)
-    sums = np.cumsum((held.astype(np.uint64) + np.uint64(1)) * up)
-    window = sums[WINDOW:] - sums[:-WINDOW]  # bytes at - WINDOW + 1 .. at, for at = WINDOW ..
-    down = np.full(len(window), np.uint64(pow(int(FACTOR), -1, 1 << 64)), dtype=np.uint64)
-    down[0] = 1
-    np.cumprod(down, out=down)
-    rolled = window * down * np.uint64(0xD6E8FEB86659FD93)
-    at = np.flatnonzero(rolled >> np.uint64(64 - bits) == 0) + WINDOW + 1
-    at = at[at < count]
+    found = []
+    powers.need(SEGMENT + WINDOW)
+    for low in range(0, max(len(held) - WINDOW, 0), SEGMENT):
+        piece = held[low : low + SEGMENT + WINDOW]
+        sums = np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * powers.up[: len(piece)])
+        window = sums[WINDOW:] - sums[:-WINDOW]  # the WINDOW bytes up to place low + WINDOW and on
+        rolled = window * powers.down[: len(window)] * MIX
+        found.append(np.flatnonzero(rolled >> np.uint64(64 - bits) == 0) + low + WINDOW + 1)
+    at = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+    at = at[at < len(held)]
     at = at[(held[at] & 0xC0) != 0x80]
     before = starts[np.searchsorted(starts, at, side="right") - 1]
     return at[at - before > WINDOW]
@@ -198,10 +197,11 @@ def chunk_rows(frame: DataFrame, added: list[str], bits: int, least: int) -> Dat
     barred = [a.encode() for a in added]
 
     def run(batches):
+        powers = Powers()
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for row, held, starts in text_slices(batch.column(1)):
-                cuts = cut_places(np.frombuffer(held, np.uint8), starts, bits)
+                cuts = cut_places(np.frombuffer(held, np.uint8), starts, bits, powers)
                 edges = np.unique(np.concatenate([cuts, starts, [len(held)]]))
                 owner = np.searchsorted(starts, edges[:-1], side="right") - 1
                 found = []

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from panelmetrics.llm.common import nested, text_of, written
 from panelmetrics.llm.components import connected_components
 from panelmetrics.llm.exact_dedup import filter_bits
-from panelmetrics.llm.words import WordNumbers, mixed, windows
+from panelmetrics.llm.words import WordHashes, mixed, windows
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -94,11 +94,11 @@ def signatures(frame: DataFrame, depth: int) -> DataFrame:
     """(key, doc_id, digest, nodes, bytes) of each row (key, doc_id, text); nulls without a shingle."""
 
     def run(batches):
-        numbers, factors = WordNumbers(), minhash_factors()
+        hashes, factors = WordHashes(), minhash_factors()
         for batch in batches:
             rows = []
-            for text in batch.column(2):
-                found = shingles(numbers.of(text.as_buffer().to_pybytes()))
+            for words in hashes.of_texts(batch.column(2)):
+                found = shingles(words)
                 if not len(found):
                     rows.append((None, None, None))
                     continue
@@ -292,13 +292,13 @@ def verified_links(members: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        numbers = WordNumbers()
+        hashes = WordHashes()
         for table in group_slices(batches, 3, rows=512):
             group = group_numbers(table, 3)
             low, high, ids, own, copies = (
                 table.column(n).to_numpy() for n in ("low", "high", "id", "own", "copies")
             )
-            found = [shingles(numbers.of(t.as_buffer().to_pybytes())) for t in table.column("text")]
+            found = [shingles(words) for words in hashes.of_texts(table.column("text"))]
             edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
             for start, stop in zip(edges, edges[1:]):
                 some = slice(start, stop)

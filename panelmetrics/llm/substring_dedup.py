@@ -38,7 +38,7 @@ from panelmetrics.llm.exact_dedup import filter_bits
 from panelmetrics.llm.jaccard_join import row_key
 from panelmetrics.llm.lookups import BITS, bitmap_place, key_bitmap, likely_rows, marked
 from panelmetrics.llm.recompression import Anchors
-from panelmetrics.llm.words import WordHashes, text_runs
+from panelmetrics.llm.words import RUN_BYTES, WordHashes, text_runs
 
 WIDTH = 20
 ANCHOR_BITS = 27
@@ -46,7 +46,6 @@ OFTEN_BITS = 24
 OFTEN = 4096
 CELL = 32
 CHUNK = 1 << 20
-RUN_BYTES = 1 << 18
 LAST = np.iinfo(np.int64).max
 LOW = (1 << 32) - 1
 

@@ -3,24 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-REMEMBERED = 400_000
-
-
-class WordNumbers(dict):
-    """64-bit hash of each word; remembers the words it has met, up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        number = self[word] = xxhash.xxh3_64_intdigest(word)
-        return number
-
-    def of(self, text: bytes) -> np.ndarray:
-        """Numbers of the words of a text (runs of anything but 0x20 and 0x09 to 0x0D)."""
-        words = text.split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+SEGMENT = 1 << 20
+RUN_BYTES = 1 << 18
 
 
 class Powers:
@@ -63,17 +48,33 @@ class WordHashes:
         held = np.frombuffer(b" ".join([*texts, b""]), np.uint8)  # a space after each text
         begins = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=begins[1:])
-        self.powers.need(len(held) + 1)
         white = self.white[held]
         change = np.flatnonzero(white[1:] != white[:-1]) + 1
         if len(held) and not white[0]:
             change = np.r_[0, change]
         start, stop = change[0::2], change[1::2]  # every text ends with a space, so each word has a stop
-        sums = np.zeros(len(held) + 1, dtype=np.uint64)
-        np.cumsum(self.values[held] * self.powers.up[: len(held)], out=sums[1:])
-        hashes = mixed((sums[stop] - sums[start]) * self.powers.down[start] + (stop - start).astype(np.uint64))
+        hashes, first = np.zeros(len(start), dtype=np.uint64), 0
+        while first < len(start):  # words of one segment at a time, so that long texts don't take sums of their size
+            last = max(first + 1, int(np.searchsorted(stop, start[first] + SEGMENT, side="right")))
+            hashes[first:last] = self.of_words(held, start[first:last], stop[first:last])
+            first = last
         return hashes, np.searchsorted(start, begins)
 
+    def of_words(self, held: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        base = int(start[0])
+        count = int(stop[-1]) - base
+        self.powers.need(count + 1)
+        sums = np.zeros(count + 1, dtype=np.uint64)
+        np.cumsum(self.values[held[base : base + count]] * self.powers.up[:count], out=sums[1:])
+        spans = (sums[stop - base] - sums[start - base]) * self.powers.down[start - base]
+        return mixed(spans + (stop - start).astype(np.uint64))
+
+    def of_texts(self, column, lower: bool = False):
+        """Hashes of the words of each text of a column; `lower` takes A-Z as a-z."""
+        for _, texts in text_runs(column, RUN_BYTES):
+            words, edges = self.of_many([t.lower() for t in texts] if lower else texts)
+            yield from (words[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist()))
+
 
 def text_runs(column, size: int):
     """(first row, texts) of runs of consecutive rows with about `size` bytes each; a long text is a run of its own."""

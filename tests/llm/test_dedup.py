@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import panelmetrics.llm.words
 from panelmetrics.llm import bbit_minhash, exact_dedup, golomb, jaccard_join, substring_dedup
 from panelmetrics.llm.recompression import Anchors
 from panelmetrics.llm.words import WordHashes
@@ -344,7 +345,9 @@ def test_matches_of_unequal_words_are_not_removed(spark):
     assert substring_dedup.verified_stretches([b"x"] * 60, named[3], 20) == []
 
 
-def test_word_hashes_tell_words_apart_and_stand_for_words_only():
+@pytest.mark.parametrize("segment", [1 << 20, 40])
+def test_word_hashes_tell_words_apart_and_stand_for_words_only(monkeypatch, segment):
+    monkeypatch.setattr(panelmetrics.llm.words, "SEGMENT", segment)
     chance = random.Random(23)
     texts = ["".join(chance.choices(["a", "b", "ab", " ", "\t\n", "é", "\x1c", "\u3000", "\x0b"], k=chance.randint(0, 60))) for _ in range(200)]
     texts += ["", " ", "x" * 5000, "a" * 64 + " " + "a" * 65]

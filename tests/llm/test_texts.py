@@ -24,6 +24,7 @@ from panelmetrics.llm import (
 )
 from panelmetrics.llm.common import drop_written, scratch, tables_folder
 from panelmetrics.llm.queries import ORACLES, QUERIES
+from panelmetrics.llm.words import Powers
 from plain import base_of, best_fit, ratio_scores
 
 FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
@@ -363,12 +364,14 @@ def test_ranks_stand_in_for_merges_only_where_they_agree():
     assert not bpe_chunks.ids_are_ranks(cut, bpe_chunks.library(json.dumps(cut)))
 
 
-def test_cuts_follow_the_text_alone():
+@pytest.mark.parametrize("segment", [1 << 18, 700])
+def test_cuts_follow_the_text_alone(monkeypatch, segment):
+    monkeypatch.setattr(bpe_chunks, "SEGMENT", segment)
     chance = random.Random(4)
     passage = "".join(chance.choices("abcdefgh é日", k=4000)).encode()
     before = "".join(chance.choices("xyz ", k=333)).encode()
     alone, moved = (
-        bpe_chunks.cut_places(np.frombuffer(t, np.uint8), np.array(s), 5) for t, s in ((passage, [0]), (before + passage, [0, len(before)]))
+        bpe_chunks.cut_places(np.frombuffer(t, np.uint8), np.array(s), 5, Powers()) for t, s in ((passage, [0]), (before + passage, [0, len(before)]))
     )
     assert len(alone) > 50 and (moved[moved > len(before)] - len(before)).tolist() == alone.tolist()
     for cut in alone.tolist():
