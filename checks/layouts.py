@@ -81,7 +81,7 @@ BRAND_WEEKS_SQL = " UNION ALL ".join(
 
 @check(
     "a4_order_sets",
-    with_views(f"""SELECT brand, orderdate - (isodow(orderdate) % 7) AS odate, count(DISTINCT orderid) AS order_count
+    with_views(f"""SELECT brand, orderdate - CAST(isodow(orderdate) % 7 AS INTEGER) AS odate, count(DISTINCT orderid) AS order_count
   FROM ({BRAND_WEEKS_SQL}) GROUP BY 1, 2"""),
 )
 def brand_order_sets(t: Inputs) -> DataFrame:
