@@ -111,7 +111,10 @@ def without_secrets(rows, mark="[SECRET]"):
 
 
 def best_fit(lengths, sizes, cost):
-    """Bins (final size, words) of best-fit decreasing, item by item; the size to open is chosen once per length."""
+    """Bins (opened size, words) of best-fit decreasing, item by item; the size to open is chosen once per length.
+
+    Which of several bins with equal room takes a piece is open, so only the rooms are fixed.
+    """
     counts, bins, chosen = Counter(lengths), [], {}
     waiting = Counter(lengths)
     for length in sorted(lengths, reverse=True):
@@ -131,4 +134,4 @@ def best_fit(lengths, sizes, cost):
             bins.append(best)
         best[1] += length
         waiting[length] -= 1
-    return sorted((min(s for s in sizes if s >= used), used) for _, used in bins)
+    return bins

@@ -336,7 +336,7 @@ def test_matches_of_unequal_words_are_not_removed(spark):
     frame = spark.createDataFrame([(1, "first " + " ".join(text)), (2, " ".join(changed)), (3, "x " * 60)], "row long, text string")
     proposed = [(2, 1, 1, 0, 131), (3, 1, 1, 0, 20)]
     matches = spark.createDataFrame(proposed, "row long, first_row long, shift int, start int, length int")
-    named = {r.row: [p.asDict() for p in r.named] for r in substring_dedup.earlier_words(matches, frame, 20).collect()}
+    named = {r.row: list(map(tuple, r.named)) for r in substring_dedup.earlier_words(matches, frame, 20).collect()}
     words = [w.encode() for w in changed]
     found = substring_dedup.verified_stretches(words, named[2], 20)
     assert all(words[a:b] == [w.encode() for w in text[a:b]] for a, b in found)

@@ -96,7 +96,7 @@ def plain_pipeline(rows, trusted):
             piece = words[start : start + max(packing.SIZES)]
             pieces.append((doc_id, start // max(packing.SIZES), start, len(piece), " ".join(piece)))
     bins = plain.best_fit([p[3] for p in pieces if p[3]], packing.SIZES, packing.linear_cost)
-    return Counter(pieces), bins
+    return Counter(pieces), sorted((min(s for s in packing.SIZES if s >= used), used) for _, used in bins)
 
 
 @pytest.mark.parametrize("clash", [False, True])

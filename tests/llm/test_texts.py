@@ -286,8 +286,10 @@ def test_plan_of_several_sizes_equals_best_fit_item_by_item(cost):
     for _ in range(60):
         lengths = [min(128, int(chance.expovariate(chance.choice([0.03, 0.1]))) + 1) for _ in range(chance.randint(1, 200))]
         plan = packing.Plan(Counter(lengths), sizes, cost)
-        opened = sorted((min(s for s in sizes if s >= u), u) for _, bins, u in plan.contents for _ in range(bins))
-        assert opened == best_fit(lengths, sizes, cost)
+        rooms = Counter(size - used for size, used in best_fit(lengths, sizes, cost))
+        open_rooms = Counter({room: sum(bins for _, bins, _ in runs) for room, runs in plan.open.items()})
+        assert open_rooms + Counter({0: plan.next_bin - open_rooms.total()}) == rooms
+        assert sum(bins * used for _, bins, used in plan.contents) == sum(lengths)
 
 
 def test_bins_open_at_the_least_cost_and_shrink():
