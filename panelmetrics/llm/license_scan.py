@@ -130,17 +130,27 @@ def index_of(templates: tuple[Template, ...], frequencies: dict[str, int]) -> tu
     return F.array(*cards), F.array(*postings)
 
 
-def matches_in(words: Column, mine: Column, cards: Column, postings: Column) -> Column:
-    """Matches of a file from its words, its distinct licence words and the index, by template and place."""
-    inside = F.transform(F.filter(cards, lambda c: F.size(F.array_except(c["phrase"], mine)) == 0), lambda c: c["number"])
-    wanted = F.filter(postings, lambda p: F.array_contains(inside, p["number"]))
-    rare = F.array_distinct(F.transform(wanted, lambda p: p["word"]))
-    spots = F.filter(
-        F.transform(words, lambda w, i: F.when(F.array_contains(rare, w), F.struct(w.alias("word"), i.alias("place")))),
-        lambda spot: spot.isNotNull(),
-    )
+def bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once: inside lambdas, Spark works out any other expression per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def matches_in(words: Column, vocabulary: list[str], cards: Column, postings: Column) -> Column:
+    """Matches of a file from its words and the index, by template and place."""
+
+    def wanted_by(mine: Column) -> Column:
+        """Postings of the templates whose licence words are all in the file."""
+        inside = F.filter(cards, lambda c: F.size(F.array_except(c["phrase"], mine)) == 0)
+        return bound(
+            F.transform(inside, lambda c: c["number"]), lambda n: F.filter(postings, lambda p: F.array_contains(n, p["number"]))
+        )
+
+    def spots_of(words: Column, rare: Column) -> Column:
+        """Places of the file's rare licence words."""
+        each = F.transform(words, lambda w, i: F.when(F.array_contains(rare, w), F.struct(w.alias("word"), i.alias("place"))))
+        return F.filter(each, lambda spot: spot.isNotNull())
 
-    def starts(second: bool) -> Column:
+    def starts(spots: Column, wanted: Column, second: bool) -> Column:
         """Template and start as one number, by the first or the second rare word of each template."""
 
         def of_spot(spot: Column) -> Column:
@@ -149,23 +159,34 @@ def matches_in(words: Column, mine: Column, cards: Column, postings: Column) ->
 
         return F.flatten(F.transform(spots, of_spot))
 
-    def match(found: Column) -> Column:
-        number, start = F.floor(found / PLACES), found % PLACES
-        card = F.get(cards, number.cast("int"))
-        there = F.transform(card["notice"], lambda w, j: F.get(words, (start + (j - card["lead"])).cast("int")) == w)
-        return F.struct(
-            card["label"].alias("label"),
-            card["base"].alias("base"),
-            start.alias("start"),
-            (F.size(F.filter(there, lambda same: same)) / F.size(card["notice"]).cast("double")).alias("coverage"),
-        )
+    def match(words: Column, found: Column) -> Column:
+        start = found % PLACES
+
+        def of_card(card: Column) -> Column:
+            there = F.transform(card["notice"], lambda w, j: F.get(words, (start + (j - card["lead"])).cast("int")) == w)
+            return F.struct(
+                card["label"].alias("label"),
+                card["base"].alias("base"),
+                start.alias("start"),
+                (F.size(F.filter(there, lambda same: same)) / F.size(card["notice"]).cast("double")).alias("coverage"),
+            )
 
-    def verified(found: Column) -> Column:
+        return bound(F.get(cards, F.floor(found / PLACES).cast("int")), of_card)
+
+    def verified(words: Column, found: Column) -> Column:
         phrase = F.get(cards, F.floor(found / PLACES).cast("int"))["phrase"]
-        return F.slice(words, (found % PLACES + 1).cast("int"), F.size(phrase)) == phrase
+        return bound(phrase, lambda p: F.slice(words, (found % PLACES + 1).cast("int"), F.size(p)) == p)
+
+    def of_words(words: Column) -> Column:
+        def of_wanted(wanted: Column) -> Column:
+            rare = F.array_distinct(F.transform(wanted, lambda p: p["word"]))
+            spots = bound(rare, lambda r: spots_of(words, r))
+            aligned = bound(spots, lambda s: F.array_sort(F.array_intersect(starts(s, wanted, False), starts(s, wanted, True))))
+            return F.transform(F.filter(aligned, lambda f: verified(words, f)), lambda f: match(words, f))
+
+        return bound(bound(F.array_intersect(words, strings(vocabulary)), wanted_by), of_wanted)
 
-    aligned = F.array_sort(F.array_intersect(starts(False), starts(True)))
-    return F.transform(F.filter(aligned, verified), match)
+    return bound(words, of_words)
 
 
 def scan_licenses(
@@ -182,12 +203,11 @@ def scan_licenses(
         documents[id_column].alias("doc_id"), words_of(text_of(documents, text_column)).alias("words")
     )
     words = F.col("words")
-    mine = F.array_intersect(words, strings(sorted(frequencies)))
     none = F.expr("cast(array() as array<struct<label:string,base:boolean,start:bigint,coverage:double>>)")
     return frame.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.when(F.arrays_overlap("words", strings(rarest)), matches_in(words, mine, cards, postings)).otherwise(none).alias("matches"),
+        F.when(F.arrays_overlap("words", strings(rarest)), matches_in(words, sorted(frequencies), cards, postings)).otherwise(none).alias("matches"),
     )
 
 
