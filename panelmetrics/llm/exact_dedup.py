@@ -29,6 +29,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from panelmetrics.llm import golomb
 from panelmetrics.llm.common import default_partitions, field_of, nested, text_of, written
+from panelmetrics.llm.lookups import filter_bits
 
 BITS = 64
 
@@ -147,27 +148,6 @@ def marked(documents: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     return documents.assign(suspect=hit)[["part", "row", "doc_id", "fingerprint", "sha", "suspect"]]
 
 
-def filter_bits(suspects: DataFrame, bits: int) -> bytes:
-    """A bitmap of 2**bits over the top bits of the suspects' fingerprints.
-
-    It is at most 2**bits / 8 bytes whatever the input. It only keeps texts that are no
-    suspects out of a shuffle; those it lets through wrongly are groups of one.
-    """
-    place = F.shiftrightunsigned("fingerprint", 64 - bits) + F.lit(1)
-    chunks = (
-        suspects.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("position"))
-        .groupBy("bucket")
-        .agg(F.bitmap_construct_agg("position").alias("map"))
-        .collect()
-    )
-    whole = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    for chunk in chunks:
-        start = (chunk["bucket"] - 1) * 4096
-        piece = np.frombuffer(chunk["map"], np.uint8)[: len(whole) - start]
-        whole[start : start + len(piece)] = piece
-    return whole.tobytes()
-
-
 def in_bitmap(digest: bytes, bitmap: np.ndarray, bits: int) -> bool:
     place = fingerprint(digest) >> (64 - bits)
     return bool(bitmap[place >> 3] >> (place & 7) & 1)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from panelmetrics.llm.common import nested, text_of, written
 from panelmetrics.llm.components import connected_components
-from panelmetrics.llm.exact_dedup import filter_bits
+from panelmetrics.llm.lookups import filter_bits
 from panelmetrics.llm.words import WordHashes, mixed, windows
 
 WIDTH = 5

@@ -8,11 +8,30 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelmetrics.llm.exact_dedup import filter_bits
-
 BITS = 24
 
 
+def filter_bits(keys: DataFrame, bits: int) -> bytes:
+    """A bitmap of 2**bits over the top bits of the column `fingerprint`.
+
+    It is 2**bits / 8 bytes whatever the input, put together from pieces of 4 kB. It only keeps rows out of a
+    shuffle; those it lets through wrongly find no partner there.
+    """
+    place = F.shiftrightunsigned("fingerprint", 64 - bits) + F.lit(1)
+    chunks = (
+        keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("position"))
+        .groupBy("bucket")
+        .agg(F.bitmap_construct_agg("position").alias("map"))
+        .collect()
+    )
+    whole = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for chunk in chunks:
+        start = (chunk["bucket"] - 1) * 4096
+        piece = np.frombuffer(chunk["map"], np.uint8)[: len(whole) - start]
+        whole[start : start + len(piece)] = piece
+    return whole.tobytes()
+
+
 def key_bitmap(keys: DataFrame, key: str = "key", bits: int = BITS) -> Broadcast:
     """A bitmap of 2**bits bits (2**bits / 8 bytes) of the keys, on every task.
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from panelmetrics.llm.common import field_of, nested, text_of
-from panelmetrics.llm.exact_dedup import filter_bits
+from panelmetrics.llm.lookups import filter_bits
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
