@@ -34,9 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmetrics.llm.common import text_of, written
-from panelmetrics.llm.exact_dedup import filter_bits
 from panelmetrics.llm.jaccard_join import row_key
-from panelmetrics.llm.lookups import BITS, bitmap_place, key_bitmap, likely_rows, marked
+from panelmetrics.llm.lookups import BITS, bitmap_place, filter_bits, key_bitmap, likely_rows, marked
 from panelmetrics.llm.recompression import Anchors
 from panelmetrics.llm.words import RUN_BYTES, WordHashes, text_runs
 
@@ -350,18 +349,29 @@ def earlier_words(matches: DataFrame, frame: DataFrame, width: int) -> DataFrame
     return each.join(cells, ["first_row", "cell"]).groupBy("row").agg(F.collect_list(proof).alias("named"))
 
 
-def verified_stretches(words: list[bytes], named: list[dict], width: int) -> list[tuple[int, int]]:
+def proofs_of(named: pa.ListArray) -> list[list[tuple]]:
+    """Per document its proofs: tuples (start, length, first_row, shift, cell, words)."""
+    rows = list(zip(*(c.to_pylist() for c in named.flatten().flatten()), strict=True))
+    edges = np.cumsum(np.r_[0, pc.list_value_length(named).fill_null(0).to_numpy()]).tolist()
+    return [rows[a:b] for a, b in zip(edges, edges[1:])]
+
+
+def verified_stretches(words: list[bytes], proofs: list[tuple], width: int) -> list[tuple[int, int]]:
     """Stretches of words (first, end) in windows whose words are those of the earlier stretch, in order."""
     matches: dict[tuple, list[tuple[int, int, bool]]] = {}
-    for proof in named:
-        start, shift, low = proof["start"], proof["shift"], proof["cell"] * CELL
-        first = max(start + shift, low)
-        end = min(start + shift + proof["length"] + width - 1, low + CELL)
-        said = proof["words"].split(b" ")[first - low : end - low]
-        key = (start, proof["length"], proof["first_row"], shift)
-        matches.setdefault(key, []).append((first - shift, end - shift, words[first - shift : end - shift] == said))
+    for start, length, first_row, shift, cell, said in proofs:
+        low = cell * CELL
+        first, end = max(start + shift, low), min(start + shift + length + width - 1, low + CELL)
+        if end - first == CELL:
+            equal = b" ".join(words[first - shift : end - shift]) == said
+        else:
+            equal = words[first - shift : end - shift] == said.split(b" ")[first - low : end - low]
+        matches.setdefault((start, length, first_row, shift), []).append((first - shift, end - shift, equal))
     found = []
     for (start, length, _, _), cells in matches.items():
+        if all(equal for _, _, equal in cells):
+            found.append((start, start + length + width - 1))
+            continue
         begin = start
         for first, end, equal in [*sorted(cells), (start + length + width - 1, 0, False)]:
             if not equal:  # windows that reach into an unequal cell are not verified
@@ -371,12 +381,12 @@ def verified_stretches(words: list[bytes], named: list[dict], width: int) -> lis
     return sorted(found)
 
 
-def without_stretches(text: bytes, named: list[dict] | None, width: int) -> tuple[int, int, bytes]:
+def without_stretches(text: bytes, proofs: list[tuple], width: int) -> tuple[int, int, bytes]:
     """Words, words removed, and the kept words joined by one space."""
     words = kept = text.split()
-    if named:
+    if proofs:
         kept, at = [], 0
-        for first, end in verified_stretches(words, named, width):
+        for first, end in verified_stretches(words, proofs, width):
             kept += words[at:first]
             at = max(at, end)
         kept += words[at:]
@@ -409,8 +419,8 @@ def remove_repeats(
     lists = written(earlier_words(matches, frame, width), "lists")
     bitmap = key_bitmap(lists, "row")
 
-    def cut(ids: pa.Array, texts: pa.Array, named: list) -> pa.RecordBatch:
-        rows = [without_stretches(t.as_buffer().to_pybytes(), n, width) for t, n in zip(texts, named, strict=True)]
+    def cut(ids: pa.Array, texts: pa.Array, proofs: list) -> pa.RecordBatch:
+        rows = [without_stretches(t.as_buffer().to_pybytes(), p, width) for t, p in zip(texts, proofs, strict=True)]
         return pa.RecordBatch.from_arrays(
             [
                 ids,
@@ -424,13 +434,13 @@ def remove_repeats(
     def whole(batches):
         for batch in batches:
             free = batch.filter(pa.array(~marked(bitmap, batch.column(2))))
-            yield cut(free.column(0), free.column(1), [None] * free.num_rows)
+            yield cut(free.column(0), free.column(1), [[]] * free.num_rows)
 
     def listed(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 piece = batch.slice(start, 500)
-                yield cut(piece.column(0), piece.column(1), piece.column(2).to_pylist())
+                yield cut(piece.column(0), piece.column(1), proofs_of(piece.column(2)))
 
     schema = "doc_id long, n_words long, n_removed long, kept string"
     alone = frame.select("doc_id", "text", bitmap_place("row", BITS).alias("place")).mapInArrow(whole, schema)
