@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from panelmetrics.llm.common import text_of, written
 from panelmetrics.llm.components import connected_components
-from panelmetrics.llm.exact_dedup import filter_bits
+from panelmetrics.llm.lookups import filter_bits
 from panelmetrics.llm.words import WordHashes, mixed, windows
 
 WIDTH = 4
@@ -124,25 +124,25 @@ def signed_documents(frame: DataFrame) -> DataFrame:
 
 
 def set_nodes(sets: DataFrame) -> DataFrame:
-    """(digest, node) of each set and band."""
+    """(id, node) of each set and band."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 nodes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-                at = np.repeat(np.arange(batch.num_rows), BANDS)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(nodes)], names=["digest", "node"])
+                ids = np.repeat(batch.column(0).to_numpy(), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(nodes)], names=["id", "node"])
 
-    return sets.select("digest", "nodes").mapInArrow(run, "digest binary, node long")
+    return sets.select("id", "nodes").mapInArrow(run, "id long, node long")
 
 
 def block_pairs(members: DataFrame, block: int) -> DataFrame:
     """Rows of groups of `many` sets once per pair of blocks they take part in: own, low, high are block numbers.
 
-    A set's block follows from its digest.
+    A set's block follows from its id.
     """
     blocks = F.ceil(F.col("many") / block).cast("int")
-    own: Column = F.pmod(F.xxhash64("digest"), blocks.cast("long")).cast("int")
+    own: Column = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
     return (
         members.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
         .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
@@ -175,8 +175,8 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     fresh = np.zeros(table.num_rows, dtype=bool)
     fresh[0] = True
     for key in keys:
-        column = table.column(key).combine_chunks()
-        fresh[1:] |= column.slice(1).to_numpy(zero_copy_only=False) != column.slice(0, len(column) - 1).to_numpy(zero_copy_only=False)
+        column = table.column(key).to_numpy()
+        fresh[1:] |= column[1:] != column[:-1]
     return np.flatnonzero(fresh)
 
 
@@ -214,15 +214,13 @@ def candidate_links(members: DataFrame, estimate: float) -> DataFrame:
                     label = merged(label, hit, hit + shift)
             edge = np.flatnonzero(label != np.arange(count))
             if len(edge):
-                digest = table.column("digest").combine_chunks()
-                yield pa.RecordBatch.from_arrays(
-                    [digest.take(pa.array(edge)), digest.take(pa.array(label[edge]))], names=["a", "b"]
-                )
+                ids = table.column("id").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[edge]), pa.array(ids[label[edge]])], names=["a", "b"])
 
     keys = ["node", "low", "high"]
-    dealt = members.select(*keys, "digest", "signature").repartition(*keys)
-    # by digest inside a group, so that groups of the same sets hand on the same links
-    return dealt.sortWithinPartitions(*keys, "digest").mapInArrow(run, "a binary, b binary")
+    dealt = members.select(*keys, "id", "signature").repartition(*keys)
+    # by id inside a group, so that groups of the same sets hand on the same links
+    return dealt.sortWithinPartitions(*keys, "id").mapInArrow(run, "a long, b long")
 
 
 def common_sizes(sets: list[np.ndarray]) -> np.ndarray:
@@ -260,13 +258,13 @@ def confirmed(sets: list[np.ndarray], own: np.ndarray | None) -> np.ndarray:
 
 
 def confirmed_links(members: DataFrame) -> DataFrame:
-    """Spanning forest (a, b) of the links that full sets confirm, from rows (label, low, high, own, digest, text)."""
+    """Spanning forest (a, b) of the links that full sets confirm, from rows (label, low, high, own, id, text)."""
 
     def run(batches):
         hashes, keys = WordHashes(), ["label", "low", "high"]
         for table in whole_groups(batches, keys, 512):
             starts = group_starts(table, keys)
-            digest, own = table.column("digest").combine_chunks(), table.column("own").to_numpy()
+            ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
             low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
             texts = table.column("text")
             for start, stop in zip(starts, [*starts[1:], table.num_rows]):
@@ -276,12 +274,12 @@ def confirmed_links(members: DataFrame) -> DataFrame:
                 label = confirmed(sets, own[start:stop] if low[start] != high[start] else None)
                 edge = np.flatnonzero(label != np.arange(stop - start))
                 yield pa.RecordBatch.from_arrays(
-                    [digest.take(pa.array(edge + start)), digest.take(pa.array(label[edge] + start))], names=["a", "b"]
+                    [pa.array(ids[edge + start]), pa.array(ids[label[edge] + start])], names=["a", "b"]
                 )
 
-    columns = ["label", "low", "high", "own", "digest", "text"]
-    dealt = members.select(*columns).repartition(*columns[:3]).sortWithinPartitions(*columns[:3], "digest")
-    return dealt.mapInArrow(run, "a binary, b binary")
+    columns = ["label", "low", "high", "own", "id", "text"]
+    dealt = members.select(*columns).repartition(*columns[:3]).sortWithinPartitions(*columns[:3], "id")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def texts_of_keys(frame: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -322,21 +320,21 @@ def near_components(
             F.min("doc_id").alias("least_id"),
             F.count(F.lit(1)).alias("copies"),
         )
-        .select("digest", "least_id", "copies", "first.*"),
-        "sets",
+        .select(F.monotonically_increasing_id().alias("id"), "digest", "least_id", "copies", "first.*"),
+        "sets",  # written once, so the ids stay
     )
     nodes = set_nodes(sets)
     shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     members = block_pairs(written(nodes.join(shared, "node"), "nodes"), block)
-    likely = candidate_links(members.join(sets.select("digest", "signature"), "digest"), estimate)
-    groups = written(connected_components(likely), "groups").withColumnRenamed("id", "digest")
-    sized = groups.join(groups.groupBy("label").agg(F.count(F.lit(1)).alias("many")), "label")
-    wanted = written(sized.join(sets.select("digest", "key"), "digest"), "wanted")
+    likely = candidate_links(members.join(sets.select("id", "signature"), "id"), estimate)
+    groups = written(connected_components(likely), "groups")
+    # sizes from a written table: the join then deals both sides out anew, and a hot group can be split
+    sized = groups.join(written(groups.groupBy("label").agg(F.count(F.lit(1)).alias("many")), "sizes"), "label")
+    wanted = written(sized.join(sets.select("id", "key"), "id"), "wanted")
     texts = written(wanted.join(texts_of_keys(frame, wanted), "key"), "texts")
-    links = confirmed_links(block_pairs(texts, block))
-    classes = connected_components(links).withColumnRenamed("id", "digest")
+    classes = connected_components(confirmed_links(block_pairs(texts, block)))
     # sets whose component is more than one document; the others need no lookup
-    placed = written(sets.select("digest", "least_id", "copies").join(classes, "digest", "left"), "placed")
+    placed = written(sets.select("id", "digest", "least_id", "copies").join(classes, "id", "left"), "placed")
     named = written(placed.where("label is not null").groupBy("label").agg(F.min("least_id").alias("named")), "named")
     known = placed.where("label is not null or copies > 1").join(named, "label", "left")
     alone = F.col("label").isNull()
