@@ -418,6 +418,23 @@ def test_encoding_equals_the_library(make_documents, odd_rows):
     assert bpe_chunks.encode_documents(make_documents([]), tokenizer_path()).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables not present")
+def test_all_documents_are_encoded_as_by_the_library(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    folder = "/root/testdata/sf0.01"
+    found = {r.doc_id: r for r in QUERIES["op9_bpe_chunks"](spark, folder).collect()}
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert len(found) == len(rows) == 1000
+    for r in rows:
+        ids = whole.encode(r.text or "", add_special_tokens=False).ids
+        decoded = whole.decode(ids, skip_special_tokens=False)
+        assert found[r.doc_id].n_tokens == len(ids)
+        assert found[r.doc_id].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert found[r.doc_id].decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+
+
 def test_written_tables_go_with_their_block(spark, make_documents):
     outside = Path(tables_folder(spark))
     with scratch(spark) as folder:
