@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmetrics.llm.common import written
+from panelmetrics.llm.common import default_partitions, written
+
+FEWER = 8
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,7 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while labels is None or not pairs.isEmpty():
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         roots = on_roots(
-            written(
+            kept(
                 both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "id"), "roots"
             )
         )
@@ -29,7 +31,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             labels = roots.withColumnRenamed("root", "label")
         else:
             above = roots.withColumnRenamed("id", "label")
-            labels = written(
+            labels = kept(
                 labels.join(above, "label", "left").select("id", F.coalesce("root", "label").alias("label")), "labels"
             )
         left = roots.select(F.col("id").alias("a"), F.col("root").alias("left"))
@@ -38,16 +40,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def kept(frame: DataFrame, label: str) -> DataFrame:
+    """A table of a round, in an eighth of the session's shuffle partitions.
+
+    Its rows are two or three numbers, while partitions are sized for texts; a round writes several tables, and each
+    partition is a file.
+    """
+    return written(frame.coalesce(max(2, default_partitions(frame) // FEWER)), label)
+
+
 def distinct_pairs(pairs: DataFrame) -> DataFrame:
     """Each pair of different ids once, the smaller one first."""
-    return written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    return kept(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
 def on_roots(roots: DataFrame) -> DataFrame:
     """Every id with the root that its chain of roots ends at."""
     while True:
         above = roots.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        jumped = written(roots.join(above, "root").select("id", "root", "above"), "roots")
+        jumped = kept(roots.join(above, "root").select("id", "root", "above"), "roots")
         roots = jumped.select("id", F.col("above").alias("root"))
         if jumped.where("root <> above").isEmpty():
             return roots
