@@ -153,6 +153,21 @@ def test_order_sets_merge_to_distinct_counts(spark):
     assert rows_of(by_brand) == rows_of(plain.groupBy("brand").agg(F.countDistinct("orderid").alias("order_count")))
 
 
+def test_sets_of_scattered_orders_take_no_more_than_a_word_per_order(spark):
+    chance = random.Random(9)
+    ids = [chance.randrange(-(2**62), 2**62) for _ in range(2000)] + [2**63 - 1, -(2**63), 63, 64, -1, -64, -65]
+    frame = spark.createDataFrame([(n % 3, order) for n, order in enumerate(ids * 3)], "day int, orderid long")
+    days = order_sets(frame, ["day"])
+    every = merged_sets(days.withColumn("all", F.lit("all")), ["all"])
+    for sets in (days, every):
+        assert "SortAggregate" not in plan_of(sets)  # its sort would hold all sets of a task at once
+        assert dict(sets.dtypes)["orders"] == "bigint"
+    assert days.count() <= 3 * len(ids)
+    assert counted_sets(every, ["all"]).first().order_count == len(set(ids))
+    dense = order_sets(spark.range(64_000).select(F.lit(1).alias("day"), F.col("id").alias("orderid")), ["day"])
+    assert dense.count() == 1000
+
+
 def test_broken_lines_and_codes_are_rejected_with_a_reason(spark, tmp_path):
     path = tmp_path / "codes.csv"
     path.write_text("fips,name\n1001.0,a\n,b\n56045,c\nx1,d\n7,e,f\n8\n99999,g\n100000,h\n1.5,i\n NaN ,j\n 12 ,k\n")
