@@ -1,6 +1,7 @@
 """Kept layouts and state: plans without exchanges, refreshed days, merged sets, intervals, rejects."""
 
 import datetime as dt
+import os
 import random
 from dataclasses import replace
 from pathlib import Path
@@ -168,6 +169,15 @@ def test_sets_of_scattered_orders_take_no_more_than_a_word_per_order(spark):
     assert dense.count() == 1000
 
 
+@pytest.mark.parametrize("name", ["a4_order_sets", "a12_order_sets"])
+def test_registered_order_sets_are_never_sorted(spark, name):
+    from checks import QUERIES
+
+    found = QUERIES[name](spark, os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001"))
+    assert found.count() > 0
+    assert "SortAggregate" not in plan_of(found)
+
+
 def test_broken_lines_and_codes_are_rejected_with_a_reason(spark, tmp_path):
     path = tmp_path / "codes.csv"
     path.write_text("fips,name\n1001.0,a\n,b\n56045,c\nx1,d\n7,e,f\n8\n99999,g\n100000,h\n1.5,i\n NaN ,j\n 12 ,k\n")
