@@ -16,7 +16,7 @@ from panelmetrics.operators.membership import keep_in_intervals, member_interval
 from panelmetrics.operators.order_sets import counted_sets, merged_sets, order_sets
 from panelmetrics.operators.rules import tag_brands
 from panelmetrics.plans import WeeklySeries, daily_state
-from panelmetrics.session import shared_folder
+from panelmetrics.session import kept, shared_folder
 from panelmetrics.sources import checked_codes, checked_dates
 
 from .aggregates import EVENT_RATES, EVENT_ROWS, event_orders
@@ -63,12 +63,14 @@ def membership_intervals(t: Inputs) -> DataFrame:
 def kept_daily_state(t: Inputs) -> DataFrame:
     """A state loaded up to a date, then refreshed for the days that came."""
     folder, series = new_folder(t), [WeeklySeries(ALL, daily=True)]
-    before = replace(t.sales, items=t.sales.items.filter(F.col("orderdate") < F.lit(NEW_DAYS)))
-    daily_state.refresh_days(before, series, SECTORS, SINCE, folder)
-    came = daily_state.changed_days(
-        daily_state.day_prints(before.items, "orderdate"), daily_state.day_prints(t.sales.items, "orderdate")
-    )
-    daily_state.refresh_days(t.sales, series, SECTORS, SINCE, folder, came)
+    with kept(t.sales.items) as items:
+        after = replace(t.sales, items=items)
+        before = replace(t.sales, items=items.filter(F.col("orderdate") < F.lit(NEW_DAYS)))
+        daily_state.refresh_days(before, series, SECTORS, SINCE, folder)
+        came = daily_state.changed_days(
+            daily_state.day_prints(before.items, "orderdate"), daily_state.day_prints(after.items, "orderdate")
+        )
+        daily_state.refresh_days(after, series, SECTORS, SINCE, folder, came)
     days = rollup.per_panel_days(daily_state.kept_days(t.spark, folder), t.sales.panel)
     return days.select("brand", "orderdate", "ordercount", "item_count", "pq")
 

@@ -3,7 +3,8 @@
 A brand-day depends on the items, members and merchants of its day alone, so weekly reports can be built from kept
 days. The state has one partition per date with the raw sums (the panel size is attached when a report
 is built, as it may change by itself). A refresh reads the items of the days it is given and rewrites just
-their partitions; a day that lost its last row is rewritten, too.
+their partitions; a day that lost its last row is rewritten, too. Fingerprints, load and refreshes each read the
+items: where these are not stored but come from joins, keep them for the time (`session.kept`).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..operators import rollup, timeframe
 from ..session import settle
 from ..sources import PanelTables
-from .reports import HORIZON_DAYS, WeeklySeries, brand_sums, calendar_for, growth_of_days
+from .reports import HORIZON_DAYS, WeeklySeries, brand_sums, calendar_for, cohort_calendar, growth_of_days
 
 
 def refresh_days(
@@ -33,7 +34,7 @@ def refresh_days(
 
     Give the same series, sectors and `since` to every refresh of a folder.
     """
-    calendar = calendar_for(tables, series, since, calendar)
+    calendar = cohort_calendar(tables, series, since, calendar)
     spark = tables.items.sparkSession
     if days is None:
         brand_sums(tables, series, sectors, since, calendar, _every_day).write.mode("overwrite").partitionBy(

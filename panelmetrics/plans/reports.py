@@ -129,10 +129,20 @@ def calendar_for(
     tables: PanelTables, series: Sequence[WeeklySeries], since: dt.date, calendar: DataFrame | None
 ) -> DataFrame | None:
     """The calendar that a weekly report of these series needs: one of its own if none is given, or none."""
+    calendar = cohort_calendar(tables, series, since, calendar)
+    if calendar is None and any(s.daily for s in series):
+        return settle(timeframe.calendar_of(tables.items))
+    return calendar
+
+
+def cohort_calendar(
+    tables: PanelTables, series: Sequence[WeeklySeries], since: dt.date, calendar: DataFrame | None
+) -> DataFrame | None:
+    """The calendar that `brand_sums` of these series needs, which is none where `since` is the first day of a year."""
     if not series:
         raise ValueError("a weekly report needs at least one series")
     distinct_brands([s.rule for s in series])
-    if calendar is None and (any(s.daily for s in series) or not _starts_a_year(since)):
+    if calendar is None and not _starts_a_year(since):
         return settle(timeframe.calendar_of(tables.items))
     return calendar
 

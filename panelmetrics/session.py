@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +54,21 @@ def settle(frame: DataFrame) -> DataFrame:
     """
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+@contextmanager
+def kept(frame: DataFrame) -> Iterator[DataFrame]:
+    """The rows of a frame in the shared folder while the block runs; they go when the block ends.
+
+    For large frames that several passes read and that take joins to build: the joins run once, and each pass reads
+    only the columns and row groups it needs. Frames read the files when they run, so results are to be written or
+    fetched inside the block.
+    """
+    spark = frame.sparkSession
+    folder = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    try:
+        frame.write.option("compression", "zstd").parquet(folder)
+        yield spark.read.schema(frame.schema).parquet(folder)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # wherever the shared folder is, Spark's file system reaches it
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from panelmetrics.operators import rollup, scope
+from panelmetrics.operators import rollup, scope, timeframe
 from panelmetrics.operators.colocate import KEYS, colocated
 from panelmetrics.operators.membership import interval_months, keep_in_intervals, member_intervals
 from panelmetrics.operators.order_sets import counted_sets, merged_sets, order_sets
@@ -130,6 +130,44 @@ def test_a_late_order_rewrites_one_day(spark, tables, item, tmp_path):
     assert partitions(folder).keys() == after.keys()
 
 
+def test_refreshed_days_need_no_calendar_of_their_own(tables, tmp_path, monkeypatch):
+    def read(items):
+        raise AssertionError("the items are read for a calendar")
+
+    folder = str(tmp_path / "state")
+    monkeypatch.setattr(timeframe, "calendar_of", read)
+    daily_state.refresh_days(tables, SERIES, ["Food"], SINCE, folder)
+    before = rows_of(daily_state.kept_days(tables.items.sparkSession, folder))
+    assert len(before) > 500
+    daily_state.refresh_days(tables, SERIES, ["Food"], SINCE, folder, [SATURDAY])
+    assert rows_of(daily_state.kept_days(tables.items.sparkSession, folder)) == before
+    with pytest.raises(AssertionError):  # members of whole years do need it
+        daily_state.refresh_days(tables, SERIES, ["Food"], SINCE + dt.timedelta(days=1), folder)
+    with pytest.raises(ValueError):
+        daily_state.refresh_days(tables, [], ["Food"], SINCE, folder)
+
+
+def test_registered_daily_state_builds_its_items_once(spark, monkeypatch):
+    from checks import QUERIES
+
+    seen, refresh, prints = [], daily_state.refresh_days, daily_state.day_prints
+
+    def refreshed(tables, *more):
+        seen.append(plan_of(tables.items))
+        refresh(tables, *more)
+
+    def printed(rows, day):
+        seen.append(plan_of(rows))
+        return prints(rows, day)
+
+    monkeypatch.setattr(daily_state, "refresh_days", refreshed)
+    monkeypatch.setattr(daily_state, "day_prints", printed)
+    found = QUERIES["a4_daily_state"](spark, os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001"))
+    assert found.count() > 0
+    assert len(seen) == 4
+    assert not [plan for plan in seen if "Join" in plan]
+
+
 def test_changed_days_of_repeated_null_and_moved_rows(spark):
     def prints(rows):
         return daily_state.day_prints(spark.createDataFrame(rows, "orderdate date, x string"), "orderdate")
